@@ -251,7 +251,8 @@ HYBRID_SQL = (
     KEYWORD_SQL.replace("WITH w", "WITH RECURSIVE w").replace("{k}", "8") + "," + HYBRID_VECTORS_SQL
     + r""", lg AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM vv WHERE score >= 0.2
   UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM kr WHERE score >= 0.1),
-fu AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + r)), 12) AS score FROM lg GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1e0 / (60 + r)), 12) DESC, chunk_id) <= 8),
+fs AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + r)), 12) AS score FROM lg GROUP BY ALL),
+fu AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8),
 rw AS (SELECT item_id, """ + WORDS_SQL.replace("{c}", "text") + r""" AS ws FROM benchmark),
 rr AS (SELECT item_id, ws, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM rw
   UNION ALL SELECT item_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM rr WHERE i <= len(ws) AND len(acc) < 10),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.bind import let
 from docflow.functions.text import has_text, normalize_ws, strip_edges
 
 # Fixed patterns and values.
@@ -109,48 +110,53 @@ def _fitted(row: Column, width: Column) -> Column:
     return F.slice(padded, F.lit(1), width)
 
 
-def table_markdown(text: Column) -> Column:
-    """Markdown table, body rows padded or cut to the header; null without rows."""
-    rows = _table_rows(text)
-    width = F.size(F.get(rows, F.lit(0)))
+def _line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    def line(cells: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    rule = line(F.array_repeat(F.lit("---"), width))
-    body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: line(_fitted(r, width)))
-    lines = F.concat(F.array(line(F.get(rows, F.lit(0))), rule), body)
-    return F.when(F.size(rows) > 0, F.array_join(lines, "\n"))
+def _tags(tag: str, cells: Column) -> Column:
+    parts = F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")))
+    return F.array_join(parts, "")
 
 
-def table_html(text: Column) -> Column:
-    rows = _table_rows(text)
-    width = F.size(F.get(rows, F.lit(0)))
+def table_markdown(text: Column) -> Column:
+    """Markdown table, body rows padded or cut to the header; null without rows."""
 
-    def wrap(tag: str, cells: Column) -> Column:
-        return F.array_join(
-            F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))), ""
+    def form(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+        width = F.size(head)
+        rule = _line(F.array_repeat(F.lit("---"), width))
+        body = F.transform(
+            F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
+            lambda r: _line(_fitted(r, width)),
         )
+        lines = F.concat(F.array(_line(head), rule), body)
+        return F.when(F.size(rows) > 0, F.array_join(lines, "\n"))
+
+    return let(_table_rows(text), form)
+
 
-    body = F.array_join(
-        F.transform(
+def table_html(text: Column) -> Column:
+    def form(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+        width = F.size(head)
+        body = F.transform(
             F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
-            lambda r: F.concat(F.lit("<tr>"), wrap("td", _fitted(r, width)), F.lit("</tr>")),
-        ),
-        "",
-    )
-    return F.when(
-        F.size(rows) > 0,
-        F.concat(
-            F.lit("<table><thead><tr>"),
-            wrap("th", F.get(rows, F.lit(0))),
-            F.lit("</tr></thead>"),
-            F.when(F.size(rows) > 1, F.concat(F.lit("<tbody>"), body, F.lit("</tbody>"))).otherwise(
-                ""
+            lambda r: F.concat(F.lit("<tr>"), _tags("td", _fitted(r, width)), F.lit("</tr>")),
+        )
+        filled = F.concat(F.lit("<tbody>"), F.array_join(body, ""), F.lit("</tbody>"))
+        return F.when(
+            F.size(rows) > 0,
+            F.concat(
+                F.lit("<table><thead><tr>"),
+                _tags("th", head),
+                F.lit("</tr></thead>"),
+                F.when(F.size(rows) > 1, filled).otherwise(""),
+                F.lit("</table>"),
             ),
-            F.lit("</table>"),
-        ),
-    )
+        )
+
+    return let(_table_rows(text), form)
 
 
 def title_level(text: Column, font_size: Column, baseline: Column, strategy: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.bind import let
+
 # Fixed value: no further token is read once this many terms are there.
 TERM_LIMIT = 10
 
@@ -66,10 +68,11 @@ def shortest_prefixes(terms: Column) -> Column:
     What the set matches stays the same, and every token now matches at most
     one term, so hits can be counted without a distinct.
     """
-    unique = F.array_distinct(terms)
-    return F.filter(
-        unique,
-        lambda t: ~F.exists(unique, lambda u: (u != t) & F.startswith(t, u)),
+    return let(
+        F.array_distinct(terms),
+        lambda unique: F.filter(
+            unique, lambda t: ~F.exists(unique, lambda u: (u != t) & F.startswith(t, u))
+        ),
     )
 
 
@@ -80,8 +83,10 @@ def tokens(content: Column) -> Column:
 
 def lexical_score(content: Column, terms: Column) -> Column:
     """Share of ``terms`` that occur in ``content``, ignoring case."""
-    lowered = F.lower(content)
-    hits = F.size(F.filter(terms, lambda t: F.contains(lowered, F.lower(t))))
+    hits = let(
+        F.lower(content),
+        lambda low: F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t)))),
+    )
     usable = F.coalesce(content.rlike(r"\S"), F.lit(False)) & (F.size(terms) > 0)
     return F.when(usable, hits / F.size(terms)).otherwise(F.lit(0.0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.bind import let
+
 # Fixed values.
 CHARS_PER_TOKEN = 4.0
 PRICE_PER_1K_TOKENS = {"chat_in": 0.002, "chat_out": 0.008, "embedding": 0.0001}
@@ -105,16 +107,19 @@ def answer_state(answer: Column) -> Column:
 
 def expected_terms(c: Column) -> Column:
     """Short answers whole; long ones as their first three sentences."""
-    text = normalize_ws(F.coalesce(c, F.lit("")))
-    parts = F.transform(F.split(text, r"[.?]"), lambda p: F.trim(p))
-    parts = F.filter(parts, lambda p: F.length(p) > 0)
     none = F.array().cast("array<string>")
-    return (
-        F.when(F.length(text) == 0, none)
-        .when(F.length(text) <= 180, F.array(text))
-        .when(F.size(parts) == 0, F.array(F.substring(text, 1, 180)))
-        .otherwise(F.slice(parts, 1, 3))
-    )
+
+    def of(text: Column) -> Column:
+        pieces = F.transform(F.split(text, r"[.?]"), lambda p: F.trim(p))
+        return let(
+            F.filter(pieces, lambda p: F.length(p) > 0),
+            lambda parts: F.when(F.length(text) == 0, none)
+            .when(F.length(text) <= 180, F.array(text))
+            .when(F.size(parts) == 0, F.array(F.substring(text, 1, 180)))
+            .otherwise(F.slice(parts, 1, 3)),
+        )
+
+    return let(normalize_ws(F.coalesce(c, F.lit(""))), of)
 
 
 def join_contexts(contexts: Column) -> Column:

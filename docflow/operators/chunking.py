@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docflow.functions.bind import let
 from docflow.functions.records import map_merge
 from docflow.functions.structure import chunk_traits, is_heading
 from docflow.functions.text import (
@@ -53,13 +54,16 @@ def fixed_pieces(text: Column, size: int | Column, overlap: int | Column) -> Col
     size = F.greatest(F.lit(100), _col(size))
     overlap = F.greatest(F.lit(0), F.least(_col(overlap), size - 1))
     stride = size - overlap
-    strides = F.regexp_extract_all(
-        text, F.concat(F.lit("(?s).{1,"), stride.cast("string"), F.lit("}")), F.lit(0)
-    )
+    cut = F.concat(F.lit("(?s).{1,"), stride.cast("string"), F.lit("}"))
     covered = F.ceil(size / stride).cast("int")
-    return F.transform(
-        strides,
-        lambda _, i: F.substring(F.array_join(F.slice(strides, i + 1, covered), ""), F.lit(1), size),
+    return let(
+        F.regexp_extract_all(text, cut, F.lit(0)),
+        lambda strides: F.transform(
+            strides,
+            lambda _, i: F.substring(
+                F.array_join(F.slice(strides, i + 1, covered), ""), F.lit(1), size
+            ),
+        ),
     )
 
 
@@ -104,16 +108,20 @@ def chunk_parent_child(
 
     def family(parent: Column, i: Column) -> Column:
         head = F.concat(F.col("doc_id").cast("string"), F.lit(":p"), i.cast("string"))
-        text = cut(parent)
         none = F.lit(None).cast("string")
-        return F.concat(
-            F.array(F.struct(head.alias("chunk_id"), none.alias("parent_id"), text.alias("content"))),
-            F.transform(
-                fixed_pieces(text, child_size, overlap),
-                lambda c, j: F.struct(
-                    F.concat(head, F.lit(":c"), j.cast("string")).alias("chunk_id"),
-                    head.alias("parent_id"),
-                    cut(c).alias("content"),
+        return let(
+            cut(parent),
+            lambda text: F.concat(
+                F.array(
+                    F.struct(head.alias("chunk_id"), none.alias("parent_id"), text.alias("content"))
+                ),
+                F.transform(
+                    fixed_pieces(text, child_size, overlap),
+                    lambda c, j: F.struct(
+                        F.concat(head, F.lit(":c"), j.cast("string")).alias("chunk_id"),
+                        head.alias("parent_id"),
+                        cut(c).alias("content"),
+                    ),
                 ),
             ),
         )
