@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from docflow.catalog import chunking, retrieval, tables, text
+from docflow.catalog import chunking, layout, retrieval, tables, text
 
-ENTRIES = {**retrieval.ENTRIES, **tables.ENTRIES, **text.ENTRIES, **chunking.ENTRIES}
+ENTRIES = {**retrieval.ENTRIES, **tables.ENTRIES, **text.ENTRIES, **chunking.ENTRIES, **layout.ENTRIES}

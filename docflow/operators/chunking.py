@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.functions.bind import let
+from docflow.functions.bind import let, rows_of, settle
 from docflow.functions.records import map_merge
 from docflow.functions.structure import chunk_traits, is_heading
 from docflow.functions.text import (
@@ -76,8 +76,9 @@ def _finish(df: DataFrame, strategy: str | Column | None = None) -> DataFrame:
     return out.withColumn("chunk_strategy", _col(strategy) if strategy is not None else F.lit(None).cast("string"))
 
 
-def _with_text(df: DataFrame) -> DataFrame:
-    return df.where(has_text(F.col("text")))
+def _text() -> Column:
+    """The text, null where it is blank: a null text has no chunks."""
+    return F.when(has_text(F.col("text")), F.col("text"))
 
 
 def _no_path() -> Column:
@@ -88,10 +89,7 @@ def chunk_fixed(
     df: DataFrame, size: int | Column = 500, overlap: int | Column = 50, max_tokens: int = MAX_TOKENS
 ) -> DataFrame:
     """Pieces of equal size; the last one may lie inside the previous overlap."""
-    pieces = _with_text(df).select(
-        "doc_id",
-        F.posexplode(fixed_pieces(F.col("text"), size, overlap)).alias("chunk_index", "content"),
-    )
+    pieces = rows_of(df, ["doc_id"], fixed_pieces(_text(), size, overlap), "chunk_index", "content")
     return _finish(
         pieces.withColumn("content", truncate_to_tokens(F.col("content"), max_tokens)).withColumn(
             "heading_path", _no_path()
@@ -126,10 +124,8 @@ def chunk_parent_child(
             ),
         )
 
-    families = F.transform(fixed_pieces(F.col("text"), parent_size, overlap), family)
-    rows = _with_text(df).select(
-        "doc_id", F.posexplode(F.flatten(families)).alias("chunk_index", "_c")
-    )
+    families = F.transform(fixed_pieces(_text(), parent_size, overlap), family)
+    rows = rows_of(df, ["doc_id"], F.flatten(families), "chunk_index", "_c")
     traits = chunk_traits(F.col("_c.content"), _no_path())
     return rows.select(
         "doc_id",
@@ -151,15 +147,15 @@ def chunk_paragraph(
     min_chars: int | Column = 180, max_tokens: int = MAX_TOKENS, strategy: str | Column | None = None,
 ) -> DataFrame:
     """Paragraphs packed up to ``max_chars``; headings are carried, not packed."""
-    base = _with_text(df).select(
+    base = df.select(
         "doc_id",
         "text",
-        text_blocks(F.col("text")).alias("_blocks"),
+        text_blocks(_text()).alias("_blocks"),
         F.greatest(F.lit(200), _col(max_chars)).alias("_max"),
         _col(min_chars).alias("_min"),
         F.greatest(F.lit(0), _col(overlap)).alias("_ov"),
     )
-    marked = base.withColumn(
+    marked = settle(base).withColumn(
         "_b",
         F.transform(
             "_blocks", lambda b, i: F.struct(b.alias("t"), i.alias("i"), is_heading(b).alias("h"))
@@ -169,12 +165,12 @@ def chunk_paragraph(
         F.struct(strip_edges(F.col("text")).alias("t"), F.lit(-1).alias("i"), F.lit(False).alias("h"))
     )
     split = (
-        marked.withColumn("_heads", F.transform(F.filter("_b", lambda x: x["h"]), lambda x: x["i"]))
+        settle(marked).withColumn("_heads", F.transform(F.filter("_b", lambda x: x["h"]), lambda x: x["i"]))
         .withColumn("_paras", F.filter("_b", lambda x: ~x["h"]))
         .withColumn("_paras", F.when(F.size("_paras") == 0, whole).otherwise(F.col("_paras")))
         .withColumn("_texts", F.transform("_paras", lambda p: p["t"]))
     )
-    packed = split.withColumn(
+    packed = settle(split).withColumn(
         "_ranges",
         pack_udf(
             F.transform("_texts", F.length), F.transform("_paras", lambda p: p["i"]), "_heads",
@@ -188,7 +184,7 @@ def chunk_paragraph(
             F.get("_blocks", r["head"]).alias("heading_path"),
         ),
     )
-    rows = packed.select("doc_id", F.posexplode(chunks).alias("chunk_index", "_c")).select(
+    rows = rows_of(packed, ["doc_id"], chunks, "chunk_index", "_c").select(
         "doc_id",
         "chunk_index",
         truncate_to_tokens(F.col("_c.content"), max_tokens).alias("content"),
@@ -209,11 +205,17 @@ def chunk_segments(
     """
     how = _col(strategy)
     usable = F.filter("segments", lambda s: has_text(s["content"]))
-    units = F.filter(usable, lambda s: s["type"] != "heading")
-    base = docs.select("doc_id", units.alias("_u"), usable.alias("_all"), how.alias("_how"),
-                       F.greatest(F.lit(200), _col(max_chars)).alias("_max"),
-                       _col(min_chars).alias("_min"), F.greatest(F.lit(0), _col(overlap)).alias("_ov"))
-    packed = base.where(F.size("_u") > 0).withColumn(
+    plain = F.filter("segments", lambda s: has_text(s["content"]) & (s["type"] != "heading"))
+    only_heads = F.size(plain) == 0
+    base = docs.select(
+        "doc_id",
+        let(plain, lambda u: F.when(F.size(u) > 0, u).otherwise(let(usable, _headings_as_text))).alias("_u"),
+        F.when(~only_heads, how).alias("_how"),
+        F.when(only_heads, 900).otherwise(F.greatest(F.lit(200), _col(max_chars))).alias("_max"),
+        F.when(only_heads, 180).otherwise(_col(min_chars)).alias("_min"),
+        F.when(only_heads, 1).otherwise(F.greatest(F.lit(0), _col(overlap))).alias("_ov"),
+    )
+    packed = settle(base).withColumn(
         "_ranges",
         pack_segments_udf(
             F.transform("_u", lambda s: F.length(s["content"])),
@@ -241,7 +243,7 @@ def chunk_segments(
         ),
     )
     rows = (
-        packed.select("doc_id", "_how", F.posexplode(chunks).alias("chunk_index", "_c"))
+        rows_of(packed, ["doc_id", "_how"], chunks, "chunk_index", "_c")
         .select(
             "doc_id",
             "chunk_index",
@@ -265,12 +267,35 @@ def chunk_segments(
             F.col("_how").alias("chunk_strategy"),
         )
     )
-    # Documents of headings only: their joined text is packed as plain paragraphs.
-    bare = base.where((F.size("_u") == 0) & (F.size("_all") > 0)).select(
-        "doc_id",
-        F.array_join(F.transform("_all", lambda s: s["content"]), "\n\n").alias("text"),
-    )
-    return rows.unionByName(chunk_paragraph(bare, max_tokens=MAX_TOKENS))
+    return rows
+
+
+def _headings_as_text(all_: Column) -> Column:
+    """Units of a document that has headings only: packed as plain paragraphs.
+
+    Over-long headings count as paragraphs under the last short one; without
+    any, the whole is one paragraph.
+    """
+    def unit(content: Column, path: Column, kind: Column, level: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            none.alias("segment_id"), kind.alias("type"), content.alias("content"),
+            path.alias("heading_path"), F.lit(0).alias("start_order"), F.lit(0).alias("end_order"),
+            level.alias("heading_level"), none.alias("table_markdown"), none.alias("doc_type"),
+        )
+
+    none, no_level = F.lit(None).cast("string"), F.lit(None).cast("int")
+    whole = unit(F.array_join(F.transform(all_, lambda s: s["content"]), "\n\n"), none, none, no_level)
+
+    def above(i: Column) -> Column:
+        heads = F.filter(F.slice(all_, F.lit(1), i), lambda s: is_heading(s["content"]))
+        return F.get(heads, F.size(heads) - 1)["content"]
+
+    placed = F.transform(all_, lambda s, i: unit(s["content"], above(i), none, no_level))
+    long = F.filter(placed, lambda s: ~is_heading(s["content"]))
+    return F.when(F.size(all_) == 0, F.filter(F.array(whole), lambda _: F.lit(False))).when(
+        F.size(long) > 0, long
+    ).otherwise(F.array(whole))
 
 
 def _recursive(text: str, limit: int, level: int, out: list[str]) -> None:
@@ -312,10 +337,10 @@ def chunk_recursive(
     """
     limit = F.least(_col(max_chars), F.lit(max_tokens * 4))
     fits = F.length("text") <= limit
-    pieces = F.when(fits, F.array("text")).otherwise(
-        _recursive_udf(F.when(~fits, F.col("text")), limit)
+    pieces = F.when(fits, F.when(has_text(F.col("text")), F.array("text"))).otherwise(
+        _recursive_udf(F.when(~fits, _text()), limit)
     )
-    rows = _with_text(df).select("doc_id", F.posexplode(pieces).alias("chunk_index", "content"))
+    rows = rows_of(df, ["doc_id"], pieces, "chunk_index", "content")
     return _finish(
         rows.withColumn("content", truncate_to_tokens(F.col("content"), max_tokens)).withColumn(
             "heading_path", _no_path()
@@ -334,10 +359,8 @@ def sentences(
 
 
 def split_sentences(df: DataFrame, min_chars: int = 10, max_chars: int = 500) -> DataFrame:
-    return df.select(
-        "doc_id",
-        F.posexplode(sentences(F.col("text"), min_chars, max_chars)).alias("sentence_no", "sentence"),
-    )
+    found = sentences(F.col("text"), min_chars, max_chars)
+    return rows_of(df, ["doc_id"], found, "sentence_no", "sentence")
 
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -397,18 +420,19 @@ def chunk_semantic(
     max_tokens: int = MAX_TOKENS, batch_size: int = 20,
 ) -> DataFrame:
     """Sentences joined until the topic changes or the chunk is full."""
-    base = _with_text(df).select(
-        "doc_id", sentences(F.col("text"), min_sentence, max_sentence).alias("_s"),
+    base = df.select(
+        "doc_id", sentences(_text(), min_sentence, max_sentence).alias("_s"),
         _col(threshold).cast("double").alias("_th"), _col(max_chars).alias("_max"), _col(min_chars).alias("_min"),
-    ).where(F.size("_s") > 0)
+    )
     starts = split_points_udf(
         F.transform("_s", F.length),
         _neighbour_similarity(embedder, batch_size)("_s"),
         F.lit(None).cast("array<string>"),
         "_th", "_max", "_min", F.lit(1),
     )
-    rows = base.withColumn("_starts", starts).select(
-        "doc_id", F.posexplode(_ranges_of(F.col("_starts"), F.col("_s"))).alias("chunk_index", "_p")
+    rows = rows_of(
+        settle(base).withColumn("_starts", starts), ["doc_id"],
+        _ranges_of(F.col("_starts"), F.col("_s")), "chunk_index", "_p",
     )
     return _semantic_rows(
         rows.select("doc_id", "chunk_index", F.array_join("_p", " ").alias("_content"),
@@ -422,10 +446,8 @@ def chunk_semantic_segments(
     max_chars: int = 1500, max_tokens: int = MAX_TOKENS, batch_size: int = 20,
 ) -> DataFrame:
     """As ``chunk_semantic`` over segments; a new heading path also closes a chunk."""
-    usable = F.filter("segments", lambda s: has_text(s["content"]))
-    base = docs.select(
-        "doc_id", F.filter(usable, lambda s: s["type"] != "heading").alias("_u")
-    ).where(F.size("_u") > 0)
+    plain = F.filter("segments", lambda s: has_text(s["content"]) & (s["type"] != "heading"))
+    base = docs.select("doc_id", plain.alias("_u"))
     texts = F.transform("_u", lambda s: s["content"])
     starts = split_points_udf(
         F.transform("_u", lambda s: F.length(s["content"])),
@@ -433,8 +455,9 @@ def chunk_semantic_segments(
         F.transform("_u", lambda s: F.coalesce(F.when(has_text(s["heading_path"]), s["heading_path"]), F.lit(""))),
         F.lit(float(threshold)), F.lit(max_chars), F.lit(min_chars), F.lit(2),
     )
-    rows = base.withColumn("_starts", starts).select(
-        "doc_id", F.posexplode(_ranges_of(F.col("_starts"), F.col("_u"))).alias("chunk_index", "_p")
+    rows = rows_of(
+        settle(base).withColumn("_starts", starts), ["doc_id"],
+        _ranges_of(F.col("_starts"), F.col("_u")), "chunk_index", "_p",
     )
     paths = F.filter(F.transform("_p", lambda s: s["heading_path"]), has_text)
     return _semantic_rows(
@@ -455,15 +478,14 @@ def chunk_pack(
     max_sentence: int = 500,
 ) -> DataFrame:
     """Sentences packed by length only."""
-    base = _with_text(df).select(
-        "doc_id", sentences(F.col("text"), min_sentence, max_sentence).alias("_s")
-    ).where(F.size("_s") > 0)
+    base = df.select("doc_id", sentences(_text(), min_sentence, max_sentence).alias("_s"))
     starts = split_points_udf(
         F.transform("_s", F.length), F.lit(None).cast("array<double>"),
         F.lit(None).cast("array<string>"), F.lit(0.0), F.lit(max_chars), F.lit(0), F.lit(1),
     )
-    rows = base.withColumn("_starts", starts).select(
-        "doc_id", F.posexplode(_ranges_of(F.col("_starts"), F.col("_s"))).alias("chunk_index", "_p")
+    rows = rows_of(
+        settle(base).withColumn("_starts", starts), ["doc_id"],
+        _ranges_of(F.col("_starts"), F.col("_s")), "chunk_index", "_p",
     )
     return _semantic_rows(
         rows.select("doc_id", "chunk_index", F.array_join("_p", " ").alias("_content"),

@@ -94,6 +94,9 @@ def pack_udf(
 ) -> pd.Series:
     out = []
     for n, at, top, mx, mn, ov in zip(lengths, places, heads, max_chars, min_chars, overlap):
+        if n is None:
+            out.append(None)
+            continue
         at, top = list(at), list(top)
         out.append(
             [

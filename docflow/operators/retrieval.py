@@ -112,8 +112,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, by: str | None =
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if at_most(q, QUERY_BLOCK):
-        table = q.toArrow()  # at most QUERY_BLOCK rows, probed above
+    table = q.limit(QUERY_BLOCK + 1).toArrow()  # probe and fetch in one bounded read
+    if table.num_rows <= QUERY_BLOCK:
         q_mat = _matrix(table["embedding"], None)
         q_ids = _ids(table["query_id"])
         q_part = _ids(table[by]) if by else None
@@ -227,10 +227,21 @@ def rrf_fuse(legs: DataFrame, top_k: int, k: int = 60) -> DataFrame:
     return _cut(fused, top_k)
 
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, columns: Sequence[str] = ("content",)) -> DataFrame:
-    """Add chunk columns to hits. The hits are the small side; chunks are not shuffled."""
+def _small_side(df: DataFrame, small: bool | None) -> DataFrame:
+    """Broadcast if the caller has proven a bound, probe if it has not."""
+    return broadcast_if_small(df) if small is None else F.broadcast(df) if small else df
+
+
+def attach_chunks(
+    hits: DataFrame, chunks: DataFrame, columns: Sequence[str] = ("content",), small: bool | None = None
+) -> DataFrame:
+    """Add chunk columns to hits. Few hits travel to the chunks, which are not shuffled.
+
+    ``small`` says that the caller knows the hits to be few (or not); otherwise
+    they are counted up to the bound.
+    """
     side = chunks.select("chunk_id", *columns)
-    return side.join(broadcast_if_small(hits), "chunk_id").select(*hits.columns, *columns)
+    return side.join(_small_side(hits, small), "chunk_id").select(*hits.columns, *columns)
 
 
 def rerank_lexical(
@@ -277,7 +288,9 @@ def rerank_with(hits: DataFrame, scorer: Scorer, k: int) -> DataFrame:
     return _cut(final, k)
 
 
-def expand_window(hits: DataFrame, chunks: DataFrame, w: int = 1, keep_score: bool = False) -> DataFrame:
+def expand_window(
+    hits: DataFrame, chunks: DataFrame, w: int = 1, keep_score: bool = False, small: bool | None = None
+) -> DataFrame:
     """Neighbours ``index - w .. index + w`` of every hit, each chunk once per query.
 
     Scores become 1.0; ``keep_score`` keeps the best score of the covering hits.
@@ -294,12 +307,12 @@ def expand_window(hits: DataFrame, chunks: DataFrame, w: int = 1, keep_score: bo
     if not keep_score:
         wanted = wanted.withColumn("score", F.lit(1.0))
     side = chunks.select("doc_id", "chunk_index", "chunk_id", "content")
-    return side.join(broadcast_if_small(wanted), ["doc_id", "chunk_index"]).select(
+    return side.join(_small_side(wanted, small), ["doc_id", "chunk_index"]).select(
         "query_id", "chunk_id", "doc_id", "chunk_index", "content", "score"
     )
 
 
-def expand_parent(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def expand_parent(hits: DataFrame, chunks: DataFrame, small: bool | None = None) -> DataFrame:
     """Swap a child for its parent chunk where the parent exists; keep the score."""
     wanted = hits.where(F.col("parent_id").isNotNull()).select("parent_id").distinct()
     parents = (
@@ -308,7 +321,7 @@ def expand_parent(hits: DataFrame, chunks: DataFrame) -> DataFrame:
             F.col("content").alias("_content"),
             F.col("chunk_index").alias("parent_index"),
         )
-        .join(broadcast_if_small(wanted), "parent_id", "left_semi")
+        .join(_small_side(wanted, small), "parent_id", "left_semi")
     )
     found = F.col("_content").isNotNull()
     rest = [c for c in hits.columns if c not in ("chunk_id", "content", "parent_id")]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docflow.functions.bind import rows_of, settle
 from docflow.functions.structure import block_type, markdown_level, markdown_title
 from docflow.functions.text import has_text, normalize_ws
 from docflow.operators.chunking import text_blocks
@@ -34,18 +35,18 @@ def segment_documents(df: DataFrame, doc_type: str = "md", keep: tuple[str, ...]
 
     Runs inside the document row: no shuffle. Consecutive list blocks merge.
     """
-    blocks = df.where(has_text(F.col("text"))).select(
+    blocks = df.select(
         "doc_id",
         *keep,
         F.transform(
-            text_blocks(F.col("text")),
+            text_blocks(F.coalesce("text", F.lit(""))),
             lambda b: F.struct(b.alias("t"), markdown_level(b).alias("level"), block_type(b).alias("kind")),
         ).alias("_b"),
     )
     # Texts without headings, the majority, send nothing to Python.
     has_headings = F.exists("_b", lambda b: b["level"] > 0)
     levels = F.when(has_headings, F.transform("_b", lambda b: b["level"]))
-    stacked = blocks.withColumn("_stack", heading_stack_udf(levels))
+    stacked = settle(blocks).withColumn("_stack", heading_stack_udf(levels))
 
     def path(i: Column) -> Column:
         above = F.get("_stack", i)
@@ -80,14 +81,17 @@ def segment_documents(df: DataFrame, doc_type: str = "md", keep: tuple[str, ...]
             F.lit(doc_type).alias("doc_type"),
         )
 
-    return runs.select("doc_id", *keep, F.transform("_starts", segment).alias("segments"))
+    return settle(
+        settle(runs).select("doc_id", *keep, F.transform("_starts", segment).alias("segments"))
+    )
 
 
 def segment_text(df: DataFrame, doc_type: str = "md") -> DataFrame:
     """One row per segment, in document order."""
-    return segment_documents(df, doc_type).select(
-        "doc_id", F.posexplode("segments").alias("segment_no", "s")
-    ).select("doc_id", "segment_no", "s.*")
+    nested = segment_documents(df, doc_type)
+    return rows_of(nested, ["doc_id"], F.col("segments"), "segment_no", "s").select(
+        "doc_id", "segment_no", "s.*"
+    )
 
 
 def heading_paths(blocks: DataFrame, order: str = "block_no") -> DataFrame:
@@ -291,7 +295,7 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
         return F.when(tag == "", F.lit(0)).when(F.startswith(t, F.lit("</")), -known).otherwise(known)
 
     tokenised = pages.select(key, token_list.alias("_tok"))
-    pieces = tokenised.withColumn("_pieces", _page_pieces_udf(F.transform("_tok", code)))
+    pieces = settle(tokenised).withColumn("_pieces", _page_pieces_udf(F.transform("_tok", code)))
 
     def text(part: Column, keep: bool = False) -> Column:
         inner = F.slice("_tok", part["s"] + 1, part["e"] - part["s"])
@@ -393,8 +397,8 @@ def markdown_normalize(df: DataFrame) -> DataFrame:
             .otherwise("text")
         )
 
-    base = df.where(F.col("text").isNotNull()).select("doc_id", lines.alias("_l"))
-    blocks = base.withColumn("_k", _markdown_blocks_udf(F.transform("_l", kind)))
+    base = df.select("doc_id", lines.alias("_l"))
+    blocks = settle(base).withColumn("_k", _markdown_blocks_udf(F.transform("_l", kind)))
 
     def inline(s: Column) -> Column:
         s = F.regexp_replace(s, r"!?\[([^\]]*)\]\([^)]*\)", "$1")

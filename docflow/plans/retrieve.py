@@ -22,6 +22,7 @@ from docflow.operators.retrieval import (
     vector_topk,
 )
 from docflow.operators.tables import filter_reranked, filter_score
+from docflow.session import MAX_BROADCAST_ROWS, at_most
 
 # Fixed defaults.
 TOP_K = 8
@@ -52,6 +53,8 @@ def retrieve(
     (chunk_id, embedding). With ``by`` both sides match on that column only.
     """
     part = [by] if by else []
+    # Every stage keeps at most top_k rows per query, so counting the queries bounds them all.
+    small = at_most(queries, MAX_BROADCAST_ROWS // (top_k * (2 * window + 1)))
     if rewrites > 1:
         asked = rewrite_list(queries, rewrites).join(queries.select("query_id", *part), "query_id")
     else:
@@ -95,7 +98,7 @@ def retrieve(
     info = ["content", "doc_id", "chunk_index", "doc_name", "heading_path", "segment_type"]
     if expansion == "parent":
         info.append("parent_id")
-    hits = attach_chunks(fused, chunks, info).join(queries.select("query_id", "query"), "query_id")
+    hits = attach_chunks(fused, chunks, info, small).join(queries.select("query_id", "query"), "query_id")
     if scorer is not None:
         hits = filter_reranked(rerank_with(hits, scorer, top_k), rerank_threshold)
     elif rerank:
@@ -103,7 +106,7 @@ def retrieve(
     order = ["rank"]
     shown = hits
     if expansion == "window":
-        shown = expand_window(hits, chunks, window).join(
+        shown = expand_window(hits, chunks, window, small=small).join(
             hits.groupBy("query_id", "doc_id").agg(F.any_value("doc_name").alias("doc_name")),
             ["query_id", "doc_id"],
         ).withColumn("doc_name", F.coalesce("doc_name", F.lit("Unknown"))).withColumn(
@@ -111,5 +114,5 @@ def retrieve(
         ).withColumn("segment_type", F.lit(None).cast("string"))
         order = ["chunk_index", "chunk_id"]
     elif expansion == "parent":
-        shown = expand_parent(hits, chunks)
+        shown = expand_parent(hits, chunks, small)
     return Retrieval(shown, evidence_context(shown, max_context, order))
