@@ -67,7 +67,7 @@ TASKS, TASKS_SQL = _both(
 
 CHUNKS, CHUNKS_SQL = _both(
     """SELECT doc_id, source AS kb_id, text AS content, 0 AS deleted, 0 AS chunk_index, doc_id AS chunk_id,
-  CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars / 5 AS BIGINT) ELSE 0 END AS token_count,
+  CASE WHEN doc_id % 3 = 0 THEN CAST(floor(n_chars / 5) AS BIGINT) ELSE 0 END AS token_count,
   CASE WHEN doc_id % 3 = 1 THEN n_chars ELSE 0 END AS char_count FROM {documents}""",
     "documents",
 )

@@ -8,6 +8,7 @@ from docflow.catalog import base as B
 from docflow.catalog.text import ws
 from docflow.functions import structure as X
 from docflow.operators import layout as L
+from docflow.operators.ordered import groups_fit
 
 col = F.col
 
@@ -35,6 +36,11 @@ MARKED_SQL = f"""m AS (SELECT b.* EXCLUDE (text), CASE b.box_no % 13 WHEN 5 THEN
 ty AS (SELECT doc_id, page_num, box_no, x1, y1, x2, y2, font_size, bold, baseline, t, {TYPE_SQL} AS type FROM (SELECT m.*, baseline, {ws('m.text')} AS t FROM m JOIN ba ON ba.doc_id = m.doc_id))"""
 
 
+def fits(s, d):
+    """Boxes are lines of documents; no later group is larger than a document."""
+    return groups_fit(B.boxes(s, d), ["doc_id"])
+
+
 def page_table(s, d):
     return B.boxes(s, d).select("doc_id", "page_num").distinct().withColumn("page_width", F.lit(600.0))
 
@@ -54,7 +60,7 @@ def columns(s, d):
 def captions(s, d):
     """Captions in plain page order: one column, so the order is that of the lines."""
     one = L.classify_boxes(marked_boxes(s, d)).withColumn("column_index", F.lit(0))
-    return L.attach_captions(one).select("doc_id", "box_no", "table_caption")
+    return L.attach_captions(one, fits(s, d)).select("doc_id", "box_no", "table_caption")
 
 
 CAPTION_SQL = f"""WITH {BASE_SQL}, {MARKED_SQL}, c AS (SELECT *, CASE WHEN type = 'Caption' AND regexp_matches(lower(t), '^(table|表)') THEN t END AS cap FROM ty)
@@ -83,11 +89,11 @@ def merged(s, d):
     b = L.classify_boxes(marked_boxes(s, d))
     y = F.floor(col("box_no") / 2) * 14.0
     wide = b.withColumn("y1", y).withColumn("y2", y + 12.0).withColumn("x2", F.when(col("box_no") % 2 == 0, 305.0 + col("box_no") % 30).otherwise(col("x2")))
-    return L.merge_horizontal(wide).select("doc_id", "page_num", "box_no", *L.BBOX, "font_size", "type", "text", "merged_boxes")
+    return L.merge_horizontal(wide, fits(s, d)).select("doc_id", "page_num", "box_no", *L.BBOX, "font_size", "type", "text", "merged_boxes")
 
 
 def vertical(s, d):
-    return L.merge_vertical(columned(s, d).withColumn("merged_boxes", F.lit(1)))
+    return L.merge_vertical(columned(s, d).withColumn("merged_boxes", F.lit(1)), fits(s, d))
 
 
 def vertical_shown(s, d):
@@ -95,15 +101,11 @@ def vertical_shown(s, d):
 
 
 def downward(s, d):
-    return L.concat_downward(vertical(s, d).withColumn("type", F.when(col("type") == "Title", "Text").otherwise(col("type")))).select(
+    return L.concat_downward(vertical(s, d).withColumn("type", F.when(col("type") == "Title", "Text").otherwise(col("type"))), fits(s, d)).select(
         "doc_id", "page_num", "column_index", "box_no", *L.BBOX, "type", "merged_boxes", "y_gap", "x_delta", "font_delta", "same_column", "continuation",
     )
 
 
-def order(s, d):
-    return L.reading_order(columned(s, d)).select("doc_id", "box_no", "reading_order")
-
-
 def half_columns(s, d):
     """Column index known by construction: odd boxes sit in the second column."""
     return marked_boxes(s, d).withColumn("column_index", (col("box_no") % 2).cast("int"))

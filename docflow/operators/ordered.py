@@ -87,16 +87,27 @@ def _position(df: DataFrame, name: str) -> Column:
     return -number if descending else number
 
 
+def groups_fit(df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> bool:
+    """True if no key has more than ``group_rows`` rows. One narrow aggregation."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) <= group_rows
+
+
 def slicing(
-    df: DataFrame, keys: list[str], order: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], group_rows: int = GROUP_ROWS,
+    bounded: bool = False,
 ) -> Slicing:
     """Find large keys and their cut points.
 
     ``order`` must be total within a key; a leading ``-`` means descending.
     The cut points are collected so that every later pass uses the same ones;
-    there are at most ``2 * MAX_SLICES`` of them.
+    there are at most ``2 * MAX_SLICES`` of them. ``bounded`` says that the
+    caller already knows every key to be small (``groups_fit`` on an input that
+    the rows come from), so nothing is counted again.
     """
     plan = Slicing(list(keys), list(order))
+    if bounded:
+        return plan
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     if not largest or largest <= group_rows:

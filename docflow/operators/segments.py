@@ -94,7 +94,7 @@ def segment_text(df: DataFrame, doc_type: str = "md") -> DataFrame:
     )
 
 
-def heading_paths(blocks: DataFrame, order: str = "block_no") -> DataFrame:
+def heading_paths(blocks: DataFrame, order: str = "block_no", bounded: bool = False) -> DataFrame:
     """Heading path of every block row (doc_id, order, level, title; level 0 = no heading).
 
     A heading of level l replaces everything from depth l on. With n the number
@@ -102,7 +102,7 @@ def heading_paths(blocks: DataFrame, order: str = "block_no") -> DataFrame:
     skipped level needs no recursion; the name at each depth is the last one
     known there.
     """
-    plan = slicing(blocks, ["doc_id"], [order])
+    plan = slicing(blocks, ["doc_id"], [order], bounded=bounded)
     is_head = F.col("level") > 0
     counted = ordered(blocks, plan, _n=running_sum(F.when(is_head, 1).otherwise(0)))
     deep = ordered(counted, plan, _low=running_min(F.when(is_head, F.col("level") - F.col("_n"))))
@@ -124,12 +124,12 @@ def heading_paths(blocks: DataFrame, order: str = "block_no") -> DataFrame:
     )
 
 
-def merge_list_runs(segs: DataFrame, order: str = "start_order") -> DataFrame:
+def merge_list_runs(segs: DataFrame, order: str = "start_order", bounded: bool = False) -> DataFrame:
     """Join runs of consecutive list segments under one heading path.
 
     ``segs`` has (doc_id, type, content, heading_path, order). A group is one run.
     """
-    plan = slicing(segs, ["doc_id"], [order])
+    plan = slicing(segs, ["doc_id"], [order], bounded=bounded)
     seen = ordered(
         segs, plan, _pt=lag_of(F.col("type")), _pp=lag_of(F.col("heading_path"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,21 +43,24 @@ def _located(df: DataFrame) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One record per line; blank lines are skipped, the schema is given, not inferred."""
-    raw = spark.read.schema(RECORD).option("pathGlobFilter", "*.jsonl")
-    return _located(raw.option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path))
+    raw = spark.read.option("pathGlobFilter", "*.jsonl")
+    return parse_json_lines(raw.option("recursiveFileLookup", "true").option("mode", "FAILFAST"), path)
+
+
+def parse_json_lines(reader: DataFrameReader, path: str) -> DataFrame:
+    return _located(reader.schema(RECORD).json(path))
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole-file JSON: an array of records, ``{"data": [...]}`` or one record."""
+    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true")
+    return parse_json_documents(reader.option("multiLine", "true").option("mode", "FAILFAST"), path)
+
+
+def parse_json_documents(reader: DataFrameReader, path: str) -> DataFrame:
+    """Records of whole-file JSON, whatever the file names are."""
     schema = T.StructType(RECORD.fields + [T.StructField("data", T.ArrayType(RECORD))])
-    raw = (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", "*.json")
-        .option("recursiveFileLookup", "true")
-        .option("multiLine", "true")
-        .option("mode", "FAILFAST")
-        .json(path)
-    )
+    raw = reader.schema(schema).json(path)
     names = RECORD.fieldNames()
     place = ["source_file", "source_offset", "source_seq"]
     located = _located(raw)
