@@ -198,8 +198,8 @@ def decode_entities(c: Column) -> Column:
     return F.regexp_replace(c, "&amp;?", "&")
 
 
-def _element_end(codes: list[int], at: int) -> int:
-    """Index of the token that closes the element opened at ``at``."""
+def _element_end(codes: list[int], at: int) -> tuple[int, int]:
+    """Where the content of the element opened at ``at`` ends, and where to go on."""
     tag, depth = codes[at], 0
     for i in range(at, len(codes)):
         if codes[i] == tag:
@@ -207,10 +207,10 @@ def _element_end(codes: list[int], at: int) -> int:
         elif codes[i] == -tag:
             depth -= 1
         if depth == 0:
-            return i
+            return i, i + 1
         if tag == _CODE["p"] and i > at and codes[i] in _STARTS:
-            return i - 1  # a paragraph ends where the next block begins
-    return len(codes)
+            return i, i  # a paragraph ends where the next block begins
+    return len(codes), len(codes)
 
 
 def _split_at(codes: list[int], first: int, end: int, openers: set[int]) -> list[int]:
@@ -244,7 +244,7 @@ def page_pieces(codes: list[int]) -> list[dict]:
         elif c == _CODE["br"]:
             add("br", 0, [])
         elif c in _STARTS:
-            end = _element_end(codes, i)
+            end, after = _element_end(codes, i)
             inside = [{"s": i + 1, "e": end}]
             if c in _HEADS:
                 add("head", _HEADS[c], inside)
@@ -268,7 +268,8 @@ def page_pieces(codes: list[int]) -> list[dict]:
                 add("close", 0, [])
             else:
                 add("block", 0, inside)
-            i = end
+            i = after
+            continue
         i += 1
     return out
 

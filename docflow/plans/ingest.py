@@ -17,6 +17,7 @@ from docflow.operators.chunking import (
     chunk_semantic_segments,
 )
 from docflow.operators.segments import html_to_markdown, markdown_normalize, segment_documents
+from docflow.session import cut_lineage, work_path
 from docflow.sources.readers import route_by_type
 
 STRUCTURED = ["paragraph", "smart", "paper", "manual", "table"]
@@ -74,6 +75,18 @@ def chunk_structured(docs: DataFrame, embedder: Embedder | None = None) -> DataF
     return out
 
 
+def stage_by(df: DataFrame, column: str) -> DataFrame:
+    """Write a table once, laid out by ``column``, and go on from the files.
+
+    Every branch below filters on the column and reads its own files only, so a
+    document is parsed and read once however many branches there are.
+    """
+    path = work_path(df.sparkSession, "staged")
+    df.withColumn("_part", F.coalesce(F.col(column), F.lit(""))).write.partitionBy("_part").parquet(path)
+    back = df.sparkSession.read.schema(df.schema.add("_part", "string")).parquet(path)
+    return back.withColumn(column, F.col("_part")).select(*df.columns)
+
+
 def ingest(documents: DataFrame, embedder: Embedder, model: str = "hashing", dimension: int = 64) -> Ingest:
     """Documents (doc_id, kb_id, file_name, text, strategy, config, created_by) to tables.
 
@@ -82,12 +95,13 @@ def ingest(documents: DataFrame, embedder: Embedder, model: str = "hashing", dim
     """
     parsed, errors = parse(documents)
     meta = documents.select("doc_id", "kb_id", "file_name", "strategy", "config", "created_by")
-    texts = parsed.select("doc_id", "text").join(meta, "doc_id")
-    pieces = chunk_structured(texts.select("doc_id", "text", "strategy", "config"), embedder)
+    texts = parsed.select("doc_id", "text").join(meta.select("doc_id", "strategy", "config"), "doc_id")
+    pieces = chunk_structured(stage_by(texts, "strategy"), embedder)
     info = meta.select(
         "doc_id", "kb_id", F.col("file_name").alias("doc_name"),
         F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).alias("file_type"), "created_by",
     )
-    chunks = build_chunk_rows(info, pieces, model, dimension)
+    # Stored once: the vectors and the caller read the same rows.
+    chunks = cut_lineage(build_chunk_rows(info, pieces, model, dimension))
     vectors = embed_once(chunks.select("chunk_id", "kb_id", "doc_id", "content"), "content", embedder)
     return Ingest(chunks, vectors.select("chunk_id", "kb_id", "doc_id", "embedding"), errors)

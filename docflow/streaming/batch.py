@@ -115,7 +115,7 @@ def task_states(events: DataFrame) -> DataFrame:
         state = next_task_state(state, row[1], row[2])
         return state, (row[0], *[state[f] for f in fields])
 
-    return fold_sorted(events, ["task_id"], ["seq"], step, ["seq", "event", "at"], schema)
+    return fold_sorted(events, ["task_id"], ["seq", "event", "at"], step, ["seq", "event", "at"], schema)
 
 
 def open_tasks(tasks: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ class TokenBucket(StatefulProcessor):
         self.handle = handle
         self.bucket = handle.getValueState("bucket", BUCKET)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tokens, last = self.bucket.get() if self.bucket.exists() else (None, None)
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
@@ -123,7 +123,7 @@ class TokenBucket(StatefulProcessor):
         self.handle.registerTimer(int(_millis(batch["ts"]).iloc[-1]) + full_after_ms(*self.rule))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "tokens"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.bucket.clear()
         yield pd.DataFrame([], columns=["user_id", "event_id", "allowed", "tokens"])
 
@@ -155,7 +155,7 @@ class LastSignature(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "signature string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         batch = pd.concat(list(rows)).sort_values("sent_at")
         out = []
@@ -185,11 +185,11 @@ class TaskMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("task", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = STATE.fieldNames()
         state = dict(zip(names, self.state.get())) if self.state.exists() else None
         out = []
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+        for row in pd.concat(list(rows)).sort_values(["seq", "event", "at"]).itertuples():
             state = next_task_state(state, row.event, row.at.to_pydatetime())
             out.append((key[0], row.seq, *[state[n] for n in names]))
         self.state.update(tuple(state[n] for n in names))
