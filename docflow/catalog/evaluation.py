@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.catalog import base as B
-from docflow.catalog.retrieval import keyword_hits, key_queries
+from docflow.catalog.retrieval import few, keyword_hits, key_queries
 from docflow.catalog.text import ws
 from docflow.operators import evaluation as E
 from docflow.plans.answer import answer, top_contexts, trace_rows, verify
@@ -161,7 +161,7 @@ def _found(s, d):
     from docflow.catalog.retrieval import key_chunks
     from docflow.operators.retrieval import attach_chunks, evidence_context
 
-    hits = attach_chunks(keyword_hits(s, d), key_chunks(s, d), ["content", "doc_id", "chunk_index", "doc_name", "heading_path", "segment_type"], True)
+    hits = attach_chunks(keyword_hits(s, d), key_chunks(s, d), ["content", "doc_id", "chunk_index", "doc_name", "heading_path", "segment_type"], few(s, d))
     return Retrieval(hits, evidence_context(hits, 8))
 
 

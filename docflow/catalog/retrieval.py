@@ -10,6 +10,7 @@ from docflow.hooks import HashingEmbedder, embed_once
 from docflow.operators import retrieval as R
 from docflow.operators import tables as T
 from docflow.plans.retrieve import retrieve
+from docflow.session import MAX_BROADCAST_ROWS, at_most
 
 col = F.col
 EMBEDDER = HashingEmbedder()
@@ -65,6 +66,11 @@ kr AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY qu
 )
 
 
+def few(s, d, k=20):
+    """k hits per question: counting the questions bounds the hits."""
+    return at_most(key_queries(s, d), MAX_BROADCAST_ROWS // k)
+
+
 def rrf(s, d):
     """Two keyword lists per question: all documents, and one rewrite by its first words."""
     q = key_queries(s, d)
@@ -99,7 +105,7 @@ SELECT query_id, chunk_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITI
 
 
 def lexical_rerank(s, d):
-    hits = R.attach_chunks(keyword_hits(s, d, 20), key_chunks(s, d)).join(key_queries(s, d), "query_id")
+    hits = R.attach_chunks(keyword_hits(s, d, 20), key_chunks(s, d), small=few(s, d)).join(key_queries(s, d), "query_id")
     return _shown(R.rerank_lexical(hits, 8))
 
 
@@ -123,7 +129,7 @@ def length_scorer(queries, contents):
 
 
 def external_rerank(s, d):
-    hits = R.attach_chunks(keyword_hits(s, d, 20), key_chunks(s, d)).join(key_queries(s, d), "query_id")
+    hits = R.attach_chunks(keyword_hits(s, d, 20), key_chunks(s, d), small=few(s, d)).join(key_queries(s, d), "query_id")
     return _shown(R.rerank_with(hits, length_scorer, 8)).withColumn("score", F.round("score", 6))
 
 

@@ -60,7 +60,7 @@ def task_events(s, d):
         F.when(col("l_linenumber") == 1, "enqueue").when(col("l_linenumber") % 2 == 0, "claim")
         .when(col("l_returnflag") == "R", "failure").when(col("l_returnflag") == "A", "success").when(col("l_linestatus") == "F", "retry").otherwise("renew")
     )
-    seq = col("l_linenumber") * 1_000_000_000 + col("l_partkey") * 10_000 + col("l_suppkey")
+    seq = col("l_linenumber").cast("bigint") * 1_000_000_000 + col("l_partkey") * 10_000 + col("l_suppkey")
     base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     at = F.timestamp_add("MINUTE", (col("l_linenumber") * 20 + col("l_partkey") % 15).cast("int"), base)
     return x.select(col("l_orderkey").alias("task_id"), seq.alias("seq"), kind.alias("event"), at.alias("at"))

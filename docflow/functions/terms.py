@@ -81,6 +81,32 @@ def tokens(content: Column) -> Column:
     return F.filter(F.split(F.lower(content), r"[^\p{L}\p{Nd}]+"), lambda t: F.length(t) > 0)
 
 
+def counted(words: Column) -> Column:
+    """Distinct words with their counts, in word order: array of (word, n).
+
+    Sorted inside the row, so counting the words of a text needs no shuffle.
+    """
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(w) - 1),
+            lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)),
+        )
+        lengths = let(
+            starts,
+            lambda s: F.transform(
+                s,
+                lambda at, i: F.struct(
+                    F.get(w, at).alias("word"),
+                    (F.coalesce(F.get(s, i + 1), F.size(w)) - at).alias("n"),
+                ),
+            ),
+        )
+        return F.when(F.size(w) > 0, lengths)
+
+    return let(F.array_sort(words), runs)
+
+
 def lexical_score(content: Column, terms: Column) -> Column:
     """Share of ``terms`` that occur in ``content``, ignoring case."""
     hits = let(

@@ -27,6 +27,7 @@ from docflow.functions.text import (
     truncate_to_tokens,
 )
 from docflow.operators.kernels import pack_segments_udf, pack_udf, split_points_udf
+from docflow.session import stage_by
 
 # Fixed values.
 MAX_TOKENS = 512
@@ -499,13 +500,17 @@ CHUNK_COLUMNS = ["doc_id", "chunk_index", "content", "heading_path", "chunk_stra
 
 def chunk(
     df: DataFrame, strategy_col: str = "strategy", config_col: str = "config",
-    embedder: Embedder | None = None,
+    embedder: Embedder | None = None, staged: bool = False,
 ) -> DataFrame:
     """Chunk each document by its own strategy and JSON configuration.
 
     One filtered branch per strategy; settings are read per row. An unknown
-    strategy packs paragraphs with the defaults.
+    strategy packs paragraphs with the defaults. The documents are laid out by
+    strategy first, so a branch reads its own ones only; ``staged`` says that
+    they already are.
     """
+    if not staged:
+        df = stage_by(df, strategy_col)
     name = F.lower(strip_edges(F.col(strategy_col)))
     d = df.withColumn("_name", F.when(has_text(F.col(strategy_col)), name).otherwise("paragraph"))
     cfg = F.try_parse_json(F.col(config_col))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.terms import (
+    counted,
     lexical_score,
     rerank_terms,
     search_terms,
@@ -176,39 +177,52 @@ def keyword_topk(
     matching token positions, ``s = weight * m`` and the score is ``s / (1 + s)``.
 
     The terms of a query are cut to its shortest prefixes, so a position counts
-    once and matches are summed map-side. Terms meet tokens by an equi-join on
-    their first characters; the terms are broadcast only behind a size probe.
+    once and matches are summed map-side. Equal tokens of a chunk are counted in
+    the row before anything is joined. Few queries travel as one row per distinct
+    term; many meet the vocabulary first, so that prefixes are compared once per
+    distinct token and the chunks join by equality.
     """
     part = [by] if by else []
     terms = queries.select(
         "query_id", *part, F.explode(shortest_prefixes(search_terms(F.col("query")))).alias("term")
-    ).withColumn("_head", F.substring("term", 1, 2))
-    words = chunks.select("chunk_id", *part, F.explode(tokens(F.col("content"))).alias("token"))
-    if not at_most(terms, 200_000):
-        # Count equal tokens first: what is joined shrinks to a chunk's vocabulary.
-        words = words.groupBy("chunk_id", *part, "token").agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        words, terms = words.withColumn("_n", F.lit(1).cast("bigint")), F.broadcast(terms)
-    # One-character terms exist only for Han text; they need their own key.
-    keyed = words.withColumn(
-        "_head",
-        F.explode(
-            F.when(
-                F.col("token").rlike(r"^\p{IsHan}") & (F.length("token") > 1),
-                F.array(F.substring("token", 1, 2), F.substring("token", 1, 1)),
-            ).otherwise(F.array(F.substring("token", 1, 2)))
-        ),
-    )
-    hits = (
-        keyed.join(terms, ["_head", *part])
-        .where(F.startswith("token", "term"))
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("_n").alias("matches"))
     )
+    words = chunks.select(
+        "chunk_id", *part, F.explode_outer(counted(tokens(F.col("content")))).alias("_t")
+    ).select("chunk_id", *part, F.col("_t.word").alias("token"), F.col("_t.n").cast("bigint").alias("_n"))
+    if at_most(terms, 200_000):
+        by_term = terms.groupBy(*part, "term").agg(F.collect_list("query_id").alias("_q"))
+        side = F.broadcast(by_term.withColumn("_head", F.substring("term", 1, 2)))
+        matched = (
+            _with_heads(words)
+            .join(side, ["_head", *part])
+            .where(F.startswith("token", "term"))
+            .select("chunk_id", "_n", F.explode("_q").alias("query_id"))
+        )
+    else:
+        vocabulary = words.select(*part, "token").distinct()
+        heads = terms.withColumn("_head", F.substring("term", 1, 2))
+        pairs = (
+            _with_heads(vocabulary)
+            .join(heads, ["_head", *part])
+            .where(F.startswith("token", "term"))
+            .select("token", *part, "query_id")
+        )
+        matched = words.join(pairs, ["token", *part]).select("chunk_id", "_n", "query_id")
+    hits = matched.groupBy("query_id", "chunk_id").agg(F.sum("_n").alias("matches"))
     s = F.lit(float(weight)) * F.col("matches")
     return _cut(hits.select("query_id", "chunk_id", (s / (F.lit(1.0) + s)).alias("score")), k)
 
 
+def _with_heads(words: DataFrame) -> DataFrame:
+    """Join key of a token: its first two characters.
+
+    Terms of one character exist for Han text only; such tokens get that key too.
+    """
+    two, one = F.substring("token", 1, 2), F.substring("token", 1, 1)
+    short = F.col("token").rlike(r"^\p{IsHan}") & (F.length("token") > 1)
+    return words.withColumn("_head", F.explode(F.when(short, F.array(two, one)).otherwise(F.array(two))))
+
+
 def rrf_fuse(legs: DataFrame, top_k: int, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of result lists.
 

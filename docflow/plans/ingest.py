@@ -17,7 +17,7 @@ from docflow.operators.chunking import (
     chunk_semantic_segments,
 )
 from docflow.operators.segments import html_to_markdown, markdown_normalize, segment_documents
-from docflow.session import cut_lineage, work_path
+from docflow.session import cut_lineage, stage_by
 from docflow.sources.readers import route_by_type
 
 STRUCTURED = ["paragraph", "smart", "paper", "manual", "table"]
@@ -61,7 +61,7 @@ def chunk_structured(docs: DataFrame, embedder: Embedder | None = None) -> DataF
         )
     ]
     flat = tagged.where(~F.col("_name").isin([*STRUCTURED, "semantic"]))
-    parts.append(chunk(flat))
+    parts.append(chunk(flat, staged=True))
     if embedder is not None:
         semantic = segment_documents(tagged.where(F.col("_name") == "semantic"))
         parts.append(chunk_semantic_segments(semantic, embedder))
@@ -75,18 +75,6 @@ def chunk_structured(docs: DataFrame, embedder: Embedder | None = None) -> DataF
     return out
 
 
-def stage_by(df: DataFrame, column: str) -> DataFrame:
-    """Write a table once, laid out by ``column``, and go on from the files.
-
-    Every branch below filters on the column and reads its own files only, so a
-    document is parsed and read once however many branches there are.
-    """
-    path = work_path(df.sparkSession, "staged")
-    df.withColumn("_part", F.coalesce(F.col(column), F.lit(""))).write.partitionBy("_part").parquet(path)
-    back = df.sparkSession.read.schema(df.schema.add("_part", "string")).parquet(path)
-    return back.withColumn(column, F.col("_part")).select(*df.columns)
-
-
 def ingest(documents: DataFrame, embedder: Embedder, model: str = "hashing", dimension: int = 64) -> Ingest:
     """Documents (doc_id, kb_id, file_name, text, strategy, config, created_by) to tables.
 
