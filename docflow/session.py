@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +74,16 @@ def stage_by(df: DataFrame, column: str) -> DataFrame:
     df.withColumn("_part", F.coalesce(F.col(column), F.lit(""))).write.partitionBy("_part").parquet(path)
     back = df.sparkSession.read.schema(df.schema.add("_part", "string")).parquet(path)
     return back.withColumn(column, F.col("_part")).select(*df.columns)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_docflow_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='docflow-')}/docflow", "zip", package.parent, package.name
+    )
+    context.addPyFile(archive)
+    context._docflow_shipped = True

@@ -6,10 +6,12 @@ repeated after a failure.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from docflow.operators.observability import clamp_hours
 from docflow.plans.ingest import ingest
 from docflow.session import work_path
 from docflow.sources.writers import replace_path, write_buckets
+from docflow.streaming import state
 from docflow.streaming.batch import STATE, decode_messages, metric_slices
 from docflow.streaming.state import (
     MINUTE_MS,
@@ -29,6 +32,12 @@ from docflow.streaming.state import (
 )
 
 
+# The worker that sets up a stateful operator starts before shipped files are on its
+# path; the processors and their rules therefore travel with the query itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(state)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state lives in RocksDB, not on the heap."""
     spark.conf.set(

@@ -248,3 +248,62 @@ def test_rate_limit_of_a_busy_key(spark):
         want[i] = (tokens > 0, tokens - 1 if tokens > 0 else tokens)
         tokens = want[i][1]
     assert got == want and not all(a for a, _ in got.values())
+
+
+@pytest.mark.parametrize("how", ["paragraph", "paper", "manual", "table"])
+def test_segment_packing(spark, sf, how):
+    """Chunks of segments against a plain loop over the rules."""
+    from docflow.operators import segments as S
+
+    nested = S.segment_documents(B.markdown(spark, sf))
+    got: dict = {}
+    for r in C.chunk_segments(nested, how, 300, 1, 60).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.content, r.heading_path))
+    for doc in nested.collect():
+        units = [u for u in doc.segments if u.type != "heading"]
+        if not units:
+            continue
+        want, i = [], 0
+        while i < len(units):
+            if how == "table" and units[i].type in ("table", "caption"):
+                want.append((units[i].content[:2048], units[i].heading_path))
+                i += 1
+                continue
+            parts, path, j = [], None, i
+            while j < len(units):
+                u, size = units[j], len("\n\n".join(parts))
+                moved = bool(path and u.heading_path and path != u.heading_path)
+                if parts and (
+                    (how == "table" and u.type in ("table", "caption"))
+                    or (moved and size >= 60)
+                    or (how == "paper" and size >= 60 and u.type in ("caption", "table", "figure"))
+                    or (size + 2 + len(u.content) > 300 and size >= 60)
+                ):
+                    break
+                parts.append(u.content)
+                path = path or u.heading_path
+                j += 1
+                if len("\n\n".join(parts)) >= 300:
+                    break
+            want.append(("\n\n".join(parts)[:2048], path))
+            if j >= len(units):
+                break
+            i = max(i + 1, j - 1)
+        assert got[doc.doc_id] == want
+
+
+def test_alert_job(spark, sf, tmp_path):
+    """The alert job hands on what the batch computes from the same slices."""
+    from docflow.session import work_path
+    from docflow.streaming import jobs as J
+
+    sent = []
+    root = work_path(spark, "alerts")
+    q = J.alert_stream(
+        CS.as_stream(B.runs(spark, sf), "runs"), f"{root}/slices", f"{root}/checkpoint",
+        lambda rates, now: sent.append((now, {tuple(r) for r in rates.collect()})), 360, 360,
+    )
+    q.awaitTermination()
+    now, rates = sent[-1]
+    slices = SB.metric_slices(B.runs(spark, sf)).where(F.col("slice_start") < F.lit(str(now)).cast("timestamp"))
+    assert rates == {tuple(r) for r in J.rolling_rates(slices, now, 360, 360).collect()}
