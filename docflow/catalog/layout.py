@@ -68,8 +68,8 @@ SELECT doc_id, box_no, CASE WHEN type = 'Table' THEN coalesce(lag(cap) OVER w, l
 
 
 def shifted(s, d):
-    """Second box set: every third box, moved and stretched."""
-    return B.boxes(s, d).where(col("box_no") % 3 == 0).select(
+    """Second box set: every box, moved and stretched."""
+    return B.boxes(s, d).select(
         "doc_id", "page_num", col("box_no").alias("region_no"), (col("x1") - 20).alias("x1"), (col("y1") + col("box_no") % 9).alias("y1"),
         (col("x2") + 300).alias("x2"), (col("y2") + col("box_no") % 9).alias("y2"),
         F.element_at(F.array(*[F.lit(x) for x in ("Title", "figure", "List", "equation")]), (col("box_no") % 4 + 1).cast("int")).alias("region_type"),
@@ -77,7 +77,7 @@ def shifted(s, d):
 
 
 PAIRS_SQL = f"""WITH b AS ({B.BOXES_SQL}), r AS (SELECT doc_id, page_num, box_no AS region_no, x1 - 20 AS x1, y1 + box_no % 9 AS y1, x2 + 300 AS x2, y2 + box_no % 9 AS y2,
- CASE box_no % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'figure' WHEN 2 THEN 'text' ELSE 'formula' END AS kind FROM b WHERE box_no % 3 = 0),
+ CASE box_no % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'figure' WHEN 2 THEN 'text' ELSE 'formula' END AS kind FROM b),
 o AS (SELECT b.doc_id, b.page_num, b.box_no, r.region_no, r.kind, least(b.x2, r.x2) - greatest(b.x1, r.x1) AS w, least(b.y2, r.y2) - greatest(b.y1, r.y1) AS h,
  least((b.x2 - b.x1) * (b.y2 - b.y1), (r.x2 - r.x1) * (r.y2 - r.y1)) AS a FROM b JOIN r ON b.doc_id = r.doc_id AND b.page_num = r.page_num),
 hit AS (SELECT * FROM o WHERE w > 0 AND h > 0 AND w * h / a > 0.5)

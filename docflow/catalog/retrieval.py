@@ -148,8 +148,8 @@ def line_chunks(s, d):
 
 
 def line_hits(s, d):
-    """Every 7th line of a document is a hit of the query named by its language."""
-    return B.lines(s, d).where(col("line_no") % 7 == 3).join(B.load(s, d, "documents").select("doc_id", col("lang").alias("query_id")), "doc_id").select(
+    """Long lines of a document are hits of the query named by its language."""
+    return B.lines(s, d).where(F.length("line") > 400).join(B.load(s, d, "documents").select("doc_id", col("lang").alias("query_id")), "doc_id").select(
         "query_id", "doc_id", col("line_no").cast("int").alias("chunk_index"), F.lit(0.5).alias("score"),
     )
 
@@ -300,7 +300,7 @@ ENTRIES: dict[str, B.Entry] = {
     ),
     "window_expansion": (
         window,
-        f"""WITH l AS ({B.LINES_SQL}), h AS (SELECT lang AS query_id, l.doc_id, line_no FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE line_no % 7 = 3),
+        f"""WITH l AS ({B.LINES_SQL}), h AS (SELECT lang AS query_id, l.doc_id, line_no FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE length(line) > 400),
 n AS (SELECT DISTINCT query_id, doc_id, unnest(range(greatest(0, line_no - 2), line_no + 3)) AS line_no FROM h)
 SELECT query_id, concat(n.doc_id, ':', n.line_no) AS chunk_id, n.doc_id, CAST(n.line_no AS INTEGER) AS chunk_index, line AS content, 1e0 AS score FROM n JOIN l ON l.doc_id = n.doc_id AND l.line_no = n.line_no""",
     ),

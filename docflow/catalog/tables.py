@@ -14,10 +14,10 @@ from docflow.sources import readers, writers
 
 col = F.col
 
-# Two states of a chunk table: the second lacks some chunks, changes some and has new ones.
+# Two states of a chunk table: the second lacks short chunks, changes some and has new ones.
 OLD_SQL = "SELECT doc_id, line_no AS chunk_index, concat(CAST(doc_id AS STRING), ':', CAST(line_no AS STRING)) AS chunk_id, line AS content FROM ({lines})"
 NEW_SQL = """SELECT doc_id, line_no AS chunk_index, concat(CAST(doc_id AS STRING), ':', CAST(line_no AS STRING)) AS chunk_id,
- CASE WHEN line_no % 3 = 0 THEN concat(line, ' (changed)') ELSE line END AS content FROM ({lines}) WHERE doc_id % 2 = 0 AND line_no % 4 <> 1
+ CASE WHEN line_no % 3 = 0 THEN concat(line, ' (changed)') ELSE line END AS content FROM ({lines}) WHERE length(line) > 40
  UNION ALL SELECT doc_id + 1000000, CAST(0 AS BIGINT), concat(CAST(doc_id + 1000000 AS STRING), ':0'), text FROM {documents}"""
 OLD_D = OLD_SQL.replace("{lines}", B.LINES_SQL)
 NEW_D = NEW_SQL.replace("{lines}", B.LINES_SQL).replace("{documents}", "documents")

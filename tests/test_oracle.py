@@ -24,9 +24,9 @@ def test_matches_sql(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     res = con.execute(SQL[name])
-    want = rows_of([c[0] for c in res.description], res.fetchall())
-    assert sorted(df.columns) == sorted(c[0] for c in con.description or res.description)
-    assert got == want
+    columns = [c[0] for c in res.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert got == rows_of(columns, res.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
