@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docflow.catalog import base as B
@@ -89,8 +91,6 @@ def _renamed(sql: str, suffix: str) -> str:
     """Second copy of the keyword CTEs under other names."""
     body = sql.strip().removeprefix("WITH ")
     for n in ("w", "t", "c", "q0", "q", "k", "kc", "kh", "ks", "kr"):
-        import re
-
         body = re.sub(rf"(^|, ?\n|,\s){n} AS \(", lambda m, n=n: f"{m.group(1)}{n}{suffix} AS (", body)
         body = re.sub(rf"\b(FROM|JOIN) {n}\b(?!\()", lambda m, n=n: f"{m.group(1)} {n}{suffix}", body)
     return body

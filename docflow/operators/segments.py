@@ -14,7 +14,6 @@ from docflow.operators.chunking import text_blocks
 from docflow.operators.kernels import heading_stack_udf
 from docflow.operators.ordered import last_known, ordered, running_min, running_sum, slicing
 from docflow.operators.ordered import lag as lag_of
-from docflow.operators.ordered import row_number as row_number_of
 
 MAX_LEVEL = 6
 
