@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from docflow.llm import bpe, exact_dedup, langid, licenses, mixing, ngram_join, quality, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -31,10 +31,18 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -67,10 +75,17 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 FROM ordered"""
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = {
     "op3_grace_dedup": (op3_grace_dedup, OP3_SQL),
     "op4_multi_order_jaccard": (op4_multi_order_jaccard, None),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
+    "op6_divergence_rules": (op6_divergence_rules, None),
     "op7_naive_bayes_language": (op7_naive_bayes_language, None),
+    "op8_suffix_automaton_licenses": (op8_suffix_automaton_licenses, None),
     "op9_min_cost_mix": (op9_min_cost_mix, OP9_SQL),
+    "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
 }
