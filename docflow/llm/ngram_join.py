@@ -13,11 +13,13 @@ in how they go on; candidates must share prefix tokens under all of them.
    occur elsewhere. The others fill prefixes but can't meet, so a document with
    more than a quarter of its tokens to itself is done: it has no partner.
 3. Documents with equal sets become one node. Prefix tokens of nodes are posted.
-   Nodes of a posting list are first verified against one or two hubs of the list;
-   lists whose nodes are connected by then are closed. In open lists every pair
-   from different components is verified, so no link is lost, but a group of
-   copies is not expanded into its pairs.
-4. Verification: the prefixes under the other orders must meet too, then sets are
+   The most central node of a posting list (the one whose tokens are the most
+   frequent) is its hub; all nodes are verified against the hubs of their lists.
+4. Nodes that are not connected with a hub are compared with the nodes around it,
+   block by block: the tokens of a node are counted in 128 hash classes, and the
+   smaller counts of two nodes bound their overlap. Pairs that this leaves are
+   verified. No link is lost, but a group of copies is not expanded into its pairs.
+5. Verification: the prefixes under the other orders must meet too, then sets are
    intersected in full.
 
 Tokens are 46 to 54 bits of a 64-bit hash.
@@ -43,6 +45,9 @@ PERCENT = 75
 CAP = 16
 CHUNK_BYTES = 4 << 20
 LOW_BITS = 40
+CLASSES = 128
+UNLIMITED = 65_535
+BLOCK = 4096
 # The first order goes on by the token itself, the others by its hash with one of these numbers.
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SIGNS = (np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x632BE59BD9B4E019))
@@ -188,9 +193,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _SETS = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sign1", pa.int64()), ("sign2", pa.int64()),
-    ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int8())), ("posted", pa.int32()),
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sign1", pa.int64()),
+    ("sign2", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("head", pa.list_(pa.int64())),
+    ("central", pa.int64()), ("profile", pa.binary()),
 ])
+_SETS_DDL = (
+    "row long, doc_id long, mark long, n long, sign1 long, sign2 long, tokens binary, counts binary, "
+    "head array<long>, central long, profile binary"
+)
 NO_ID = -(1 << 63)
 
 
@@ -218,19 +228,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((token, count, owner))
         owner, token, count = owner[order], token[order], count[order]
         ends = np.searchsorted(owner, np.arange(len(ids) + 1))
-        yield pa.RecordBatch.from_pylist(
-            [
-                {
-                    "row": (about["chunk"] << 12) + i, "doc_id": None if ids[i] == NO_ID else int(ids[i]), "mark": int(marks[i]), "n": int(n[i]),
-                    "sign1": int(sign1[i]), "sign2": int(sign2[i]),
-                    "tokens": token[ends[i] : ends[i + 1]] if can[i] else None,
-                    "counts": count[ends[i] : ends[i + 1]].astype(np.int8) if can[i] else None,
-                    "posted": max(0, int(prefix_length(n[i]) - (n[i] - shared[i]))) if can[i] else None,
-                }
-                for i in range(len(ids))
-            ],
-            schema=_SETS,
-        )
+        out = []
+        for i in range(len(ids)):
+            r = {"row": (about["chunk"] << 12) + i, "doc_id": None if ids[i] == NO_ID else int(ids[i]), "mark": int(marks[i])}
+            r |= {"n": int(n[i]), "sign1": int(sign1[i]), "sign2": int(sign2[i])}
+            if can[i]:
+                mine, often = token[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+                alone = int(n[i] - shared[i])
+                r["head"] = mine[: max(0, int(prefix_length(n[i])) - alone)]
+                r["central"] = 1000 * (alone + int(often.sum(dtype=np.int64))) // int(n[i])
+                r["tokens"], r["counts"], r["profile"] = mine.astype("<i8").tobytes(), often.tobytes(), profile(mine)
+            out.append(r)
+        yield pa.RecordBatch.from_pylist(out, schema=_SETS)
+
+
+def profile(tokens: np.ndarray) -> bytes:
+    """Number of tokens in each hash class; a count beyond 16 bits makes all of them unlimited."""
+    counts = np.bincount((mix(tokens.astype(np.uint64)) >> np.uint64(57)).astype(np.int64), minlength=CLASSES)
+    if counts.max() >= UNLIMITED:
+        counts[:] = UNLIMITED
+    return counts.astype("<u2").tobytes()
 
 
 def prefix_length(n):
@@ -238,28 +255,62 @@ def prefix_length(n):
     return n - least_overlap(n) + 1
 
 
-def shared_prefix(a: np.ndarray, a_counts: np.ndarray, a_posted: int, b: np.ndarray, b_counts: np.ndarray, b_posted: int, salt) -> bool:
-    """Whether two prefixes meet under the order (count, hash with the salt); tokens of one document stand before both."""
-    heads = []
-    for token, count, posted in ((a, a_counts, a_posted), (b, b_counts, b_posted)):
-        rank = mix(token.astype(np.uint64) ^ salt)
-        heads.append(token[np.lexsort((rank, count))[:posted]])
-    return bool(np.isin(heads[0], heads[1]).any())
+def _head(tokens: np.ndarray, counts: np.ndarray, posted: int, salt) -> np.ndarray:
+    """The shared tokens of a prefix under the order (count, hash with the salt)."""
+    return tokens[np.lexsort((mix(tokens.astype(np.uint64) ^ salt), counts))[:posted]]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        data = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        heads: dict[int, tuple] = {}
+
+        def side(i: int, x: str) -> tuple:
+            node = data[x][i]
+            if node not in heads:
+                tokens = np.frombuffer(data[f"t{x}"][i], "<i8")
+                counts = np.frombuffer(data[f"c{x}"][i], np.uint8)
+                heads[node] = (np.sort(tokens), [_head(tokens, counts, data[f"p{x}"][i], salt) for salt in ORDERS])
+            return heads[node]
+
+        for i in range(batch.num_rows):
+            (x, xs), (y, ys) = side(i, "a"), side(i, "b")
+            if all(np.isin(h, g).any() for h, g in zip(xs, ys, strict=True)):
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[at] == x).sum())
+                if 100 * both >= PERCENT * (data["na"][i] + data["nb"][i] - both):
+                    a.append(data["a"][i])
+                    b.append(data["b"][i])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that profiles allow: the far nodes of a block against its members, which come first."""
+    key, held, block = None, [], None
     for batch in batches:
         a, b = [], []
         for r in batch.to_pylist():
-            x, y = np.array(r["ta"], np.int64), np.array(r["tb"], np.int64)
-            cx, cy = np.array(r["ca"]), np.array(r["cb"])
-            if not all(shared_prefix(x, cx, r["pa"], y, cy, r["pb"], salt) for salt in ORDERS):
+            if (r["hub"], r["block"]) != key:
+                key, held, block = (r["hub"], r["block"]), [], None
+            counts = np.frombuffer(r["profile"], "<u2")
+            if not r["far"]:
+                held.append((r["node"], r["n"], r["label"], counts))
                 continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (r["na"] + r["nb"] - both):
-                a.append(r["a"])
-                b.append(r["b"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if block is None and held:
+                nodes, sizes, labels, profiles = zip(*held, strict=True)
+                block = (np.array(nodes), np.array(sizes), np.array(labels), np.stack(profiles))
+            if block is None:
+                continue
+            node, n, label, profiles = block
+            fits = (label != r["label"]) & (100 * n >= PERCENT * r["n"]) & (100 * r["n"] >= PERCENT * n)
+            at = np.flatnonzero(fits)
+            most = np.minimum(profiles[at], counts).sum(axis=1, dtype=np.int64)
+            near = at[100 * most >= PERCENT * (n[at] + r["n"] - most)]
+            a.extend(np.minimum(node[near], r["node"]).tolist())
+            b.extend(np.maximum(node[near], r["node"]).tolist())
+        pairs = np.unique(np.array([a, b], np.int64).reshape(2, -1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,10 +325,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     returned = sent.repartition(parts, "range").mapInArrow(
         _shared, "chunk long, range int, about binary, owners binary, tokens binary, counts binary"
     )
-    sets = returned.repartition(parts, "chunk").mapInArrow(
-        _gather,
-        "row long, doc_id long, mark long, n long, sign1 long, sign2 long, tokens array<long>, counts array<tinyint>, posted int",
-    )
+    sets = returned.repartition(parts, "chunk").mapInArrow(_gather, _SETS_DDL)
     node = F.when(F.col("tokens").isNotNull(), F.xxhash64("n", "sign1", "sign2"))
     return stored(sets.withColumn("node", node), "shingle-sets")
 
@@ -285,49 +333,42 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(
         F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"),
-        F.col("counts").alias(f"c{x}"), F.col("posted").alias(f"p{x}"),
+        F.col("counts").alias(f"c{x}"), F.size("head").alias(f"p{x}"),
     )
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long")
-
-
-def _sizes_allow(n: str, m: str):
-    return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
-
-
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long"), "links")
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes; enough of them to connect whatever is connected."""
-    posted = stored(
-        nodes.where("posted > 0").select("node", "n", F.explode(F.slice("tokens", 1, F.col("posted"))).alias("token")), "posted"
+    posted = nodes.select("node", "central", F.explode("head").alias("token"))
+    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node")).alias("h"), F.count("*").alias("size"))
+    hubs = hubs.where("size > 1").select("token", F.col("h.node").alias("hub"))
+    around = stored(posted.join(hubs, "token").where("node != hub").select("hub", "node").distinct(), "around")
+    ordered = F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    sizes = nodes.select("node", "n")
+    allowed = around.join(sizes, "node").join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub").where(
+        (100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n"))
+    )
+    tested = stored(allowed.select(*ordered).distinct(), "pairs")
+    found = _linked(tested, nodes)
+
+    # nodes around a hub that are not connected with it meet the others around that hub
+    label = components(found, rounds=2)
+    of_hub = label.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    members = around.unionAll(around.select("hub", F.col("hub").alias("node")).distinct())
+    members = members.join(label, "node", "left").join(of_hub, "hub", "left").select(
+        "hub", "node", F.coalesce("label", "node").alias("label"),
+        (F.coalesce("label", "node") != F.coalesce("hub_label", "hub")).alias("away"),
     )
-    hubs = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    first = posted.join(hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m")), "token")
-    tested = stored(first.where((F.col("node") != F.col("hub")) & _sizes_allow("n", "m")).select(*_ordered("node", "hub")).distinct(), "pairs")
-    found = stored(_linked(tested, nodes), "links")
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """Postings of the lists that are not connected yet."""
-        of = posted.join(components(found, rounds=2), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_lists = of.groupBy("token").agg(
-            F.min(F.struct("label", "node", "n")).alias("low"), F.max(F.struct("label", "node", "n")).alias("high")
-        ).where("low.label < high.label")
-        return stored(of.join(open_lists, "token"), "open")
-
-    rest = labelled(found)
-    second = rest.select("node", "n", "label", F.explode(F.array("low", "high")).alias("h")).where("label != h.label")
-    second = second.select("node", "n", F.col("h.node").alias("hub"), F.col("h.n").alias("m")).where(_sizes_allow("n", "m"))
-    more = stored(second.select(*_ordered("node", "hub")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = found.unionAll(stored(_linked(more, nodes), "links"))
-    tested = tested.unionAll(more)
-
-    rest = labelled(found).select("token", "node", "n", "label")
-    other = rest.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("label").alias("other"))
-    last = rest.join(other, "token").where((F.col("label") < F.col("other")) & _sizes_allow("n", "m"))
-    last = last.select(*_ordered("node", "hub")).distinct().join(tested, ["a", "b"], "left_anti")
-    return found.unionAll(stored(_linked(last, nodes), "links"))
+    blocks = members.groupBy("hub").agg(F.sum(F.col("away").cast("long")).alias("n_away"), F.count("*").alias("size"))
+    blocks = blocks.where("n_away > 0").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "hub").join(nodes.select("node", "n", "profile"), "node")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("far", F.lit(False))
+    far = rows.where("away").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("far", F.lit(True))
+    columns = ["hub", "block", "far", "node", "n", "label", "profile"]
+    dealt = own.select(columns).unionAll(far.select(columns)).repartition(partitions(nodes), "hub", "block")
+    pairs = dealt.sortWithinPartitions("hub", "block", "far").mapInArrow(_compare, "a long, b long").distinct()
+    return found.unionAll(_linked(pairs.join(tested, ["a", "b"], "left_anti"), nodes))
 
 
 def _labelled_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -335,7 +376,7 @@ def _labelled_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = shingle_sets(docs, id_col, text_col)
     able = sets.where("node is not null")
     one = able.groupBy("node").agg(F.min("row").alias("row"))
-    nodes = stored(able.join(one.select("row"), "row", "left_semi").drop("doc_id", "mark"), "nodes")
+    nodes = stored(able.join(one.select("row"), "row", "left_semi").drop("doc_id", "mark", "row"), "nodes")
     rows = sets.select("row", "doc_id", "mark", F.col("n").alias("n_shingles"), "node")
     out = rows.join(components(links(nodes)), "node", "left")
     return stored(out.withColumn("label", F.coalesce("label", "node")).drop("node"), "labelled")
