@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm import bpe, exact_dedup, langid, licenses, mixing, ngram_join, quality, suffix_dedup
+from docflow.llm import bpe, chat, exact_dedup, langid, licenses, mixing, ngram_join, quality, suffix_dedup, url_lists
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,6 +14,135 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tools that the calls of the test conversations name, and one that nobody knows.
+SCHEMAS = {
+    "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["query"]},
+    "lookup": {"properties": {"query": "string", "exact": "boolean"}, "required": ["query"]},
+    "calc": {"properties": {"expression": "string", "limit": "integer"}, "required": ["expression"], "additional": True},
+}
+# Every assistant turn is a call; it waits for two earlier ones. Every later user turn answers the turn before.
+CALLS = """SELECT conv_id, turn, concat('c', turn) AS call_id,
+  CASE turn % 8 WHEN 1 THEN 'search' WHEN 3 THEN 'lookup' WHEN 5 THEN 'calc' ELSE 'other' END AS name,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN {limit} WHEN 1 THEN {quoted} WHEN 2 THEN text WHEN 3 THEN {exact} ELSE {plain} END AS arguments,
+  CASE WHEN turn > 2 THEN array(concat('c', 2 * {div8} + 1), concat('c', 2 * {div6} + 1))
+    WHEN conv_id % 11 = 0 THEN array('c3') END AS after
+FROM {conversations} WHERE role = 'assistant'"""
+RESULTS = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('c', turn - 1) ELSE concat('s', turn) END AS call_id, text AS content
+FROM {conversations} WHERE role = 'system' OR role = 'user' AND turn > 0"""
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    calls = spark.sql(
+        CALLS.format(
+            limit="to_json(struct(turn % 7 AS limit))", quoted="to_json(struct(text AS query, string(turn % 7) AS limit))",
+            exact="to_json(struct(text AS query, true AS exact))", plain="to_json(struct(text AS query, turn % 7 AS limit))",
+            div8="((turn - 2) div 8)", div6="((turn - 1) div 6)", conversations="{conversations}",
+        ),
+        conversations=turns,
+    )
+    return chat.link_tool_calls(calls, spark.sql(RESULTS, conversations=turns), SCHEMAS)
+
+
+OP1_SQL = (
+    "WITH RECURSIVE calls AS ("
+    + CALLS.replace("array(", "list_value(").format(
+        limit="concat('{\"limit\":', turn % 7, '}')", quoted="concat('{\"query\":', to_json(text), ',\"limit\":\"', turn % 7, '\"}')",
+        exact="concat('{\"query\":', to_json(text), ',\"exact\":true}')",
+        plain="concat('{\"query\":', to_json(text), ',\"limit\":', turn % 7, '}')",
+        div8="((turn - 2) // 8)", div6="((turn - 1) // 6)", conversations="conversations",
+    )
+    + "), results AS (" + RESULTS.format(conversations="conversations") + """),
+one AS (SELECT conv_id, call_id, arg_min(struct_pack(turn, name, arguments, after), (turn, name, arguments)) AS c, count(*) AS copies
+  FROM calls WHERE conv_id IS NOT NULL AND call_id IS NOT NULL GROUP BY ALL),
+asked AS (SELECT conv_id, call_id, copies, c.turn, c.name, c.arguments, c.after FROM one),
+answered AS (SELECT conv_id, call_id, arg_min(struct_pack(turn, content), (turn, content)) AS r
+  FROM results WHERE conv_id IS NOT NULL AND call_id IS NOT NULL GROUP BY ALL),
+wanted AS (SELECT DISTINCT conv_id, call_id, unnest(after) AS before FROM asked),
+edges AS (SELECT w.* FROM wanted w JOIN asked a ON a.conv_id = w.conv_id AND a.call_id = w.before WHERE w.before <> w.call_id),
+depth AS (
+  SELECT conv_id, call_id, 0 AS level FROM asked
+  UNION
+  SELECT e.conv_id, e.call_id, d.level + 1 FROM depth d JOIN edges e ON e.conv_id = d.conv_id AND e.before = d.call_id WHERE d.level < 60),
+-- a cycle reaches the bound of the recursion, and what is behind it too
+levels AS (SELECT conv_id, call_id, max(level)::INT AS level FROM depth GROUP BY ALL HAVING max(level) < 60),
+parsed AS (
+  SELECT a.*, l.level, CASE WHEN json_valid(arguments) THEN arguments::JSON END AS j
+  FROM asked a LEFT JOIN levels l USING (conv_id, call_id)),
+fields AS (
+  SELECT *, json_type(j, '$.query') AS q, json_type(j, '$.limit') AS l, json_type(j, '$.exact') AS x, json_type(j, '$.expression') AS e
+  FROM parsed),
+judged AS (
+  SELECT *, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'bad_json'
+    WHEN name NOT IN ('search', 'lookup', 'calc') THEN 'unknown_tool'
+    ELSE array_to_string(list_sort(list_filter([
+      CASE WHEN name IN ('search', 'lookup') AND q IS NULL THEN 'missing:query' END,
+      CASE WHEN name IN ('search', 'lookup') AND q <> 'VARCHAR' THEN 'type:query' END,
+      CASE WHEN name IN ('search', 'calc') AND l NOT IN ('UBIGINT', 'BIGINT') THEN 'type:limit' END,
+      CASE WHEN name = 'lookup' AND x <> 'BOOLEAN' THEN 'type:exact' END,
+      CASE WHEN name = 'calc' AND e IS NULL THEN 'missing:expression' END,
+      CASE WHEN name = 'calc' AND e <> 'VARCHAR' THEN 'type:expression' END,
+      CASE WHEN name = 'lookup' AND l IS NOT NULL THEN 'extra:limit' END,
+      CASE WHEN name = 'search' AND x IS NOT NULL THEN 'extra:exact' END], lambda f: f IS NOT NULL)), ',') END AS errors
+  FROM fields),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.r.turn AS result_turn, c.name,
+    c.level, c.copies, c.errors, c.call_id IS NOT NULL AS is_call, r.call_id IS NOT NULL AS is_result,
+    CASE WHEN j IS NOT NULL THEN concat('{', array_to_string(list_filter([
+      CASE WHEN x IS NOT NULL THEN concat('"exact":', j->'$.exact') END, CASE WHEN l IS NOT NULL THEN concat('"limit":', j->'$.limit') END,
+      CASE WHEN q IS NOT NULL THEN concat('"query":', j->'$.query') END], lambda f: f IS NOT NULL), ','), '}')
+      WHEN arguments IS NOT NULL THEN to_json(arguments)::VARCHAR ELSE 'null' END AS args, r.r.content AS content
+  FROM judged c FULL JOIN answered r ON r.conv_id = c.conv_id AND r.call_id = c.call_id)
+SELECT conv_id, call_id, turn, result_turn, name, level, copies, errors,
+  CASE WHEN NOT is_call THEN 'orphan_result' WHEN level IS NULL THEN 'cycle' WHEN errors <> '' THEN 'invalid'
+    WHEN NOT is_result THEN 'no_result' WHEN result_turn <= turn THEN 'early_result' ELSE 'ok' END AS status,
+  concat('{"arguments":', args, ',"id":', to_json(call_id), ',"name":', coalesce(to_json(name)::VARCHAR, 'null'), ',"result":',
+    coalesce(to_json(content)::VARCHAR, 'null'), '}') AS json,
+  CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, level IS NULL ORDER BY level, turn, call_id) - 1 END AS position
+FROM linked"""
+)
+
+
+# Every page is a capture, and an event that lists its host or the domain above it, or takes it off.
+CAPTURES = """SELECT page_id, url, {captured} AS fetched_at FROM {pages}"""
+EVENTS = """SELECT CASE page_id % 4 WHEN 0 THEN 'malware' WHEN 1 THEN 'spam' WHEN 2 THEN 'adult' ELSE 'trusted' END AS list,
+  CASE WHEN page_id % 20 = 7 THEN regexp_replace({host}, '^[^.]+[.]', '') ELSE {host} END AS domain,
+  {day} AS day, page_id % 3 <> 0 AS listed, concat('k', page_id % 5) AS category FROM {pages}"""
+
+
+def op2_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host = "lower(regexp_extract(url, '://([^/?#:]+)', 1))"
+    captures = CAPTURES.format(captured="timestamp_seconds(1704067200 + page_id * 41231 % 31536000)", pages="{pages}")
+    events = EVENTS.format(host=host, day="date_add(date'2024-01-01', cast(page_id * 7919 % 365 AS int))", pages="{pages}")
+    return url_lists.judge_captures(
+        spark.sql(captures, pages=pages), spark.sql(events, pages=pages), ["malware", "spam", "adult"], ["trusted"]
+    )
+
+
+_HOST = "lower(regexp_extract(url, '://([^/?#:]+)', 1))"
+OP2_SQL = (
+    "WITH captures AS (" + CAPTURES.format(captured="make_timestamp((1704067200 + page_id * 41231 % 31536000) * 1000000)", pages="pages")
+    + "), events AS (" + EVENTS.format(host=_HOST, day="date '2024-01-01' + (page_id * 7919 % 365)::INT", pages="pages") + """),
+daily AS (SELECT list, domain, day, max((listed, category)) AS s FROM events WHERE domain IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
+intervals AS (
+  SELECT list, domain, s[1] AS listed, day AS valid_from, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS valid_to FROM daily),
+seen AS (SELECT page_id, coalesce(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '') AS host, fetched_at::DATE AS day FROM captures),
+met AS (
+  SELECT s.page_id, i.list, i.domain FROM seen s JOIN intervals i
+  ON (s.host = i.domain OR ends_with(s.host, concat('.', i.domain))) AND contains(i.domain, '.')
+  AND i.listed AND s.day >= i.valid_from AND (i.valid_to IS NULL OR s.day < i.valid_to)),
+verdict AS (
+  SELECT page_id, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists,
+    arg_max(domain, (length(domain), list = 'trusted', domain)) AS decided_by,
+    arg_max(list = 'trusted', (length(domain), list = 'trusted', domain)) AS kept
+  FROM met GROUP BY page_id)
+SELECT s.page_id, s.host, s.day, coalesce(v.n_entries, 0) AS n_entries, coalesce(v.lists, '') AS lists, v.decided_by,
+  coalesce(v.kept, true) AS kept
+FROM seen s LEFT JOIN verdict v USING (page_id)"""
+)
+
+
 def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +209,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES = {
+    "op1_tool_calls": (op1_tool_calls, OP1_SQL),
+    "op2_dated_url_lists": (op2_dated_url_lists, OP2_SQL),
     "op3_grace_dedup": (op3_grace_dedup, OP3_SQL),
     "op4_multi_order_jaccard": (op4_multi_order_jaccard, None),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
