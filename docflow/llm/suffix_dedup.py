@@ -4,7 +4,7 @@
    grams inside the string. Equal strings have equal keys, and neighbouring starts
    mostly share theirs, so a text falls into segments of starts with one key. A
    segment's context is the text from its first start to the end of its last string.
-2. Contexts that occur twice repeat as a whole. Keys with several different contexts
+2. Contexts that occur twice (one key, one 64-bit hash of the content) repeat as a whole. Keys with several different contexts
    go on, one occurrence of each, and so do contexts in which the key's gram stands
    twice; all others are free of repetitions.
 3. Contexts are dealt by key and packed into shards. A shard's suffix array is
@@ -83,13 +83,12 @@ def _cut(length: int):
                 for key, first, n, twice in segments(data[begin:end], length):
                     found.append((key, ids[i], marks[i], first, n, twice))
                     context = raw[begin + first : begin + first + n + length - 1]
-                    digests.append(hashlib.blake2b(context, digest_size=16).digest())
+                    digests.append(hashlib.blake2b(context, digest_size=8).digest())
             columns = list(zip(*found, strict=True)) if found else [()] * 6
-            content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            content = np.frombuffer(b"".join(digests), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_()),
-                 pa.array(content[:, 0]), pa.array(content[:, 1])],
-                names=["key", "doc_id", "mark", "first", "n", "twice", "content1", "content2"],
+                [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_()), pa.array(content)],
+                names=["key", "doc_id", "mark", "first", "n", "twice", "content"],
             )
 
     return task
@@ -211,10 +210,9 @@ def _match(length: int, shard_bytes: int):
                         yield from settle(packs)
                         packs, used = [[]], 0
                     key, seen = r["key"], set()
-                content = (r["content1"], r["content2"])
-                if content in seen:
+                if r["content"] in seen:
                     continue
-                seen.add(content)
+                seen.add(r["content"])
                 if used and used + len(r["context"]) > shard_bytes:
                     packs.append([])
                     used = 0
@@ -268,9 +266,9 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     """(doc_id, mark, first, last): runs of starts whose strings stand anywhere else."""
     parts = partitions(rows)
     cut = stored(rows.mapInArrow(
-        _cut(length), "key long, doc_id long, mark long, first long, n long, twice boolean, content1 long, content2 long"
+        _cut(length), "key long, doc_id long, mark long, first long, n long, twice boolean, content long"
     ), "segments")
-    content = ["key", "content1", "content2"]
+    content = ["key", "content"]
     contexts = stored(
         cut.groupBy(content).agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("doc_id", "mark", "first", "n")).alias("one")),
         "contexts",
