@@ -377,9 +377,12 @@ def _labelled_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     able = sets.where("node is not null")
     one = able.groupBy("node").agg(F.min("row").alias("row"))
     nodes = stored(able.join(one.select("row"), "row", "left_semi").drop("doc_id", "mark", "row"), "nodes")
-    rows = sets.select("row", "doc_id", "mark", F.col("n").alias("n_shingles"), "node")
-    out = rows.join(components(links(nodes)), "node", "left")
-    return stored(out.withColumn("label", F.coalesce("label", "node")).drop("node"), "labelled")
+    columns = ["row", "doc_id", "mark", F.col("n").alias("n_shingles")]
+    linked = able.select(*columns, "node").join(components(links(nodes)), "node", "left")
+    # rows without a node have no key to be joined by and stay where they are
+    alone = sets.where("node is null").select(*columns, F.lit(None).cast("long").alias("label"))
+    out = linked.select("row", "doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label")).unionAll(alone)
+    return stored(out, "labelled")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,9 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read. An empty table gives no rows.
     """
     rows = _labelled_sets(docs, id_col, text_col)
-    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return rows.join(smallest, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("label is not null").join(smallest, "label").select("doc_id", "n_shingles", "component_id")
+    return linked.unionAll(rows.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
