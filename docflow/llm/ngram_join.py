@@ -409,8 +409,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("_id").alias("_id"), F.col("mark").alias("_mark"))).alias("first")
     kept = rows.where("label is not null").groupBy("label").agg(first).select("first._id", "first._mark")
     alone = rows.where("label is null").select("_id", F.col("mark").alias("_mark"))
-    own = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(
-        "_mark", F.xxhash64(text_or_empty(text_col))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(
+        *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_mark"),
     )
-    stay = own.join(kept.unionAll(alone), ["_id", "_mark"], "left_semi")
-    return stay.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    stay = own.join(kept.unionAll(alone), ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])
+    return stay.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
