@@ -61,7 +61,7 @@ g AS (SELECT doc_id, 1 AS s, 1 AS e, len AS size, 0 AS k, false AS closed FROM u
 r AS (SELECT DISTINCT doc_id, s, e, k FROM g WHERE closed),
 o AS (SELECT r.doc_id, k, string_agg(t, concat(chr(10), chr(10)) ORDER BY n) AS content, arg_min(hi, n) FILTER (WHERE hi IS NOT NULL) AS hi FROM r JOIN u ON u.doc_id = r.doc_id AND n BETWEEN s AND e GROUP BY r.doc_id, k
   UNION ALL SELECT doc_id, 0, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), NULL FROM b WHERE doc_id NOT IN (SELECT doc_id FROM u) AND regexp_matches(text, '\S'))
-SELECT o.doc_id, CAST(k AS INTEGER) AS chunk_index, CASE WHEN length(content) > 2048 THEN substring(content, 1, 2048) ELSE content END AS content, u0.t AS heading_path
+SELECT o.doc_id, CAST(k AS INTEGER) AS chunk_index, content, u0.t AS heading_path
 FROM o LEFT JOIN u0 ON u0.doc_id = o.doc_id AND u0.i = hi"""
 
 
@@ -79,7 +79,7 @@ def _packed(df):
 
 
 SENTENCE_SQL = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([。！？.!?;；])\s*', '\1' || chr(1), 'g'), '\n\s*\n+', chr(1), 'g'), chr(1)) AS ps FROM documents),
-k AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: length(x) >= 10) AS ks FROM p),
+k AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: length(x) >= 1) AS ks FROM p),
 h AS (SELECT doc_id, flatten(list_transform(ks, lambda x: list_transform(range(0, length(x), 500), lambda o: substring(x, o + 1, 500)))) AS hs FROM k)
 """
 

@@ -53,7 +53,7 @@ c AS (SELECT *, {ws('a')} AS ground_truth, list_transform([0, 1, 2], lambda i: l
   list_transform([0, 1, 2], lambda i: len(list_filter(ls, lambda l, k: (k - 1) % 3 = i))) AS np FROM b),
 r AS (SELECT * FROM c WHERE regexp_matches(question, '\S') AND length(ground_truth) > 0 AND length(sample_id) > 0)
 """
-SAMPLES_SQL = REC_SQL + """, k AS (SELECT *, list_filter(list_transform([1, 2, 3], lambda i: CASE WHEN np[i] > 0 THEN {'i': i, 't': substring(concat(source, ' ', i - 1, CASE WHEN len(ps[i]) > 0 THEN chr(10) ELSE '' END, array_to_string(ps[i], chr(10))), 1, 1200)} END), lambda x: x IS NOT NULL) AS bl FROM r)
+SAMPLES_SQL = REC_SQL + """, k AS (SELECT *, list_filter(list_transform([1, 2, 3], lambda i: CASE WHEN np[i] > 0 THEN {'i': i, 't': concat(source, ' ', i - 1, CASE WHEN len(ps[i]) > 0 THEN chr(10) ELSE '' END, array_to_string(ps[i], chr(10)))} END), lambda x: x IS NOT NULL) AS bl FROM r)
 SELECT sample_id, question, ground_truth, array_to_string(list_transform(list_filter(bl, lambda x, j: j = 1 OR x.i = 3 OR (x.i = 1 AND doc_id % 2 = 0)), lambda x: x.t), '||') AS contexts, lang AS question_type FROM k"""
 
 
@@ -76,7 +76,7 @@ def manifest(s, d):
 
 EXPORT_CTE = REC_SQL + r""", s AS (SELECT *, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, 3] ELSE [3] END) AS i, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE [1] END) AS doc_index FROM (SELECT * REPLACE (""" + ws("question") + r""" AS question) FROM r)),
 x AS (SELECT sample_id, ground_truth, doc_index, concat(sample_id, '-doc', doc_index, '.txt') AS file_name, concat('Sample ID: ', sample_id, chr(10), 'Question: ', question, chr(10), 'Reference Answer: ', ground_truth, chr(10), 'Document Index: ', doc_index, chr(10),
- 'Selected By Dataset: yes', chr(10), 'Title: ', source, ' ', i - 1, chr(10), chr(10), 'Content:', chr(10), substring(array_to_string(ps[i], concat(chr(10), chr(10))), 1, 3000), chr(10)) AS text FROM s WHERE len(ps[i]) > 0)
+ 'Selected By Dataset: yes', chr(10), 'Title: ', source, ' ', i - 1, chr(10), chr(10), 'Content:', chr(10), array_to_string(ps[i], concat(chr(10), chr(10))), chr(10)) AS text FROM s WHERE len(ps[i]) > 0)
 """
 
 
@@ -113,20 +113,21 @@ x AS (SELECT case_id, CAST(answer_passed * citation_passed * refusal_passed AS I
 
 
 def rule_cases(s, d):
-    """Cases on conversations: the first words are expected in the later answer."""
+    """Cases on conversations: the first words of every user turn are expected in the answer behind it."""
     c = B.load(s, d, "conversations")
-    cases = c.where("turn = 0").select(
-        col("conv_id").alias("case_id"), F.slice(F.split("text", " "), 1, 2).alias("expected_answer_contains"),
+    case = lambda turn: (col("conv_id") * 1000000 + turn).alias("case_id")
+    cases = c.where("role = 'user'").select(
+        case(col("turn")), F.slice(F.split("text", " "), 1, 2).alias("expected_answer_contains"),
         F.array(F.concat(F.lit("d"), (col("conv_id") % 3).cast("string"))).alias("expected_doc_names"), (col("conv_id") % 4 == 0).alias("should_refuse"),
     )
-    answers = c.where("turn = 1").select(
-        col("conv_id").alias("case_id"), F.when(col("conv_id") % 6 == 0, F.concat(F.lit("证据不足 "), col("text"))).otherwise(col("text")).alias("answer"), F.array(F.lit("d0"), F.lit("d1")).alias("cited_docs"),
+    answers = c.where("role = 'assistant'").select(
+        case(col("turn") - 1), F.when(col("conv_id") % 6 == 0, F.concat(F.lit("证据不足 "), col("text"))).otherwise(col("text")).alias("answer"), F.array(F.lit("d0"), F.lit("d1")).alias("cited_docs"),
     )
     return E.rule_eval(cases, answers)
 
 
-RULE_SQL = r"""WITH c AS (SELECT conv_id AS case_id, string_split(text, ' ')[1:2] AS w, conv_id % 3 AS dn, conv_id % 4 = 0 AS refuse FROM conversations WHERE turn = 0),
-a AS (SELECT conv_id AS case_id, CASE WHEN conv_id % 6 = 0 THEN concat('证据不足 ', text) ELSE text END AS a FROM conversations WHERE turn = 1),
+RULE_SQL = r"""WITH c AS (SELECT conv_id * 1000000 + turn AS case_id, string_split(text, ' ')[1:2] AS w, conv_id % 3 AS dn, conv_id % 4 = 0 AS refuse FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id * 1000000 + turn - 1 AS case_id, CASE WHEN conv_id % 6 = 0 THEN concat('证据不足 ', text) ELSE text END AS a FROM conversations WHERE role = 'assistant'),
 j AS (SELECT c.case_id, w, len(list_filter(w, lambda t: contains(lower(coalesce(a, '')), lower(t)))) AS m, dn < 2 AND a IS NOT NULL AS cp, (a IS NULL OR NOT regexp_matches(a, '\S') OR contains(regexp_replace(a, '\s+', '', 'g'), '证据不足')) = refuse AS rp FROM c LEFT JOIN a ON a.case_id = c.case_id),
 f AS (SELECT case_id, CAST(len(w) AS INTEGER) AS expected_terms, CAST(m AS INTEGER) AS matched_terms, m = len(w) AS answer_passed, cp AS citation_passed, rp AS refusal_passed FROM j)
 SELECT *, answer_passed AND citation_passed AND refusal_passed AS passed, array_to_string(list_filter([CASE WHEN NOT answer_passed THEN 'answer' END, CASE WHEN NOT citation_passed THEN 'citation' END, CASE WHEN NOT refusal_passed THEN 'refusal' END], lambda x: x IS NOT NULL), ',') AS failure_reason FROM f"""

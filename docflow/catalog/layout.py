@@ -206,8 +206,8 @@ SELECT doc_id, box_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_num,
     "layout_pages": (layout_pages, None),
     "plain_block_segments": (
         lambda s, d: L.blocks_to_segments(B.boxes(s, d)),
-        f"""WITH b AS ({B.BOXES_SQL}), k AS (SELECT * FROM b WHERE length(trim(text)) > 0), p AS (SELECT *, page_num * 1000 + row_number() OVER (PARTITION BY doc_id, page_num ORDER BY box_no) - 1 AS st FROM k)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st, page_num) - 1 AS start_order, CASE WHEN font_size >= 16 THEN 'heading' ELSE 'paragraph' END AS type, text AS content FROM p""",
+        f"""WITH b AS ({B.BOXES_SQL}), k AS (SELECT * FROM b WHERE length(trim(text)) > 0), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY box_no) AS st FROM k)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, st) - 1 AS start_order, CASE WHEN font_size >= 16 THEN 'heading' ELSE 'paragraph' END AS type, text AS content FROM p""",
     ),
     "sheet_html": (
         sheets,

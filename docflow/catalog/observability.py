@@ -91,18 +91,20 @@ SIGNATURE_CTE = """dy AS (SELECT user_id % 20 AS user_id, CAST(date_trunc('day',
 
 
 def phases(s, d):
-    logs = B.load(s, d, "lineitem").where("l_linenumber = 1").select(
-        col("l_orderkey").alias("task_id"), (col("l_partkey")).alias("doc_id"), F.when(col("l_partkey") % 7 > 0, col("l_quantity").cast("bigint")).alias("extract_ms"),
+    logs = B.load(s, d, "lineitem").select(
+        (col("l_orderkey") * 8 + col("l_linenumber")).alias("task_id"), (col("l_partkey")).alias("doc_id"), F.when(col("l_partkey") % 7 > 0, col("l_quantity").cast("bigint")).alias("extract_ms"),
         F.when(col("l_partkey") % 7 > 1, col("l_suppkey")).alias("chunk_ms"), F.when(col("l_partkey") % 7 > 2, col("l_partkey")).alias("embed_ms"),
         F.when(col("l_partkey") % 7 > 3, F.lit(5)).alias("persist_ms"), F.when(col("l_partkey") % 2 == 0, F.lit(9)).alias("chunk_count"),
     )
-    fail = B.tasks(s, d).where("status = 'FAILED'").select("task_id", F.concat(F.lit("boom "), col("task_id").cast("string")).alias("error"))
+    fail = B.tasks(s, d).where("status = 'FAILED'").select(
+        (col("task_id") * 8 + 1).alias("task_id"), F.concat(F.lit("boom "), col("task_id").cast("string")).alias("error")
+    )
     return O.phase_nodes(logs, fail)
 
 
-PHASES_SQL = f"""WITH t AS ({B.TASKS_SQL}), l AS (SELECT l_orderkey AS task_id, l_partkey AS doc_id, CASE WHEN l_partkey % 7 > 0 THEN CAST(floor(l_quantity) AS BIGINT) END AS x, CASE WHEN l_partkey % 7 > 1 THEN l_suppkey END AS c,
- CASE WHEN l_partkey % 7 > 2 THEN l_partkey END AS e, CASE WHEN l_partkey % 7 > 3 THEN 5 END AS p, CASE WHEN l_partkey % 2 = 0 THEN 9 END AS n FROM lineitem WHERE l_linenumber = 1),
-f AS (SELECT task_id, concat('boom ', task_id) AS error FROM t WHERE status = 'FAILED'),
+PHASES_SQL = f"""WITH t AS ({B.TASKS_SQL}), l AS (SELECT l_orderkey * 8 + l_linenumber AS task_id, l_partkey AS doc_id, CASE WHEN l_partkey % 7 > 0 THEN CAST(floor(l_quantity) AS BIGINT) END AS x, CASE WHEN l_partkey % 7 > 1 THEN l_suppkey END AS c,
+ CASE WHEN l_partkey % 7 > 2 THEN l_partkey END AS e, CASE WHEN l_partkey % 7 > 3 THEN 5 END AS p, CASE WHEN l_partkey % 2 = 0 THEN 9 END AS n FROM lineitem),
+f AS (SELECT task_id * 8 + 1 AS task_id, concat('boom ', task_id) AS error FROM t WHERE status = 'FAILED'),
 j AS (SELECT task_id, doc_id, error, n, x, c, e, p, CASE WHEN error IS NULL THEN NULL WHEN x IS NULL THEN 'parse' WHEN c IS NULL THEN 'chunk' WHEN e IS NULL THEN 'embed' ELSE 'persist' END AS failed FROM f FULL JOIN l USING (task_id)),
 u AS (SELECT *, 'parse' AS phase, 1 AS phase_order, x AS ms, 'Document parsed' AS m FROM j UNION ALL SELECT *, 'chunk', 2, c, 'Document chunked' FROM j
  UNION ALL SELECT *, 'embed', 3, e, 'Embeddings generated' FROM j UNION ALL SELECT *, 'persist', 4, p, 'Chunks and vectors persisted' FROM j)

@@ -57,7 +57,7 @@ vr AS (SELECT query_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION
 """
 KEYWORD_SQL = (
     SEARCH_TERMS_SQL
-    + r""", q0 AS (SELECT item_id AS query_id, list_distinct(flatten(list(ts))) AS ts FROM c WHERE before < 10 GROUP BY item_id),
+    + r""", q0 AS (SELECT item_id AS query_id, list_distinct(flatten(list(ts))) AS ts FROM c GROUP BY item_id),
 q AS (SELECT query_id, t.term, substring(t.term, 1, 2) AS head FROM q0, unnest(list_filter(ts, lambda t: len(list_filter(ts, lambda u: u <> t AND starts_with(t, u))) = 0)) AS t(term)),
 k AS (SELECT doc_id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda t: length(t) > 0)) AS token FROM documents),
 kc AS (SELECT chunk_id, token, count(*) AS n FROM k GROUP BY ALL),
@@ -74,9 +74,9 @@ def few(s, d, k=20):
 
 
 def rrf(s, d):
-    """Two keyword lists per question: all documents, and one rewrite by its first words."""
+    """Two keyword lists per question: its own, and one for a rewrite without its first word."""
     q = key_queries(s, d)
-    short = q.withColumn("query", F.substring_index("query", " ", 6))
+    short = q.withColumn("query", F.regexp_replace("query", r"^\S+\s*", ""))
     a = R.keyword_topk(q, key_chunks(s, d), 20).withColumn("leg", F.lit(0))
     b = R.keyword_topk(short, key_chunks(s, d), 20).withColumn("leg", F.lit(1))
     return R.rrf_fuse(a.unionByName(b), 10).select(
@@ -84,7 +84,7 @@ def rrf(s, d):
     )
 
 
-_SHORT = KEYWORD_SQL.replace("FROM benchmark", "FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark)")
+_SHORT = KEYWORD_SQL.replace("FROM benchmark", "FROM (SELECT item_id, regexp_replace(text, '^\\S+\\s*', '') AS text FROM benchmark)")
 
 
 def _renamed(sql: str, suffix: str) -> str:
@@ -113,7 +113,7 @@ RERANK_SQL = (
     KEYWORD_SQL.replace("WITH w", "WITH RECURSIVE w").replace("{k}", "20")
     + r""", rw AS (SELECT item_id, """ + WORDS_SQL.replace("{c}", "text") + r""" AS ws FROM benchmark),
 rr AS (SELECT item_id, ws, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM rw
-  UNION ALL SELECT item_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM rr WHERE i <= len(ws) AND len(acc) < 10),
+  UNION ALL SELECT item_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM rr WHERE i <= len(ws)),
 rf AS (SELECT item_id, arg_max(acc, i) AS terms FROM rr GROUP BY item_id),
 b AS (SELECT query_id, chunk_id, kr.score * 8e-1 + CAST(len(list_filter(terms, lambda t: contains(lower(text), lower(t)))) AS DOUBLE) / len(terms) * 2e-1 AS s
   FROM kr JOIN rf ON rf.item_id = query_id JOIN documents ON doc_id = chunk_id)
@@ -203,7 +203,7 @@ def rewrites(s, d):
 
 
 REWRITE_SQL = r"""WITH q AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query,
- list_filter(list_transform(string_split(text, chr(10)), lambda l: substring(regexp_replace(l, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), 1, 200)), lambda l: regexp_matches(l, '\S')) AS ls FROM documents),
+ list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda l: regexp_matches(l, '\S')) AS ls FROM documents),
 a AS (SELECT query_id, CASE WHEN regexp_matches(query, '\S') THEN list_concat([query], list_filter(ls, lambda l: l <> query)[1:3]) ELSE [query] END AS qs FROM q)
 SELECT query_id, CAST(unnest(range(len(qs))) AS INTEGER) AS rewrite_no, unnest(qs) AS query FROM a"""
 
@@ -261,7 +261,7 @@ fs AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + r)), 12) AS score FROM l
 fu AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8),
 rw AS (SELECT item_id, """ + WORDS_SQL.replace("{c}", "text") + r""" AS ws FROM benchmark),
 rr AS (SELECT item_id, ws, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM rw
-  UNION ALL SELECT item_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM rr WHERE i <= len(ws) AND len(acc) < 10),
+  UNION ALL SELECT item_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM rr WHERE i <= len(ws)),
 rf AS (SELECT item_id, arg_max(acc, i) AS terms FROM rr GROUP BY item_id),
 b AS (SELECT query_id, chunk_id, text, fu.score * 8e-1 + CAST(len(list_filter(terms, lambda t: contains(lower(text), lower(t)))) AS DOUBLE) / len(terms) * 2e-1 AS s
   FROM fu JOIN rf ON rf.item_id = query_id JOIN documents ON doc_id = chunk_id),

@@ -86,7 +86,7 @@ WITH RECURSIVE w AS (SELECT item_id, """ + WORDS_SQL.replace("{c}", "text") + r"
 r AS (SELECT item_id, ws, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM w
   UNION ALL SELECT item_id, ws, i + 1, list_concat(acc, list_filter((CASE WHEN length(ws[i]) > 2 AND regexp_matches(ws[i], '\p{Han}')
      THEN list_transform(range(1, length(ws[i])), lambda k: substring(ws[i], k, 2)) ELSE [ws[i]] END), lambda t: NOT list_contains(acc, t)))
-  FROM r WHERE i <= len(ws) AND len(acc) < 10),
+  FROM r WHERE i <= len(ws)),
 f AS (SELECT item_id, arg_max(acc, i) AS terms FROM r GROUP BY item_id)
 """
 
@@ -118,7 +118,7 @@ LEXICAL_SQL = r"""
 WITH RECURSIVE q AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id),
 w AS (SELECT conv_id, """ + WORDS_SQL.replace("{c}", "text") + r""" AS ws FROM q),
 r AS (SELECT conv_id, ws, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM w
-  UNION ALL SELECT conv_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM r WHERE i <= len(ws) AND len(acc) < 10),
+  UNION ALL SELECT conv_id, ws, i + 1, CASE WHEN list_contains(acc, ws[i]) THEN acc ELSE list_append(acc, ws[i]) END FROM r WHERE i <= len(ws)),
 f AS (SELECT conv_id, arg_max(acc, i) AS terms FROM r GROUP BY conv_id)
 SELECT conv_id, turn, round(CASE WHEN len(terms) = 0 OR NOT regexp_matches(text, '\S') THEN 0e0
   ELSE CAST(len(list_filter(terms, lambda t: contains(lower(text), lower(t)))) AS DOUBLE) / len(terms) END, 6) AS score
@@ -261,7 +261,7 @@ CASE WHEN event_id % 5 > 0 THEN floor(CAST(user_id % 7 AS DOUBLE) / (event_id %
         search_terms,
         SEARCH_TERMS_SQL
         + """SELECT b.item_id, coalesce(string_agg(concat(x.term, ':*'), ' | ' ORDER BY x.i, x.k), '') AS tsquery FROM benchmark b
-LEFT JOIN (SELECT item_id, i, unnest(range(len(ts))) AS k, unnest(ts) AS term FROM c WHERE before < 10) x ON b.item_id = x.item_id GROUP BY b.item_id""",
+LEFT JOIN (SELECT item_id, i, unnest(range(len(ts))) AS k, unnest(ts) AS term FROM c) x ON b.item_id = x.item_id GROUP BY b.item_id""",
     ),
     "rerank_terms": (rerank_terms, RERANK_TERMS_SQL + "SELECT item_id, array_to_string(terms, '|') AS terms FROM f"),
     "lexical_scores": (lexical, LEXICAL_SQL),
@@ -315,7 +315,7 @@ SELECT doc_id, line_no, length(n) <= 80 AND regexp_matches(n, '{S.HEADING}') AS
         prompts,
         r"""SELECT doc_id, concat('Evidence:', chr(10), replace(text, chr(10), concat(chr(10), '---', chr(10))), chr(10), 'Question: ', split_part(text, '.', 1)) AS prompt,
 array_to_string(list_transform(string_split(text, chr(10)), lambda c, i: concat('[', i, '] ', c, chr(10), chr(10))), '') AS numbered,
-array_to_string(list_transform(string_split(text, chr(10))[1:5], lambda c: concat('- ', c)), chr(10)) AS bullets FROM documents""",
+array_to_string(list_transform(string_split(text, chr(10)), lambda c: concat('- ', c)), chr(10)) AS bullets FROM documents""",
     ),
     "expected_terms": (
         lambda s, d: docs(s, d).select("doc_id", F.array_join(X.expected_terms(col("text")), "|").alias("terms")),

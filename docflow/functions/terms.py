@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from docflow.functions.bind import let
 
-# Fixed value: no further token is read once this many terms are there.
-TERM_LIMIT = 10
-
 _NOT_WORD = r"[^\p{IsHan}\p{IsAlphabetic}\p{IsDigit}]+"
 
 
@@ -26,7 +23,16 @@ def _no_terms() -> Column:
     return F.array().cast("array<string>")
 
 
-def search_terms(query: Column) -> Column:
+def _gathered(query: Column, terms_of, limit: int | None) -> Column:
+    """Terms of all words; with ``limit`` no further word is read once so many terms are there."""
+    if limit is None:
+        return F.flatten(F.transform(_words(query), terms_of))
+    return F.aggregate(
+        _words(query), _no_terms(), lambda acc, w: F.when(F.size(acc) >= limit, acc).otherwise(F.concat(acc, terms_of(w)))
+    )
+
+
+def search_terms(query: Column, limit: int | None = None) -> Column:
     """Prefix terms for keyword search, in query order, repeats kept."""
 
     def terms_of(w: Column) -> Column:
@@ -38,14 +44,10 @@ def search_terms(query: Column) -> Column:
             .otherwise(_no_terms())
         )
 
-    return F.aggregate(
-        _words(query),
-        _no_terms(),
-        lambda acc, w: F.when(F.size(acc) >= TERM_LIMIT, acc).otherwise(F.concat(acc, terms_of(w))),
-    )
+    return _gathered(query, terms_of, limit)
 
 
-def rerank_terms(query: Column) -> Column:
+def rerank_terms(query: Column, limit: int | None = None) -> Column:
     """Distinct terms for lexical re-ranking, in query order."""
 
     def terms_of(w: Column) -> Column:
@@ -53,12 +55,11 @@ def rerank_terms(query: Column) -> Column:
             (F.length(w) > 2) & w.rlike(r"\p{IsHan}"), _bigrams(w)
         ).otherwise(F.array(w))
 
+    if limit is None:
+        return F.array_distinct(_gathered(query, terms_of, None))
     return F.aggregate(
-        _words(query),
-        _no_terms(),
-        lambda acc, w: F.when(F.size(acc) >= TERM_LIMIT, acc).otherwise(
-            F.array_distinct(F.concat(acc, terms_of(w)))
-        ),
+        _words(query), _no_terms(),
+        lambda acc, w: F.when(F.size(acc) >= limit, acc).otherwise(F.array_distinct(F.concat(acc, terms_of(w)))),
     )
 
 

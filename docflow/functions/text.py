@@ -74,7 +74,10 @@ def truncate(c: Column, n: int, suffix: str = "") -> Column:
     return F.when(F.length(c) > n, cut).otherwise(c)
 
 
-def truncate_to_tokens(c: Column, max_tokens: int) -> Column:
+def truncate_to_tokens(c: Column, max_tokens: int | None) -> Column:
+    """First ``max_tokens`` tokens by estimate; without a bound the whole text."""
+    if max_tokens is None:
+        return c
     limit = max_tokens * 4
     too_long = (estimate_tokens(c) > max_tokens) & (F.length(c) > limit)
     return F.when(too_long, F.substring(c, 1, limit)).otherwise(c)
@@ -140,10 +143,10 @@ def number_contexts(contexts: Column) -> Column:
     )
 
 
-def bullet_contexts(contexts: Column, limit: int = 5) -> Column:
-    """First contexts as a dash list, for verification prompts."""
+def bullet_contexts(contexts: Column, limit: int | None = None) -> Column:
+    """Contexts, or the first ``limit`` ones, as a dash list, for verification prompts."""
     return F.array_join(
-        F.transform(F.slice(contexts, 1, limit), lambda c: F.concat(F.lit("- "), c)), "\n"
+        F.transform(contexts if limit is None else F.slice(contexts, 1, limit), lambda c: F.concat(F.lit("- "), c)), "\n"
     )
 
 

@@ -68,7 +68,19 @@ def embed_once(df: DataFrame, text: str, embedder: Embedder, batch_size: int = E
 
 
 def generate(model: TextModel, batch_size: int = EMBED_BATCH) -> Callable[[Column], Column]:
-    """Column function prompt -> response; null where the model fails or the prompt is null."""
+    """Column function prompt -> response; null where the model fails or the prompt is null.
+
+    After a failed call its prompts are asked one by one, so a bad one stands alone.
+    """
+
+    def answers(prompts: list[str]) -> list:
+        try:
+            out = list(model(prompts))
+            if len(out) == len(prompts):
+                return out
+        except Exception:  # noqa: BLE001 - a failed call is an empty response
+            pass
+        return [None] if len(prompts) == 1 else [answers([p])[0] for p in prompts]
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,11 +89,7 @@ def generate(model: TextModel, batch_size: int = EMBED_BATCH) -> Callable[[Colum
             asked = [i for i, p in enumerate(batch) if p is not None]
             for at in range(0, len(asked), batch_size):
                 part = asked[at : at + batch_size]
-                try:
-                    answers = list(model([batch.iloc[i] for i in part]))
-                except Exception:  # noqa: BLE001 - a failed call is an empty response
-                    continue
-                for i, a in zip(part, answers):
+                for i, a in zip(part, answers([batch.iloc[i] for i in part]), strict=True):
                     out[i] = a
             yield pd.Series(out, index=batch.index, dtype=object)
 

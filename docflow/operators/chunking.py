@@ -1,6 +1,7 @@
 """Chunking: one document row in, its chunk rows out.
 
-Every strategy works inside the document row, so a corpus is chunked without a
+All characters of a text are in its chunks; ``max_tokens`` cuts only where it is
+given. Every strategy works inside the document row, so a corpus is chunked without a
 shuffle. Splitting, joining and classifying are JVM expressions; the packing
 rules in ``kernels`` see lengths only.
 """
@@ -30,7 +31,6 @@ from docflow.operators.kernels import pack_segments_udf, pack_udf, split_points_
 from docflow.session import stage_by
 
 # Fixed values.
-MAX_TOKENS = 512
 SENTENCE_BREAK = r"(?<=[。！？.!?;；])\s*|\n\s*\n+"
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", "，", ","]
 BLANK_LINE = r"\n\s*\n+"
@@ -87,7 +87,7 @@ def _no_path() -> Column:
 
 
 def chunk_fixed(
-    df: DataFrame, size: int | Column = 500, overlap: int | Column = 50, max_tokens: int = MAX_TOKENS
+    df: DataFrame, size: int | Column = 500, overlap: int | Column = 50, max_tokens: int | None = None
 ) -> DataFrame:
     """Pieces of equal size; the last one may lie inside the previous overlap."""
     pieces = rows_of(df, ["doc_id"], fixed_pieces(_text(), size, overlap), "chunk_index", "content")
@@ -100,7 +100,7 @@ def chunk_fixed(
 
 def chunk_parent_child(
     df: DataFrame, parent_size: int | Column = 1000, child_size: int | Column = 300,
-    overlap: int | Column = 50, max_tokens: int = MAX_TOKENS,
+    overlap: int | Column = 50, max_tokens: int | None = None,
 ) -> DataFrame:
     """Large pieces, each followed by its own small pieces. Ids come from positions."""
     cut = lambda c: truncate_to_tokens(c, max_tokens)
@@ -145,7 +145,7 @@ def chunk_parent_child(
 
 def chunk_paragraph(
     df: DataFrame, max_chars: int | Column = 900, overlap: int | Column = 1,
-    min_chars: int | Column = 180, max_tokens: int = MAX_TOKENS, strategy: str | Column | None = None,
+    min_chars: int | Column = 180, max_tokens: int | None = None, strategy: str | Column | None = None,
 ) -> DataFrame:
     """Paragraphs packed up to ``max_chars``; headings are carried, not packed."""
     base = df.select(
@@ -196,7 +196,7 @@ def chunk_paragraph(
 
 def chunk_segments(
     docs: DataFrame, strategy: str | Column = "paragraph", max_chars: int | Column = 900,
-    overlap: int | Column = 1, min_chars: int | Column = 180, max_tokens: int = MAX_TOKENS,
+    overlap: int | Column = 1, min_chars: int | Column = 180, max_tokens: int | None = None,
 ) -> DataFrame:
     """Segments packed into chunks that respect headings and the strategy.
 
@@ -330,13 +330,13 @@ def _recursive_udf(text: pd.Series, limit: pd.Series) -> pd.Series:
 
 
 def chunk_recursive(
-    df: DataFrame, max_chars: int | Column = 1000, max_tokens: int = MAX_TOKENS
+    df: DataFrame, max_chars: int | Column = 1000, max_tokens: int | None = None
 ) -> DataFrame:
     """Split at ever finer separators until the pieces fit; no overlap.
 
     Texts that already fit stay in the JVM.
     """
-    limit = F.least(_col(max_chars), F.lit(max_tokens * 4))
+    limit = _col(max_chars) if max_tokens is None else F.least(_col(max_chars), F.lit(max_tokens * 4))
     fits = F.length("text") <= limit
     pieces = F.when(fits, F.when(has_text(F.col("text")), F.array("text"))).otherwise(
         _recursive_udf(F.when(~fits, _text()), limit)
@@ -350,16 +350,16 @@ def chunk_recursive(
 
 
 def sentences(
-    text: Column, min_chars: int | Column = 10, max_chars: int | Column = 500
+    text: Column, min_chars: int | Column = 1, max_chars: int | Column = 500
 ) -> Column:
-    """Sentences of at least ``min_chars``; longer ones than ``max_chars`` are cut hard."""
+    """Sentences of at least ``min_chars`` (all, unless asked otherwise); longer ones than ``max_chars`` are cut hard."""
     parts = F.transform(F.split(text, SENTENCE_BREAK), strip_edges)
     kept = F.filter(parts, lambda p: F.length(p) >= _col(min_chars))
     hard = F.concat(F.lit("(?s).{1,"), _col(max_chars).cast("string"), F.lit("}"))
     return F.flatten(F.transform(kept, lambda p: F.regexp_extract_all(p, hard, F.lit(0))))
 
 
-def split_sentences(df: DataFrame, min_chars: int = 10, max_chars: int = 500) -> DataFrame:
+def split_sentences(df: DataFrame, min_chars: int = 1, max_chars: int = 500) -> DataFrame:
     found = sentences(F.col("text"), min_chars, max_chars)
     return rows_of(df, ["doc_id"], found, "sentence_no", "sentence")
 
@@ -406,7 +406,7 @@ def _ranges_of(starts: Column, items: Column) -> Column:
     )
 
 
-def _semantic_rows(rows: DataFrame, max_tokens: int) -> DataFrame:
+def _semantic_rows(rows: DataFrame, max_tokens: int | None) -> DataFrame:
     content = truncate_to_tokens(F.col("_content"), max_tokens)
     return rows.withColumn("content", content).drop("_content").withColumn(
         "chunk_strategy", F.lit("semantic")
@@ -417,8 +417,8 @@ def _semantic_rows(rows: DataFrame, max_tokens: int) -> DataFrame:
 
 def chunk_semantic(
     df: DataFrame, embedder: Embedder, threshold: float | Column = 0.5, min_chars: int | Column = 100,
-    max_chars: int | Column = 1500, min_sentence: int | Column = 10, max_sentence: int | Column = 500,
-    max_tokens: int = MAX_TOKENS, batch_size: int = 20,
+    max_chars: int | Column = 1500, min_sentence: int | Column = 1, max_sentence: int | Column = 500,
+    max_tokens: int | None = None, batch_size: int = 20,
 ) -> DataFrame:
     """Sentences joined until the topic changes or the chunk is full."""
     base = df.select(
@@ -444,7 +444,7 @@ def chunk_semantic(
 
 def chunk_semantic_segments(
     docs: DataFrame, embedder: Embedder, threshold: float = 0.5, min_chars: int = 100,
-    max_chars: int = 1500, max_tokens: int = MAX_TOKENS, batch_size: int = 20,
+    max_chars: int = 1500, max_tokens: int | None = None, batch_size: int = 20,
 ) -> DataFrame:
     """As ``chunk_semantic`` over segments; a new heading path also closes a chunk."""
     plain = F.filter("segments", lambda s: has_text(s["content"]) & (s["type"] != "heading"))
@@ -475,7 +475,7 @@ def chunk_semantic_segments(
 
 
 def chunk_pack(
-    df: DataFrame, max_chars: int = 1500, max_tokens: int = MAX_TOKENS, min_sentence: int = 10,
+    df: DataFrame, max_chars: int = 1500, max_tokens: int | None = None, min_sentence: int = 1,
     max_sentence: int = 500,
 ) -> DataFrame:
     """Sentences packed by length only."""
@@ -541,7 +541,7 @@ def chunk(
                 of("semantic"), embedder,
                 F.coalesce(F.try_variant_get(cfg, "$.similarityThreshold", "double"), F.lit(0.5)),
                 number("minChunkChars", 100), number("maxChunkChars", 1500),
-                number("minSentenceChars", 10), number("maxSentenceChars", 500),
+                number("minSentenceChars", 1), number("maxSentenceChars", 500),
             )
         )
     branches.append(chunk_paragraph(d.where(~F.col("_name").isin(*rest))))

@@ -21,10 +21,14 @@ def first_answer(answers: Column) -> Column:
     return F.get(clean, F.lit(0))
 
 
-def contexts(documents: Column, limit: int = 3, max_chars: int = 1200) -> Column:
+def _head(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def contexts(documents: Column, limit: int | None = None, max_chars: int | None = None) -> Column:
     """Context blocks: the first usable document, then selected ones only.
 
-    A block is title and paragraphs, cut at ``max_chars``.
+    A block is title and paragraphs. ``limit`` and ``max_chars`` cut where they are given.
     """
     none = F.array().cast("array<string>")
 
@@ -37,13 +41,14 @@ def contexts(documents: Column, limit: int = 3, max_chars: int = 1200) -> Column
         lines = F.concat(title, paras)
         usable = (F.size(F.coalesce(d["paragraphs"], none)) > 0) & (F.size(lines) > 0)
         return F.struct(
-            F.when(usable, F.substring(F.array_join(lines, "\n"), 1, max_chars)).alias("text"),
+            F.when(usable, _head(F.array_join(lines, "\n"), max_chars)).alias("text"),
             F.coalesce(d["is_selected"], F.lit(False)).alias("picked"),
         )
 
     blocks = F.filter(F.transform(documents, block), lambda b: b["text"].isNotNull())
     taken = F.filter(blocks, lambda b, i: (i == 0) | b["picked"])
-    return F.coalesce(F.slice(F.transform(taken, lambda b: b["text"]), 1, limit), none)
+    texts = F.transform(taken, lambda b: b["text"])
+    return F.coalesce(texts if limit is None else F.slice(texts, 1, limit), none)
 
 
 def sample_id() -> Column:
@@ -51,7 +56,7 @@ def sample_id() -> Column:
     return F.trim(F.coalesce(blank("question_id"), blank("id"), blank("questionId"), F.lit("")))
 
 
-def to_eval_samples(records: DataFrame, limit: int | None = None, max_contexts: int = 3, max_chars: int = 1200) -> DataFrame:
+def to_eval_samples(records: DataFrame, limit: int | None = None, max_contexts: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Records to samples; those without question, answer or id are dropped.
 
     With a ``limit`` the first records in file order are taken.
@@ -82,7 +87,7 @@ def to_rule_cases(samples: DataFrame, top_k: int = 5) -> DataFrame:
     )
 
 
-def export_documents(records: DataFrame, max_docs: int = 3, max_chars: int = 3000) -> DataFrame:
+def export_documents(records: DataFrame, max_docs: int | None = None, max_chars: int | None = None) -> DataFrame:
     """One rendered text per exported document: (sample_id, doc_index, file_name, text, ...)."""
     none = F.array().cast("array<string>")
     docs = F.coalesce("documents", F.array().cast(records.schema["documents"].dataType))
@@ -97,7 +102,7 @@ def export_documents(records: DataFrame, max_docs: int = 3, max_chars: int = 300
         return F.struct(
             (i + 1).alias("doc_index"),
             normalize_ws(F.coalesce(d["title"], F.lit(""))).alias("title"),
-            F.substring(F.array_join(paras, "\n\n"), 1, max_chars).alias("content"),
+            _head(F.array_join(paras, "\n\n"), max_chars).alias("content"),
             F.coalesce(d["is_selected"], F.lit(False)).alias("is_selected"),
         )
 
@@ -107,7 +112,7 @@ def export_documents(records: DataFrame, max_docs: int = 3, max_chars: int = 300
         normalize_ws(F.col("question")).alias("question"),
         first_answer(F.col("answers")).alias("ground_truth"),
         "source_file",
-        F.inline(F.slice(usable, 1, max_docs)),
+        F.inline(usable if max_docs is None else F.slice(usable, 1, max_docs)),
     ).where(has_text(F.col("question")) & F.col("ground_truth").isNotNull() & (F.length("sample_id") > 0))
     text = F.concat(
         F.lit("Sample ID: "), "sample_id", F.lit("\nQuestion: "), "question",

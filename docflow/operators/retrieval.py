@@ -276,20 +276,35 @@ def rerank_with(hits: DataFrame, scorer: Scorer, k: int) -> DataFrame:
     """Re-rank by an external pairwise scorer ``(queries, contents) -> scores``.
 
     Pairs are scored in Arrow batches wherever they are; candidates are never
-    gathered. If any pair of a query fails, the whole query falls back to its
-    original scores.
+    gathered. A batch that fails is scored again query by query, and of a query
+    that fails its pairs one by one, so no query suffers from its neighbours. If
+    any pair of a query fails, the whole query falls back to its original scores.
     """
     base = hits.drop("rank")
     fields = base.schema.fields + [T.StructField("_new", T.DoubleType())]
 
+    def scores(queries: list[str], contents: list[str]) -> list[float] | None:
+        try:
+            new = [float(s) for s in scorer(queries, contents)]
+        except Exception:  # noqa: BLE001 - any scorer failure means fall back
+            return None
+        return new if len(new) == len(queries) else None
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            try:
-                new = [float(s) for s in scorer(batch["query"].to_pylist(), batch["content"].to_pylist())]
-                if len(new) != batch.num_rows:
-                    raise ValueError("one score per pair expected")
-            except Exception:  # noqa: BLE001 - any scorer failure means fall back
+            queries, contents = batch["query"].to_pylist(), batch["content"].to_pylist()
+            new: list[float | None] | None = scores(queries, contents)
+            if new is None:
                 new = [None] * batch.num_rows
+                by_query: dict = {}
+                for i, q in enumerate(batch["query_id"].to_pylist()):
+                    by_query.setdefault(q, []).append(i)
+                for rows in by_query.values():
+                    part = scores([queries[i] for i in rows], [contents[i] for i in rows])
+                    if part is None:
+                        part = [(scores([queries[i]], [contents[i]]) or [None])[0] for i in rows]
+                    for i, s in zip(rows, part, strict=True):
+                        new[i] = s
             yield batch.append_column("_new", pa.array(new, pa.float64()))
 
     scored = base.mapInArrow(score, T.StructType(fields))
@@ -393,15 +408,15 @@ def evidence_context(hits: DataFrame, m: int, order: Sequence[str] = ("rank",))
     )
 
 
-def rewrite_list(queries: DataFrame, count: int) -> DataFrame:
+def rewrite_list(queries: DataFrame, count: int, max_chars: int | None = None) -> DataFrame:
     """The query itself, then its rewrites: (query_id, rewrite_no, query).
 
     ``queries`` has (query_id, query, response); a response line is one rewrite,
-    cut to 200 characters, and the list ends at ``count`` entries.
+    cut to ``max_chars`` if given, and the list ends at ``count`` entries.
     """
     lines = F.transform(
         F.split(F.coalesce("response", F.lit("")), "\n"),
-        lambda s: F.substring(strip_edges(s), 1, 200),
+        lambda s: strip_edges(s) if max_chars is None else F.substring(strip_edges(s), 1, max_chars),
     )
     usable = F.filter(lines, lambda s: has_text(s) & (s != F.col("query")))
     more = F.slice(usable, 1, max(count - 1, 1))

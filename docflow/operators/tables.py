@@ -101,9 +101,13 @@ def cascade_delete_kb(tables: Mapping[str, DataFrame], kb_ids: DataFrame) -> dic
     return out
 
 
-def replace_document_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Drop every old chunk of the documents in ``new``, then add the new ones."""
-    touched = new.select("doc_id").distinct()
+def replace_document_chunks(old: DataFrame, new: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """Drop every old chunk of the documents in ``new``, then add the new ones.
+
+    ``touched`` (doc_id) names the documents whose chunks go also where the new
+    version has none, as that of a document that became blank.
+    """
+    touched = (new if touched is None else touched.select("doc_id").unionAll(new.select("doc_id"))).select("doc_id").distinct()
     return old.join(broadcast_if_small(touched), "doc_id", "left_anti").unionByName(
         new, allowMissingColumns=True
     )

@@ -50,10 +50,14 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def _rewrite(spark: SparkSession, path: str, merged: DataFrame) -> None:
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket"
-    ).parquet(path)
+def _rewrite(spark: SparkSession, path: str, merged: DataFrame, key: str, touched: list[int]) -> None:
+    """Write the touched buckets anew, eight files each at most; buckets without rows go."""
+    left = {r[0] for r in merged.select("bucket").distinct().collect()}  # at most the touched buckets
+    spread = merged.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in set(touched) - left:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def upsert_path(
@@ -65,17 +69,23 @@ def upsert_path(
     if not touched:
         return
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    _rewrite(spark, path, upsert_vectors(old, new, key))
+    _rewrite(spark, path, upsert_vectors(old, new, key), key, touched)
 
 
 def replace_path(
-    spark: SparkSession, path: str, new_chunks: DataFrame, buckets: int = BUCKETS
+    spark: SparkSession, path: str, new_chunks: DataFrame, buckets: int = BUCKETS, replaced: DataFrame | None = None
 ) -> None:
-    """Replace whole documents in a table bucketed by ``doc_id``; safe to repeat."""
+    """Replace whole documents in a table bucketed by ``doc_id``; safe to repeat.
+
+    ``replaced`` (doc_id) names documents whose old rows go even if they have no new ones.
+    """
     new = with_bucket(new_chunks, "doc_id", buckets)
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    ids = new.select("doc_id", "bucket")
+    if replaced is not None:
+        ids = ids.unionAll(with_bucket(replaced.select(F.col("doc_id").cast(new.schema["doc_id"].dataType)), "doc_id", buckets))
+    touched = [r[0] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets``
     if not touched:
         return
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    _rewrite(spark, path, kept.unionByName(new, allowMissingColumns=True))
+    kept = old.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    _rewrite(spark, path, kept.unionByName(new, allowMissingColumns=True), "doc_id", touched)

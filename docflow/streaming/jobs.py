@@ -82,7 +82,7 @@ def ingest_stream(
             out = ingest(newest, embedder)
             for df, path in ((out.chunks, chunk_path), (out.vectors, vector_path)):
                 if _exists(spark, path):
-                    replace_path(spark, path, df, buckets)
+                    replace_path(spark, path, df, buckets, newest.select("doc_id"))
                 else:
                     write_buckets(df, path, "doc_id", buckets)
         finally:

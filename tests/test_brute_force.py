@@ -45,7 +45,7 @@ def test_recursive_pieces(spark, sf):
 
     for doc_id, text in src.items():
         if text.strip():
-            assert got[doc_id] == [p[:2048] for p in split(text)]
+            assert got[doc_id] == split(text)
 
 
 def test_semantic_and_length_chunks(spark, sf):
@@ -80,7 +80,7 @@ def test_semantic_and_length_chunks(spark, sf):
             got.setdefault(r.doc_id, []).append(r.content)
         assert got.keys() == sents.keys()
         for k, parts in sents.items():
-            assert got[k] == [c[:2048] for c in chunks(parts, semantic)]
+            assert got[k] == chunks(parts, semantic)
 
 
 def test_failing_embedder_packs_by_length(spark, sf):
@@ -266,7 +266,7 @@ def test_segment_packing(spark, sf, how):
         want, i = [], 0
         while i < len(units):
             if how == "table" and units[i].type in ("table", "caption"):
-                want.append((units[i].content[:2048], units[i].heading_path))
+                want.append((units[i].content, units[i].heading_path))
                 i += 1
                 continue
             parts, path, j = [], None, i
@@ -285,7 +285,7 @@ def test_segment_packing(spark, sf, how):
                 j += 1
                 if len("\n\n".join(parts)) >= 300:
                     break
-            want.append(("\n\n".join(parts)[:2048], path))
+            want.append(("\n\n".join(parts), path))
             if j >= len(units):
                 break
             i = max(i + 1, j - 1)

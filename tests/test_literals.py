@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import chunking as C
 from docflow.operators import segments as S
 
-GUIDE = "# Product Guide\n\nIntro paragraph.\n\n## Setup\n\n- Step one\n- Step two\n"
+MANUAL = "# Bee Keeping\n\nWhat a hive needs.\n\n## Spring\n\n- clean the floor\n- weigh the combs\n"
 
 
 def docs(spark, *texts):
@@ -25,12 +25,12 @@ def segs(spark, *rows):
 
 
 def test_markdown_segments(spark):
-    text = S.markdown_normalize(docs(spark, GUIDE))
+    text = S.markdown_normalize(docs(spark, MANUAL))
     rows = S.segment_text(text).orderBy("segment_no").collect()
     assert [r.type for r in rows] == ["heading", "paragraph", "heading", "list"]
-    assert rows[1].heading_path == "Product Guide"
-    assert rows[3].heading_path == "Product Guide > Setup"
-    assert rows[3].content == "- Step one\n- Step two"
+    assert rows[1].heading_path == "Bee Keeping"
+    assert rows[3].heading_path == "Bee Keeping > Spring"
+    assert rows[3].content == "- clean the floor\n- weigh the combs"
 
 
 def test_markdown_keeps_headings_and_fences(spark):
@@ -54,43 +54,43 @@ def test_html(spark):
 
 def test_paragraph_chunks_carry_headings(spark):
     text = (
-        "# Product Guide\n\nThis is the introduction paragraph for the guide with additional details that make the "
-        "first section long enough.\n\n## Setup\n\nSetup details are written here with enough content to form a "
-        "second chunk and validate heading propagation.\n"
+        "# River Ferry\n\nThe ferry crosses every half hour while there is light, and the bell on the far bank calls "
+        "it at other times of day.\n\n## Fares\n\nWalkers pay one coin, riders two, and a cart with its driver "
+        "pays four on market days.\n"
     )
     rows = C.chunk_paragraph(docs(spark, text), 80, 1, 40).orderBy("chunk_index").collect()
-    assert [r.heading_path for r in rows] == ["# Product Guide", "## Setup"]
+    assert [r.heading_path for r in rows] == ["# River Ferry", "## Fares"]
     assert [r.heading_level for r in rows] == [1, 2]
     assert rows[0].segment_type == "paragraph"
 
 
 def test_traits_of_code_and_table(spark):
-    code = "# API\n\n```java\nSystem.out.println(\"hello\");\n```\n"
-    table = "# Metrics\n\n| Name | Value |\n| --- | --- |\n| Latency | 20ms |\n"
+    code = "# Greeting\n\n```python\nprint(\"good day\")\n```\n"
+    table = "# Harvest\n\n| Fruit | Baskets |\n| --- | --- |\n| Plum | 20 |\n"
     a, b = C.chunk_paragraph(docs(spark, code, table), 200).orderBy("doc_id").collect()
     assert (a.segment_type, a.has_code_block) == ("code", True)
     assert (b.segment_type, b.has_table) == ("table", True)
 
 
 def test_segments_are_boundaries(spark):
-    table = "| Name | Value |\n| --- | --- |\n| Mode | Fast |"
-    d = segs(spark, ("heading", "# Guide", "Guide"), ("paragraph", "Intro content for the guide.", "Guide"),
-             ("heading", "## Setup", "Guide > Setup"), ("table", table, "Guide > Setup"))
+    table = "| Tide | Hour |\n| --- | --- |\n| High | Noon |"
+    d = segs(spark, ("heading", "# Harbour", "Harbour"), ("paragraph", "Boats wait here for the water.", "Harbour"),
+             ("heading", "## Tides", "Harbour > Tides"), ("table", table, "Harbour > Tides"))
     rows = C.chunk_segments(d, "paragraph", 120, 1, 20).orderBy("chunk_index").collect()
-    assert [r.heading_path for r in rows] == ["Guide", "Guide > Setup"]
+    assert [r.heading_path for r in rows] == ["Harbour", "Harbour > Tides"]
     assert rows[1].segment_type == "table"
 
 
 def test_manual_sections_stay_apart(spark):
-    d = segs(spark, ("heading", "# Guide", "Guide"), ("paragraph", "Install prerequisites before setup.", "Guide > Install"),
-             ("paragraph", "Run setup command and verify output.", "Guide > Setup"))
+    d = segs(spark, ("heading", "# Oven", "Oven"), ("paragraph", "Stack dry wood at the back.", "Oven > Lighting"),
+             ("paragraph", "Bake the small loaves first.", "Oven > Baking"))
     rows = C.chunk_segments(d, "manual", 200, 1, 10).orderBy("chunk_index").collect()
-    assert [(r.heading_path, r.chunk_strategy) for r in rows] == [("Guide > Install", "manual"), ("Guide > Setup", "manual")]
+    assert [(r.heading_path, r.chunk_strategy) for r in rows] == [("Oven > Lighting", "manual"), ("Oven > Baking", "manual")]
 
 
 def test_tables_are_isolated(spark):
-    d = segs(spark, ("paragraph", "Monthly metrics summary.", "Metrics"), ("table", "| Name | Value |", "Metrics"),
-             ("caption", "Table 1: Runtime metrics", "Metrics"))
+    d = segs(spark, ("paragraph", "Rain of the last year.", "Weather"), ("table", "| Month | Days |", "Weather"),
+             ("caption", "Table 1: Days with rain", "Weather"))
     rows = C.chunk_segments(d, "table", 200, 1, 10).orderBy("chunk_index").collect()
     assert [r.segment_type for r in rows] == ["paragraph", "table", "caption"]
     assert rows[1].chunk_strategy == "table"
