@@ -73,10 +73,11 @@ def trace_rows(answers: DataFrame, name: str = "rag_query") -> DataFrame:
     )
 
 
-def top_contexts(hits: DataFrame, m: int) -> DataFrame:
-    """First ``m`` contents per query as an array, in rank order."""
+def top_contexts(hits: DataFrame, m: int | None = None) -> DataFrame:
+    """Contents per query, or the first ``m``, as an array in rank order; hits are cut per query before."""
     w = Window.partitionBy("query_id").orderBy("rank")
-    first = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m)
+    first = hits.withColumn("_rn", F.row_number().over(w))
+    first = first if m is None else first.where(F.col("_rn") <= m)
     return first.groupBy("query_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_rn", "content"))), lambda x: x["content"]
@@ -95,9 +96,9 @@ def _verdict(response: Column, flag: str, empty: Column, empty_value: Column) ->
     )
 
 
-def verify(answers: DataFrame, hits: DataFrame, model: TextModel) -> DataFrame:
-    """Is the evidence sufficient, is the answer faithful: scores per query."""
-    ctx = answers.select("query_id", "query", "answer").join(top_contexts(hits, 5), "query_id", "left")
+def verify(answers: DataFrame, hits: DataFrame, model: TextModel, max_contexts: int | None = None) -> DataFrame:
+    """Is the evidence sufficient, is the answer faithful: scores per query over all or ``max_contexts`` hits."""
+    ctx = answers.select("query_id", "query", "answer").join(top_contexts(hits, max_contexts), "query_id", "left")
     none = F.coalesce(F.size("contexts"), F.lit(0)) <= 0
     listed = F.coalesce(bullet_contexts(F.col("contexts")), F.lit(""))
     blank = ~has_text(F.col("answer"))

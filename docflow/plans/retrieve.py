@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docflow.hooks import Embedder, embed_once
 from docflow.operators.retrieval import (
@@ -94,7 +95,8 @@ def retrieve(
         legs = vector.unionByName(keyword)
         fused = rrf_fuse(legs, top_k, RRF_K).select("query_id", "chunk_id", "score", "rank")
     else:
-        fused = vector.drop("leg")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+        fused = vector.drop("leg").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     info = ["content", "doc_id", "chunk_index", "doc_name", "heading_path", "segment_type"]
     if expansion == "parent":
         info.append("parent_id")

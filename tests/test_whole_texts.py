@@ -74,3 +74,20 @@ def test_a_failing_prompt_stands_alone(spark):
 
     rows = spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "p string").coalesce(1)
     assert [r[0] for r in rows.select(generate(model)("p")).collect()] == ["A", None, None, "C"]
+
+
+@pytest.mark.parametrize("options", [{"rerank": False}, {"rerank": True}, {"rerank": False, "vector_k": 9}])
+def test_retrieval_without_fusion(spark, options):
+    from docflow.plans.retrieve import retrieve
+
+    texts = ["red apple tree", "green apple", "blue boat", "boat on a red river", "apple boat", "river tree"]
+    chunks = spark.createDataFrame(
+        [(i, t, i, 0, "d", None, "paragraph") for i, t in enumerate(texts)],
+        "chunk_id long, content string, doc_id long, chunk_index int, doc_name string, heading_path string, segment_type string",
+    )
+    embedder = HashingEmbedder()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(embedder(texts))], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "red apple"), (2, "boat")], "query_id long, query string")
+    hits = retrieve(queries, chunks, vectors, embedder, top_k=3, fuse_single=False, **options).hits.collect()
+    for q in (1, 2):
+        assert sorted(r["rank"] for r in hits if r.query_id == q) == [1, 2, 3]
