@@ -223,3 +223,18 @@ def test_empty_tables(spark):
     assert licenses.license_spans(none).count() == 0
     assert quality.judge(none).count() == 0
     assert mixing.mix(none).count() == 0
+
+
+def test_distance_to_a_reference(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(5):
+        counts, reference = [rng.choice([0, 1, 5, 40]) for _ in range(9)], [rng.choice([0, 2, 70]) for _ in range(9)]
+        counts[0] = reference[0] = 3
+        p, q = np.array(counts) / sum(counts), np.array(reference) / sum(reference)
+        m = (p + q) / 2
+        part = lambda x, m=m: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        row = spark.createDataFrame([(counts,)], "c array<long>")
+        got = row.select(quality.js_distance(F.col("c"), F.lit(sum(counts)), reference)).first()[0]
+        assert got == pytest.approx(((part(p) + part(q)) / 2) ** 0.5)
