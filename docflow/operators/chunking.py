@@ -299,34 +299,41 @@ def _headings_as_text(all_: Column) -> Column:
     ).otherwise(F.array(whole))
 
 
-def _recursive(text: str, limit: int, level: int, out: list[str]) -> None:
-    """Split at the first separator that occurs; join parts again up to ``limit``."""
-    while len(text) > limit and level < len(SEPARATORS) and SEPARATORS[level] not in text:
-        level += 1
-    if len(text) <= limit or level == len(SEPARATORS):
-        out.append(text)
-        return
-    sep, joined = SEPARATORS[level], ""
-    for part in text.split(sep):
-        grown = joined + sep + part if joined else part
-        if joined and len(grown) > limit:
-            _recursive(joined, limit, level + 1, out)
-            joined = part
-        else:
-            joined = grown
-    if joined:
-        _recursive(joined, limit, level + 1, out)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _recursive_udf(text: pd.Series, limit: pd.Series) -> pd.Series:
-    rows = []
-    for t, n in zip(text, limit):
-        out: list[str] = []
-        if t is not None:
-            _recursive(t, n, 0, out)
-        rows.append(out)
-    return pd.Series(rows)
+def piece_spans(text: str, limit: int) -> list[tuple[int, int]]:
+    """Positions (begin, end) of pieces of at most ``limit`` characters where separators allow.
+
+    A span that is too long is cut at the marks of the first separator in it; parts
+    between marks are packed again up to the limit, and packs go on with the finer
+    separators. Empty parts at the head of a pack are left out.
+    """
+    spans, todo = [], [(0, len(text), 0)]
+    while todo:
+        begin, end, level = todo.pop()
+        if end - begin > limit:
+            level = next((i for i in range(level, len(SEPARATORS)) if text.find(SEPARATORS[i], begin, end) >= 0), None)
+        if end - begin <= limit or level is None:
+            spans.append((begin, end))
+            continue
+        mark, packs, head, tail = SEPARATORS[level], [], begin, begin
+        while begin <= end:
+            stop = text.find(mark, begin, end)
+            stop = end if stop < 0 else stop
+            if tail > head and stop - head > limit:
+                packs.append((head, tail, level + 1))
+                head = begin
+            elif tail == head:
+                head = begin
+            tail, begin = stop, stop + len(mark)
+        packs.append((head, tail, level + 1))
+        todo.extend(pack for pack in reversed(packs) if pack[1] > pack[0])
+    return spans
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("s", T.IntegerType()).add("n", T.IntegerType())))
+def _spans_udf(text: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series(
+        [[] if t is None else [{"s": a, "n": b - a} for a, b in piece_spans(t, n)] for t, n in zip(text, limit)]
+    )
 
 
 def chunk_recursive(
@@ -338,10 +345,12 @@ def chunk_recursive(
     """
     limit = _col(max_chars) if max_tokens is None else F.least(_col(max_chars), F.lit(max_tokens * 4))
     fits = F.length("text") <= limit
-    pieces = F.when(fits, F.when(has_text(F.col("text")), F.array("text"))).otherwise(
-        _recursive_udf(F.when(~fits, _text()), limit)
-    )
-    rows = rows_of(df, ["doc_id"], pieces, "chunk_index", "content")
+    spans = settle(df.select(
+        "doc_id", "text", fits.alias("_fits"), _spans_udf(F.when(~fits, _text()), limit).alias("_spans")
+    ))
+    cut = F.transform("_spans", lambda x: F.substring(F.col("text"), x["s"] + 1, x["n"]))
+    pieces = F.when(F.col("_fits"), F.when(has_text(F.col("text")), F.array("text"))).otherwise(cut)
+    rows = rows_of(spans, ["doc_id"], pieces, "chunk_index", "content")
     return _finish(
         rows.withColumn("content", truncate_to_tokens(F.col("content"), max_tokens)).withColumn(
             "heading_path", _no_path()
