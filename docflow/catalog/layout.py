@@ -54,7 +54,16 @@ def columned(s, d):
 
 
 def columns(s, d):
-    return columned(s, d).select("doc_id", "page_num", "box_no", "column_index", "span_columns")
+    """Pages of one to four columns by turns; every ninth box is wider than its column."""
+    count = F.pmod(col("doc_id") + col("page_num"), F.lit(4)) + 1
+    center, half = 80 + 145 * (col("box_no") % count).cast("double"), F.when(col("box_no") % 9 == 4, 150.0).otherwise(60.0)
+    b = L.classify_boxes(marked_boxes(s, d)).withColumn("x1", center - half).withColumn("x2", center + half)
+    return L.assign_columns(b, page_table(s, d)).select("doc_id", "page_num", "box_no", "column_index", "span_columns")
+
+
+COLUMNS_SQL = f"""WITH b AS ({B.BOXES_SQL}), c AS (SELECT doc_id, page_num, box_no, box_no % ((doc_id + page_num) % 4 + 1) AS place, box_no % 9 = 4 AS wide FROM b),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_num ORDER BY place) - 1 AS r FROM c)
+SELECT doc_id, page_num, box_no, CAST(r AS INTEGER) AS column_index, wide AND max(r) OVER (PARTITION BY doc_id, page_num) > 0 AS span_columns FROM p"""
 
 
 def captions(s, d):
@@ -176,12 +185,7 @@ SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY r), '') AS keywords FROM do
         f"""WITH b AS ({B.BOXES_SQL}), e AS (SELECT DISTINCT doc_id, page_num, x1 FROM b), g AS (SELECT *, x1 - lag(x1) OVER (PARTITION BY doc_id, page_num ORDER BY x1) AS gap FROM e)
 SELECT doc_id, page_num, CAST(least(3, 1 + sum(CASE WHEN gap > 50 THEN 1 ELSE 0 END)) AS INTEGER) AS column_count FROM g GROUP BY doc_id, page_num""",
     ),
-    "page_columns": (
-        columns,
-        # Two left edges 270 apart: two columns wherever a page has both.
-        f"""WITH b AS ({B.BOXES_SQL}), p AS (SELECT doc_id, page_num, count(DISTINCT x1) AS n FROM b GROUP BY ALL)
-SELECT b.doc_id, b.page_num, box_no, CAST(CASE WHEN n > 1 THEN box_no % 2 ELSE 0 END AS INTEGER) AS column_index, false AS span_columns FROM b JOIN p ON p.doc_id = b.doc_id AND p.page_num = b.page_num""",
-    ),
+    "page_columns": (columns, COLUMNS_SQL),
     "horizontal_merge": (merged, None),
     "vertical_merge": (vertical_shown, None),
     "downward_merge": (downward, None),
