@@ -402,8 +402,11 @@ def markdown_normalize(df: DataFrame) -> DataFrame:
 
     def inline(s: Column) -> Column:
         s = F.regexp_replace(s, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-        s = F.regexp_replace(s, r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2")
-        return F.regexp_replace(s, r"(?<![\w*])([*_])(?=\S)([^*_\n]+?)(?<=\S)\1(?![\w*])", "$2")
+        # a run of marks opens before a character and closes behind one; inner emphasis first
+        for _ in range(2):
+            s = F.regexp_replace(s, r"(?<!\*)(\*{1,3})(?=[^\s*])([^*]+)(?<=[^\s*])\1(?!\*)", "$2")
+            s = F.regexp_replace(s, r"(?<!\w)(_{1,3})(?=[^\s_])([^_]+)(?<=[^\s_])\1(?!\w)", "$2")
+        return s
 
     def body(b: Column) -> Column:
         part = F.slice("_l", b["s"] + 1, b["e"] - b["s"])
