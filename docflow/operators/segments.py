@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.functions.bind import rows_of, settle
+from docflow.functions.bind import let, rows_of, settle
 from docflow.functions.structure import block_type, markdown_level, markdown_title
 from docflow.functions.text import has_text, normalize_ws
 from docflow.operators.chunking import text_blocks
@@ -158,12 +160,10 @@ TAGS = [
     "p", "div", "section", "article", "blockquote",
 ]
 SPACED = "p|div|section|article|blockquote|h[1-6]|ul|ol|li|pre|table|tr|td|th|br|nav|footer|header|hr"
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
-    "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "times": "×",
-    "deg": "°", "euro": "€", "pound": "£", "sect": "§", "trade": "™",
-}
+# The named references of HTML 5; some may stand without a semicolon. A fixed space becomes a plain one.
+ENTITIES = {**html5, "nbsp;": " ", "nbsp": " "}
+_OPEN = "|".join(sorted((n for n in ENTITIES if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_END, _IS = "\x01", "\x02"
 DROPPED = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|head|noscript)\b[^>]*>.*?</\1\s*>"
 
 _CODE = {t: i + 1 for i, t in enumerate(TAGS)}
@@ -175,26 +175,25 @@ _CELLS = {_CODE["th"], _CODE["td"]}
 
 
 def decode_entities(c: Column) -> Column:
-    """Character references to characters; the ampersand comes last."""
-    for name, char in ENTITIES.items():
-        c = F.replace(F.replace(c, F.lit(f"&{name};"), F.lit(char)), F.lit(f"&{name}"), F.lit(char))
-
-    def numeric(text: Column) -> Column:
-        parts = F.split(text, r"(?=&#[xX]?[0-9a-fA-F]{1,6};)")
-
-        def one(p: Column) -> Column:
-            hexa = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
-            deci = F.regexp_extract(p, r"^&#([0-9]{1,6});", 1)
-            code = F.when(hexa != "", hexa).when(deci != "", F.hex(deci.cast("bigint")))
-            char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-            return F.when(
-                code.isNotNull(), F.concat(char, F.regexp_replace(p, r"^&#[xX]?[0-9a-fA-F]+;", ""))
-            ).otherwise(p)
-
-        return F.array_join(F.transform(parts, one), "")
-
-    c = F.when(F.contains(c, F.lit("&#")), numeric(c)).otherwise(c)
-    return F.regexp_replace(c, "&amp;?", "&")
+    """Character references to characters, each once; unknown names stay, invalid numbers become U+FFFD."""
+    named = F.str_to_map(F.lit(_END.join(f"{n}{_IS}{v}" for n, v in ENTITIES.items())), F.lit(_END), F.lit(_IS))
+
+    def one(p: Column) -> Column:
+        hexa, deci = (F.regexp_extract(p, rf"^&#{x}+);?", 1) for x in ("[xX]([0-9a-fA-F]", "([0-9]"))
+        code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).try_cast("bigint")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        name = F.regexp_extract(p, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
+        start = F.regexp_extract(p, f"^&({_OPEN})", 1)
+        rest = lambda pattern: F.regexp_replace(p, f"^&{pattern}", "")
+        return (
+            F.when((hexa != "") | (deci != ""), F.concat(number, rest("#[xX]?[0-9a-fA-F]+;?")))
+            .when(F.map_contains_key(named, name), F.concat(F.try_element_at(named, name), rest("[A-Za-z0-9]+;")))
+            .when(start != "", F.concat(F.try_element_at(named, start), F.substr(p, F.length(start) + 2)))
+            .otherwise(p)
+        )
+
+    return let(c, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "(?=&)"), one), "")).otherwise(t))
 
 
 def _element_end(codes: list[int], at: int) -> tuple[int, int]:

@@ -52,6 +52,21 @@ def test_html(spark):
     )
 
 
+def test_character_references(spark):
+    rows = {
+        "&amp;lt; &eacute;&#233;&#xE9; &copyx": "&lt; ééé ©x", "a&nbsp;b &bogus; R&D &": "a b &bogus; R&D &",
+        "&#x110000;&#0;&#128512;": "\ufffd\ufffd\U0001f600", "&hellip;&Ouml;&frac12;&notin;": "…Ö½∉", "plain": "plain",
+    }
+    df = spark.createDataFrame(list(rows.items()), "a string, b string").select("b", S.decode_entities(F.col("a")).alias("got"))
+    assert [r.got for r in df.collect()] == [r.b for r in df.collect()]
+
+
+def test_marks_without_emphasis_stay(spark):
+    text = "one*** two*** three ** four\n\n**bold *and* more** ***both*** a*b*c snake_case_name _it_ 2 * 3 * 4"
+    got = S.markdown_normalize(docs(spark, text)).first().text
+    assert got == "one*** two*** three ** four\n\nbold and more both abc snake_case_name it 2 * 3 * 4"
+
+
 def test_paragraph_chunks_carry_headings(spark):
     text = (
         "# River Ferry\n\nThe ferry crosses every half hour while there is light, and the bell on the far bank calls "
