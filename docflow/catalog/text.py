@@ -201,7 +201,7 @@ def retries(s, d):
         "task_id", R.backoff_minutes(col("retry_count")).cast("bigint").alias("backoff"),
         R.claimable(F.when(col("status") == "FAILED", "RUNNING").when(col("status") == "SUCCESS", "QUEUED").otherwise(col("status")), col("create_time"), col("completed_at"), now).alias("claimable"),
         R.duration_ms(col("started_at"), col("completed_at")).alias("took_ms"),
-        R.window_hours((col("task_id") % 1000 - 50).cast("int")).cast("bigint").alias("hours"),
+        R.window_hours((col("task_id") % 1000 - 50).cast("int"), 720).cast("bigint").alias("hours"),
     )
 
 

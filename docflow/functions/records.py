@@ -74,9 +74,10 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.coalesce(F.timestamp_diff("MILLISECOND", start, end), F.lit(0)).cast("bigint")
 
 
-def window_hours(hours: Column) -> Column:
-    """Not positive means a day; never more than 30 days."""
-    return F.when(hours <= 0, F.lit(24)).otherwise(F.least(hours, F.lit(720)))
+def window_hours(hours: Column, most: int | None = None) -> Column:
+    """Not positive means a day; at most ``most`` hours if that is given."""
+    asked = F.when(hours <= 0, F.lit(24)).otherwise(hours)
+    return asked if most is None else F.least(asked, F.lit(most))
 
 
 def backoff_minutes(retry_count: Column) -> Column:

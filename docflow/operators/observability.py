@@ -28,8 +28,10 @@ ALERT_DEFAULTS = {
 }
 
 
-def clamp_hours(hours: int) -> int:
-    return 24 if hours <= 0 else min(hours, 720)
+def clamp_hours(hours: int, most: int | None = None) -> int:
+    """Length of a window: a day where none is given, at most ``most`` hours if that is given."""
+    hours = hours if hours > 0 else 24
+    return hours if most is None else min(hours, most)
 
 
 def in_window(df: DataFrame, start: datetime, end: datetime, column: str = "create_time") -> DataFrame:

@@ -256,7 +256,8 @@ def alert_stream(
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{slice_path}/batch={batch_id}")
-        newest = spark.read.parquet(slice_path).agg(F.max("slice_start")).first()[0]
+        # slices come out in the order of the watermark, so the newest one is in this batch
+        newest = spark.read.parquet(f"{slice_path}/batch={batch_id}").agg(F.max("slice_start")).first()[0]
         if newest is not None:
             now = newest + timedelta(minutes=5)
             send(rolling_rates(spark.read.parquet(slice_path), now, hours, baseline_hours), now)
