@@ -14,19 +14,24 @@
    before differs from the neighbour's are letters compared, elsewhere the value is
    that of the previous suffix less one. A start repeats if it shares 400 bytes with
    a neighbour in the suffix array.
-4. A key whose contexts fill more than one shard is merged across its shards: starts
-   that met nobody are searched for in the suffix arrays of the others by bisection.
+4. A key whose contexts do not fit into a shard never meets in one task. Its strings
+   are told apart by where the key's gram stands in them: equal strings have it at the
+   same offset. Runs of up to 23 offsets that are equal in everything their strings
+   cover repeat as a whole; those that are alone with what all their strings have in
+   common are free of repetitions. Of all others one occurrence each is cut into its
+   strings, which are counted one by one. Equality is that of 128-bit digests, counted
+   in shuffles with partial sums; work and rows grow with the number of starts.
 5. The strings found are united per document and cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ GRAM = 32
 PIECE = 1 << 22
 MOST_STARTS = 1 << 16
 SHARD_BYTES = 4 << 20
+OFFSETS = 23
 NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -165,16 +171,6 @@ class Shard:
         self.order, left = order, np.repeat(self.begin[1:] - 1, sizes) - np.arange(len(symbols))
         self.starts = left >= length
 
-    def merge(self, other: Shard) -> None:
-        """Mark the starts of this shard that stand in the other one too."""
-        ranked = other.order[other.starts[other.order]].tolist()
-        size, theirs = self.length, other.text
-        for at in np.flatnonzero(self.starts & ~self.repeats).tolist():
-            string = self.text[at : at + size]
-            place = bisect_left(ranked, string, key=lambda p: theirs[p : p + size])
-            if place < len(ranked) and theirs[ranked[place] : ranked[place] + size] == string:
-                self.repeats[at] = True
-
     def found(self, i: int) -> Iterator[tuple[int, int]]:
         """First and last of each run of repeating starts of context i."""
         marks = np.concatenate(([False], self.repeats[self.begin[i] : self.begin[i + 1]], [False]))
@@ -183,48 +179,126 @@ class Shard:
 
 
 def _match(length: int, shard_bytes: int):
-    """Contexts of a partition, sorted by key, to runs of repeating starts per occurrence."""
-
-    def settle(packs: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        # packs of one key more often than not hold all its contexts; else they are merged
-        shards = [Shard([r["context"] for r in pack], length) for pack in packs]
-        for i, mine in enumerate(shards):
-            for j, other in enumerate(shards):
-                if i != j:
-                    mine.merge(other)
+    """Contexts of a partition, sorted by key and content, to runs of repeating starts; contexts of large keys as they are.
+
+    A context comes several times if rows share id and text; it is taken once.
+    """
+
+    def settle(pack: list[dict]) -> Iterator[pa.RecordBatch]:
+        shard = Shard([r["context"] for r in pack], length)
         out = [
             {"doc_id": r["doc_id"], "mark": r["mark"], "first": r["first"] + a, "last": r["first"] + b}
-            for pack, shard in zip(packs, shards, strict=True)
             for i, r in enumerate(pack)
             for a, b in shard.found(i)
         ]
-        yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
+        yield pa.RecordBatch.from_pylist(out, schema=_MATCHED)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: list[list[dict]] = [[]]
-        used, key, group, seen = 0, None, 0, set()
+        pack: list[dict] = []
+        used, key, before = 0, None, [None, None]
         for batch in batches:
-            for r in batch.to_pylist():
+            names = np.array([before, *zip(*(batch.column(c).to_pylist() for c in ("key", "content")), strict=True)], object)
+            batch, before = batch.filter(pa.array((names[1:] != names[:-1]).any(axis=1))), names[-1].tolist()
+            large = batch.filter(batch.column("large"))
+            if large.num_rows:
+                last = pc.subtract(pc.add(large.column("first"), large.column("n")), 1)
+                columns = [large.column("doc_id"), large.column("mark"), large.column("first"), last]
+                yield pa.RecordBatch.from_arrays([*columns, large.column("key"), large.column("context")], schema=_MATCHED)
+            for r in batch.filter(pc.invert(batch.column("large"))).to_pylist():
                 if r["key"] != key:
-                    if len(packs) > 1 or used >= shard_bytes // 2:
-                        yield from settle(packs)
-                        packs, used = [[]], 0
-                    key, seen = r["key"], set()
-                if r["content"] in seen:
-                    continue
-                seen.add(r["content"])
-                if used and used + len(r["context"]) > shard_bytes:
-                    packs.append([])
-                    used = 0
-                packs[-1].append(r)
+                    if used >= shard_bytes // 2:
+                        yield from settle(pack)
+                        pack, used = [], 0
+                    key = r["key"]
+                pack.append(r)
                 used += len(r["context"])
-        if packs[0]:
-            yield from settle(packs)
+        if pack:
+            yield from settle(pack)
 
     return task
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_RUNS = [("doc_id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]
+_MATCHED = pa.schema([*_RUNS, ("key", pa.int64()), ("context", pa.binary())])
+_PIECES = pa.schema([*_RUNS, ("context_first", pa.int64()), ("core", pa.binary()), ("hull", pa.binary())])
+_STRINGS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64()), ("string", pa.binary())])
+
+
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
+def pieces(context: bytes, key: int, n: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first start, last start, core, hull) of the pieces of a context with ``n`` starts.
+
+    A start belongs to the first place of the key's gram at or behind it; the starts of
+    a piece have neighbouring offsets to one such place. The hull is all that their
+    strings cover. The core is what all strings with the piece's offsets have in common,
+    also with those offsets that the context lacks.
+    """
+    grams, _ = start_keys(np.frombuffer(context, np.uint8), length, gram)
+    behind = 0
+    for place in np.flatnonzero(grams.view(np.int64) == key).tolist():
+        last = min(place, n - 1)
+        while last >= behind:
+            nearest = (place - last) // OFFSETS * OFFSETS
+            farthest = min(nearest + OFFSETS - 1, length - gram)
+            first = max(behind, place - farthest)
+            core = context[place - nearest : place - farthest + length]
+            yield first, last, _digest(core), _digest(context[first : last + length])
+            last = first - 1
+        behind = place + 1
+
+
+def _pieces(length: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"doc_id": r["doc_id"], "mark": r["mark"], "first": r["first"] + a, "last": r["first"] + b,
+                 "context_first": r["first"], "core": core, "hull": hull}
+                for r in batch.to_pylist()
+                for a, b, core, hull in pieces(r["context"], r["key"], r["last"] - r["first"] + 1, length)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_PIECES)
+
+    return task
+
+
+def _strings(length: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"doc_id": r["doc_id"], "mark": r["mark"], "first": r["context_first"] + at, "string": _digest(r["context"][at : at + length])}
+                for r in batch.to_pylist()
+                for run in r["open"]
+                for at in range(run["first"] - r["context_first"], run["last"] - r["context_first"] + 1)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_STRINGS)
+
+    return task
+
+
+def _runs_of_large_keys(large: DataFrame, length: int) -> DataFrame:
+    """Runs of repeating starts of contexts (doc_id, mark, first, last, key, context) that are no shard's."""
+    context = ["doc_id", "mark", "context_first"]
+    cut = stored(large.mapInArrow(
+        _pieces(length), "doc_id long, mark long, first long, last long, context_first long, core binary, hull binary"
+    ), "pieces")
+    hulls = stored(cut.groupBy("hull").agg(
+        F.count("*").alias("copies"), F.min(F.struct(*context, "first", "last")).alias("one"), F.first("core").alias("core")
+    ), "hulls")
+    whole = cut.join(hulls.where("copies > 1").select("hull"), "hull", "left_semi")
+    shared = hulls.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    asked = hulls.join(shared, "core", "left_semi").select("one.*").groupBy(context).agg(
+        F.collect_list(F.struct("first", "last")).alias("open")
+    )
+    text = large.select("doc_id", "mark", F.col("first").alias("context_first"), "context")
+    strings = stored(text.join(asked, context).mapInArrow(
+        _strings(length), "doc_id long, mark long, first long, string binary"
+    ), "strings")
+    several = strings.groupBy("string").agg(F.count("*").alias("copies")).where("copies > 1").select("string")
+    single = strings.join(several, "string", "left_semi").select("doc_id", "mark", "first", F.col("first").alias("last"))
+    return whole.select("doc_id", "mark", "first", "last").unionAll(single)
 
 
 def cut_runs(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
@@ -275,17 +349,27 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     )
     copied = contexts.where("copies > 1").select(content)
     whole = cut.join(copied, content, "left_semi").select("doc_id", "mark", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    alone = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.col("twice") & (F.col("copies") == 1)).alias("twice"))
-    several = alone.where("kinds > 1 or twice").select("key")
-    asked = contexts.join(several, "key", "left_semi").select(*content, "one.doc_id", "one.mark", "one.first", "one.n")
+    alone = contexts.groupBy("key").agg(
+        F.count("*").alias("kinds"), F.max(F.col("twice") & (F.col("copies") == 1)).alias("twice"),
+        (F.sum(F.col("one.n") + (length - 1)) > shard_bytes // 2).alias("large"),
+    )
+    several = alone.where("kinds > 1 or twice").select("key", "large")
+    asked = contexts.join(several, "key").select(*content, "large", "one.doc_id", "one.mark", "one.first", "one.n")
     text = rows.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
     with_text = asked.join(text, ["doc_id", "mark"]).select(
-        *content, "doc_id", "mark", "first",
+        *content, "doc_id", "mark", "first", "n", "large", F.when(F.col("large"), F.col("content")).otherwise(0).alias("salt"),
         F.expr(f"substring(text, cast(first + 1 as int), cast(n + {length - 1} as int))").alias("context"),
     )
-    dealt = with_text.repartition(parts, "key").sortWithinPartitions("key")
-    some = dealt.mapInArrow(_match(length, shard_bytes), "doc_id long, mark long, first long, last long")
-    return stored(whole.unionAll(some), "runs")
+    dealt = with_text.repartition(parts, "key", "salt").sortWithinPartitions(*content).drop("salt")
+    matched = stored(
+        dealt.mapInArrow(_match(length, shard_bytes), "doc_id long, mark long, first long, last long, key long, context binary"),
+        "matched",
+    )
+    runs = whole.unionAll(matched.where("context is null").select("doc_id", "mark", "first", "last"))
+    large = matched.where("context is not null")
+    if not large.isEmpty():
+        runs = runs.unionAll(_runs_of_large_keys(large, length))
+    return stored(runs, "runs")
 
 
 def remove_repeats(

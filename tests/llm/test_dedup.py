@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docflow.llm import exact_dedup, ngram_join, suffix_dedup
@@ -120,6 +121,42 @@ def test_repeated_strings_awkward(docs, rows):
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
 
 
+def test_passage_in_many_surroundings(spark):
+    """A few keys with one context per document, many times what a shard holds."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(75)
+    texts = [f"{noise(70)}{passage}{noise(70)}" for _ in range(300)] + [f"{noise(5)}{passage}" for _ in range(4)]
+    texts += [texts[0][20:], texts[1][:140], passage[:61]]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3])]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, shard_bytes=400).collect()
+    want = repeats_removed([t for _, t in rows], 60)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
+    assert got == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_contexts_of_a_large_key_leave_the_task(monkeypatch):
+    made = []
+    monkeypatch.setattr(suffix_dedup, "Shard", lambda contexts, length, shard=suffix_dedup.Shard: made.append(1) or shard(contexts, length))
+    rng = random.Random(2)
+    rows = [
+        {"key": 7, "content": i, "doc_id": i, "mark": 0, "first": 0, "n": 41, "large": True, "context": prose(rng, 40).encode()[:100]}
+        for i in range(50)
+    ]
+    out = list(suffix_dedup._match(60, 400)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert made == []
+    assert [c for b in out for c in b.column("context").to_pylist()] == [r["context"] for r in rows]
+
+
+def test_pieces_cover_every_start_once():
+    rng = random.Random(3)
+    for text in (prose(rng, 60), "ab" * 200, "z" * 90, prose(rng, 8) * 6):
+        data = text.encode()
+        for key, first, n, _ in suffix_dedup.segments(np.frombuffer(data, np.uint8), 60):
+            found = sorted((a, b) for a, b, *_ in suffix_dedup.pieces(data[first : first + n + 59], key, n, 60))
+            assert [s for a, b in found for s in range(a, b + 1)] == list(range(n))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     for letters in (1, 2, 4):
