@@ -25,21 +25,31 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-# Wording of public licences and notices, and the label of each.
+# Wording of public licences and notices, the label of each, and the words that tell it from others.
 TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("mit", "Released under the MIT License"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl", "This work is licensed under the GNU General Public License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", ""),
+    ("mit", "Released under the MIT License", "MIT License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU General Public License"),
+    ("gpl", "This work is licensed under the GNU General Public License", "GNU General Public License"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution"),
+    ("cc-by", "Licensed under CC BY 4.0", "CC BY"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Attribution-NonCommercial"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "CC BY-NC"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Attribution-ShareAlike"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", "CC BY-SA"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Attribution-NoDerivatives"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0", "CC BY-ND"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Attribution-NonCommercial-ShareAlike"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0", "CC BY-NC-SA"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Attribution-NonCommercial-NoDerivatives"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0", "CC BY-NC-ND"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law", ""),
 ]
+# Behind its name these words make it the name of another licence.
+VARIANTS = frozenset(b"noncommercial non nc sharealike share sa noderivatives noderivs no nd".split())
 LONG_MATCH = 4
 LARGEST_GAP = 8
 COVERED = 0.6
@@ -147,30 +157,44 @@ class Scan:
     spans: list[tuple[int, int, int]]
 
 
-def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[float, int, int]:
+def named(words: list[bytes], first: int, last: int, name: list[bytes]) -> bool:
+    """Whether the words from ``first`` to ``last`` hold the name, and not as the beginning of a variant's."""
+    size = len(name)
+    return not size or any(
+        words[at : at + size] == name and not VARIANTS.intersection(words[at + size : at + size + 1])
+        for at in range(first, last - size + 2)
+    )
+
+
+def chain(matches: list[tuple[int, int, int, bool]], size: int, gap: int) -> tuple[float, int, int]:
     """Best share of a template of ``size`` words that a chain covers, and the chain's span in the text.
 
-    Matches are (last word in the text, last word in the template, length), in the
-    order of the text. A match goes on from its predecessor if it lies behind it in
-    the template and at most ``gap`` words further on in the text; words that both
-    cover count once.
+    Matches are (last word in the text, last word in the template, length, whether the
+    template's name is in it), in the order of the text. A match goes on from its
+    predecessor if it lies behind it in the template and at most ``gap`` words further
+    on in the text; words that both cover count once. A chain without the name does
+    not count: words that are skipped between matches are never those of the name.
     """
     best, begin, end = 0, 0, -1
     covered = start = 0
     text_end = template_end = None
-    for last, at, length in matches:
+    known = False
+    for last, at, length, has_name in matches:
         first = last - length + 1
         if text_end is not None and at > template_end and first - text_end <= gap + 1:
             covered += min(length, at - template_end)
+            known |= has_name
         else:
-            covered, start = length, first
+            covered, start, known = length, first, has_name
         text_end, template_end = last, at
-        if covered > best:
+        if known and covered > best:
             best, begin, end = covered, start, last
     return best / size, begin, end
 
 
-def scan(text: bytes, automaton: Automaton, sizes: list[int], long_match: int = LONG_MATCH, gap: int = LARGEST_GAP) -> Scan:
+def scan(
+    text: bytes, automaton: Automaton, sizes: list[int], names: list[list[bytes]], long_match: int = LONG_MATCH, gap: int = LARGEST_GAP
+) -> Scan:
     """Stream a text through the automaton."""
     words = words_of(text)
     known = np.fromiter(map(automaton.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
@@ -180,7 +204,7 @@ def scan(text: bytes, automaton: Automaton, sizes: list[int], long_match: int =
     ends = inside[np.append(cuts - 1, len(inside) - 1)] if len(inside) else inside
     wide = ends > begins  # every phrase has two words or more
     places: list[tuple[int, int]] = []
-    matches: dict[int, list[tuple[int, int, int]]] = {}
+    matches: dict[int, list[tuple[int, int, int, bool]]] = {}
     to, link, lengths = automaton.to, automaton.link, automaton.length
     for begin, end in zip(begins[wide].tolist(), ends[wide].tolist(), strict=True):
         run = known[begin : end + 1].tolist()
@@ -197,7 +221,8 @@ def scan(text: bytes, automaton: Automaton, sizes: list[int], long_match: int =
             # a match is longest where the next word does not prolong it
             if size >= long_match and (i + 1 == len(run) or run[i + 1] not in to[state]):
                 for template, position in automaton.ends[state].items():
-                    matches.setdefault(template, []).append((begin + i, position, size))
+                    has_name = named(words, begin + i - size + 1, begin + i, names[template])
+                    matches.setdefault(template, []).append((begin + i, position, size, has_name))
     covered, spans = {}, []
     for template, found in matches.items():
         share, first, last = chain(found, sizes[template], gap)
@@ -206,14 +231,14 @@ def scan(text: bytes, automaton: Automaton, sizes: list[int], long_match: int =
     return Scan(len(words), places, covered, spans)
 
 
-def _scan_all(shared, labels: list[str], sizes: list[int], phrase_labels: list[str], least: float):
+def _scan_all(shared, labels: list[str], sizes: list[int], names: list[list[bytes]], phrase_labels: list[str], least: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             data, offsets = raw_bytes(batch.column("text"))
             raw, rows = data.tobytes(), []
             for i in range(batch.num_rows):
-                found = scan(raw[offsets[i] : offsets[i + 1]], automaton, sizes)
+                found = scan(raw[offsets[i] : offsets[i + 1]], automaton, sizes, names)
                 starts = [start for start, _ in found.places]
                 base = {phrase_labels[p] for _, p in found.places}
                 met = [(t, a, b) for t, a, b in found.spans if found.covered[t] >= least]
@@ -239,20 +264,21 @@ _FOUND = pa.schema([
 
 def license_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, least: float = COVERED,
+    templates: list[tuple[str, str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, least: float = COVERED,
 ) -> DataFrame:
     """Per row: n_words, phrase places, labels, score and the covered template spans.
 
-    A template counts if a chain covers ``least`` of its words. ``score`` is 1 where
-    a phrase stands, else the best covered share of any template. Null and empty
+    A template (label, wording, name) counts if a chain covers ``least`` of its words
+    and its name, which no word of VARIANTS may follow; an empty name asks for none.
+    ``score`` is 1 where a phrase stands, else the best share so covered of any template. Null and empty
     texts have no words, empty labels, null places and score 0. Repeated rows are
     scanned each for itself; other columns are not read; an empty table gives no
     rows. The text stays where it lies: no shuffle.
     """
-    words = [words_of(text.encode()) for _, text in templates]
+    words, names = ([words_of(t[i].encode()) for t in templates] for i in (1, 2))
     automaton = build(words, [words_of(p.encode()) for p in phrases])
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    task = _scan_all(shared, [label for label, _ in templates], [len(w) for w in words], list(phrases.values()), least)
+    task = _scan_all(shared, [t[0] for t in templates], [len(w) for w in words], names, list(phrases.values()), least)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
         task,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "

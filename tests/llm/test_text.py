@@ -147,6 +147,29 @@ def test_license_labels(spark):
     assert got[6].labels == "" and got[6].score < 0.2
 
 
+def test_license_names(spark):
+    """Notices that differ from other licences' in a word or two."""
+    cc = "This work is licensed under a Creative Commons Attribution"
+    want = {
+        "This work is licensed under the MIT License": "mit",
+        "This work is licensed under the Apache License, Version 2.0": "apache-2.0",
+        "This work is licensed under the Apache License, Version 1.1": "",
+        "This work is licensed under the Mozilla Public License": "",
+        f"{cc} 4.0 International License": "cc-by",
+        f"{cc} 3.0 Unported License": "cc-by",
+        f"{cc}-NonCommercial 4.0 International License": "cc-by-nc",
+        f"{cc}-ShareAlike 4.0 International License": "cc-by-sa",
+        f"{cc}-ShareAlike 3.0 Unported License": "cc-by-sa",
+        f"{cc}-NoDerivatives 4.0 International License": "cc-by-nd",
+        f"{cc}-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        f"{cc}-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd",
+        "Released under the MIT License": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score >= 0.6) for r in licenses.license_spans(docs).collect()}
+    assert [got[i] for i in range(len(want))] == [(labels, labels != "") for labels in want.values()]
+
+
 def _repeated(words):
     windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     marked = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
