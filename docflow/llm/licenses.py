@@ -3,8 +3,9 @@
 The automaton of all templates is built once and broadcast (its size is bounded by
 the templates: fewer than two states per word). A text streams through it word by
 word; the state and length after each word are its matching statistics, the longest
-suffix that occurs in some template. Ends of long matches are chained per template
-in the order of the text; the words a chain covers are the template's covered span.
+suffix that occurs in some template. The states behind its suffix links give the
+same for each template by itself. Ends of long matches are chained per template in
+the order of the text; the words a chain covers are a covered span of the template.
 """
 
 from __future__ import annotations
@@ -77,6 +78,8 @@ class Automaton:
     length: list[int] = field(default_factory=lambda: [0])
     # per state: template -> last position (in the template) of the first occurrence of its matches
     ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    # per state: template -> its longest suffix of the state's matches (0: the whole match) and where that first ends
+    longest: list[dict[int, tuple[int, int]]] = field(default_factory=list)
     phrases: list[tuple] = field(default_factory=list)
 
     def _state(self, length: int, to: dict, link: int, ends: dict) -> int:
@@ -136,6 +139,11 @@ def build(templates: list[list[bytes]], phrases: list[list[bytes]]) -> Automaton
         shorter = made.ends[made.link[state]]
         for number, position in made.ends[state].items():
             shorter[number] = min(position, shorter.get(number, position))
+    made.longest = [{} for _ in made.length]
+    for state in sorted(range(1, len(made.length)), key=made.length.__getitem__):
+        s = made.link[state]
+        shorter = {t: (size or made.length[s], position) for t, (size, position) in made.longest[s].items()}
+        made.longest[state] = shorter | {t: (0, position) for t, position in made.ends[state].items()}
     of_state = {made.walk(words): (i, len(words)) for i, words in enumerate(phrases)}
     for state in range(len(made.length)):
         found, s = [], state
@@ -149,12 +157,11 @@ def build(templates: list[list[bytes]], phrases: list[list[bytes]]) -> Automaton
 
 @dataclass
 class Scan:
-    """What was found in one text: phrase places (start, phrase) and per template its covered spans."""
+    """What was found in one text: phrase places (start, phrase) and spans (template, first, last, covered share)."""
 
     n_words: int
     places: list[tuple[int, int]]
-    covered: dict[int, float]
-    spans: list[tuple[int, int, int]]
+    spans: list[tuple[int, int, int, float]]
 
 
 def named(words: list[bytes], first: int, last: int, name: list[bytes]) -> bool:
@@ -166,30 +173,30 @@ def named(words: list[bytes], first: int, last: int, name: list[bytes]) -> bool:
     )
 
 
-def chain(matches: list[tuple[int, int, int, bool]], size: int, gap: int) -> tuple[float, int, int]:
-    """Best share of a template of ``size`` words that a chain covers, and the chain's span in the text.
+def chains(matches: list[tuple[int, int, int, bool]], size: int, gap: int) -> Iterator[tuple[float, int, int]]:
+    """Share of a template of ``size`` words that each chain covers, and the chain's span in the text.
 
     Matches are (last word in the text, last word in the template, length, whether the
     template's name is in it), in the order of the text. A match goes on from its
-    predecessor if it lies behind it in the template and at most ``gap`` words further
-    on in the text; words that both cover count once. A chain without the name does
-    not count: words that are skipped between matches are never those of the name.
+    predecessor if it lies behind it in the template, does not hold all that the chain
+    has (it then begins the notice anew) and is at most ``gap`` words further on in the
+    text; words that both cover count once. A chain without the name does not count:
+    words that are skipped between matches are never those of the name.
     """
-    best, begin, end = 0, 0, -1
-    covered = start = 0
-    text_end = template_end = None
+    covered = start = text_end = template_start = template_end = 0
     known = False
     for last, at, length, has_name in matches:
-        first = last - length + 1
-        if text_end is not None and at > template_end and first - text_end <= gap + 1:
+        first, begins = last - length + 1, at - length + 1
+        if covered and at > template_end and begins > template_start and first - text_end <= gap + 1:
             covered += min(length, at - template_end)
             known |= has_name
         else:
-            covered, start, known = length, first, has_name
+            if known:
+                yield covered / size, start, text_end
+            covered, start, template_start, known = length, first, begins, has_name
         text_end, template_end = last, at
-        if known and covered > best:
-            best, begin, end = covered, start, last
-    return best / size, begin, end
+    if known:
+        yield covered / size, start, text_end
 
 
 def scan(
@@ -209,7 +216,8 @@ def scan(
     for begin, end in zip(begins[wide].tolist(), ends[wide].tolist(), strict=True):
         run = known[begin : end + 1].tolist()
         state = size = 0
-        for i, word in enumerate(run):
+        for i, word in enumerate([*run, None]):
+            before, before_size = state, size
             while state and word not in to[state]:
                 state = link[state]
                 size = lengths[state]
@@ -218,17 +226,21 @@ def scan(
             for phrase, width in automaton.phrases[state]:
                 if size >= width:
                     places.append((begin + i - width + 1, phrase))
-            # a match is longest where the next word does not prolong it
-            if size >= long_match and (i + 1 == len(run) or run[i + 1] not in to[state]):
-                for template, position in automaton.ends[state].items():
-                    has_name = named(words, begin + i - size + 1, begin + i, names[template])
-                    matches.setdefault(template, []).append((begin + i, position, size, has_name))
-    covered, spans = {}, []
-    for template, found in matches.items():
-        share, first, last = chain(found, sizes[template], gap)
-        covered[template] = share
-        spans.append((template, first, last))
-    return Scan(len(words), places, covered, spans)
+            if before_size < long_match:
+                continue
+            # a template's match is longest where the next word does not prolong it
+            for template, (part, position) in automaton.longest[before].items():
+                width, last = part or before_size, begin + i - 1
+                after = automaton.longest[state].get(template) if state else None
+                if width >= long_match and (after is None or (after[0] or size) != width + 1):
+                    has_name = named(words, last - width + 1, last, names[template])
+                    matches.setdefault(template, []).append((last, position, width, has_name))
+    spans = [
+        (template, first, last, share)
+        for template, found in matches.items()
+        for share, first, last in chains(found, sizes[template], gap)
+    ]
+    return Scan(len(words), places, spans)
 
 
 def _scan_all(shared, labels: list[str], sizes: list[int], names: list[list[bytes]], phrase_labels: list[str], least: float):
@@ -241,13 +253,13 @@ def _scan_all(shared, labels: list[str], sizes: list[int], names: list[list[byte
                 found = scan(raw[offsets[i] : offsets[i + 1]], automaton, sizes, names)
                 starts = [start for start, _ in found.places]
                 base = {phrase_labels[p] for _, p in found.places}
-                met = [(t, a, b) for t, a, b in found.spans if found.covered[t] >= least]
+                met = [span for span in found.spans if span[3] >= least]
                 rows.append({
                     "n_words": found.n_words, "n_base": len(starts), "first_word": min(starts, default=None),
                     "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)),
-                    "labels": ",".join(sorted(base | {labels[t] for t, _, _ in met})),
-                    "score": 1.0 if base else max(found.covered.values(), default=0.0),
-                    "spans": [{"label": labels[t], "first": a, "last": b, "covered": found.covered[t]} for t, a, b in met],
+                    "labels": ",".join(sorted(base | {labels[t] for t, *_ in met})),
+                    "score": 1.0 if base else max((share for *_, share in found.spans), default=0.0),
+                    "spans": [{"label": labels[t], "first": a, "last": b, "covered": share} for t, a, b, share in met],
                 })
             out = pa.RecordBatch.from_pylist(rows, schema=_FOUND)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], names=["doc_id", *out.schema.names])
@@ -270,7 +282,8 @@ def license_spans(
 
     A template (label, wording, name) counts if a chain covers ``least`` of its words
     and its name, which no word of VARIANTS may follow; an empty name asks for none.
-    ``score`` is 1 where a phrase stands, else the best share so covered of any template. Null and empty
+    ``score`` is 1 where a phrase stands, else the best share so covered of any template.
+    ``spans`` lists every such chain, also several of one template. Null and empty
     texts have no words, empty labels, null places and score 0. Repeated rows are
     scanned each for itself; other columns are not read; an empty table gives no
     rows. The text stays where it lies: no shuffle.

@@ -170,6 +170,67 @@ def test_license_names(spark):
     assert [got[i] for i in range(len(want))] == [(labels, labels != "") for labels in want.values()]
 
 
+def _plain_spans(words, template, name, long_match=4, gap=8):
+    """Spans of a template by comparing all pairs of words."""
+    n, m = len(words), len(template)
+    tail = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            tail[i + 1][j + 1] = tail[i][j] + 1 if words[i] == template[j] else 0
+    best = [max(row) for row in tail] + [0]
+    out, open_ = [], []
+    for i in range(1, n + 1):
+        size = best[i]
+        if size < long_match or best[i + 1] == size + 1:
+            continue
+        at = tail[i].index(size) - 1
+        if open_ and at > open_[-1][1] and at - size + 1 > open_[0][1] - open_[0][2] + 1 and i - size - open_[-1][0] <= gap + 1:
+            open_.append((i - 1, at, size))
+        else:
+            out.append(open_)
+            open_ = [(i - 1, at, size)]
+    spans = []
+    for parts in filter(None, [*out, open_]):
+        inside = any(
+            words[p : p + len(name)] == name and words[p + len(name) : p + len(name) + 1] not in [[v] for v in licenses.VARIANTS]
+            for last, _, size in parts for p in range(last - size + 1, last - len(name) + 2)
+        )
+        if inside or not name:
+            held = {j for _, at, size in parts for j in range(at - size + 1, at + 1) if j > parts[0][1] or at == parts[0][1]}
+            spans.append((parts[0][0] - parts[0][2] + 1, parts[-1][0], len(held) / m))
+    return spans
+
+
+def test_license_spans_match_plain_search(spark):
+    """Texts with several whole, cut and altered notices between other words."""
+    rng = random.Random(12)
+    templates = [[licenses.words_of(part.encode()) for part in t[1:]] for t in licenses.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 7)):
+            notice = list(rng.choice(templates)[0])
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                notice[rng.randrange(len(notice))] = rng.choice([b"the", b"other", b"license", b"noncommercial"])
+            words += notice[: rng.choice([len(notice), len(notice), 7])] + [b"word"] * rng.choice([0, 2, 30])
+        texts.append(b" ".join(words).decode())
+    mit = licenses.TEMPLATES[0][1]
+    texts.append(f"{mit} first file {mit}\n{mit}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_spans(docs).collect()}
+    for i, text in enumerate(texts):
+        words = licenses.words_of(text.encode())
+        spans = [(t[0], *s) for t, (w, name) in zip(licenses.TEMPLATES, templates, strict=True) for s in _plain_spans(words, w, name)]
+        want = sorted(s for s in spans if s[3] >= 0.6)
+        assert sorted((s.label, s.first, s.last, s.covered) for s in got[i].spans) == want
+        phrases = {p.encode(): label for p, label in licenses.PHRASES.items()}
+        places = [(a, p) for a in range(len(words)) for p in phrases if words[a : a + len(p.split())] == p.split()]
+        assert got[i].n_base == len(places) and got[i].first_word == min((a for a, _ in places), default=None)
+        assert got[i].labels == ",".join(sorted({phrases[p] for _, p in places} | {s[0] for s in want}))
+        assert got[i].score == (1.0 if places else max((s[3] for s in spans), default=0.0))
+    assert [s.label for s in got[60].spans] == ["mit"] * 3
+
+
 def _repeated(words):
     windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     marked = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
