@@ -36,6 +36,7 @@ LEAST_WORDS = 20
 REPEATED_PERCENT = 30
 JUDGED_WORDS = 50
 FARTHEST = 0.25
+MOST_LANGUAGES = 256
 EDGE = "\x01"
 
 
@@ -103,10 +104,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     )
 
 
-def references(measured: DataFrame, languages: list[str]) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms per language; one row per given language comes to the driver."""
+def references(measured: DataFrame, languages: list[str] | None) -> dict[str, tuple[list[int], list[int]]]:
+    """Summed histograms of the given languages, else of every language; a row for each comes to the driver."""
     sums = [F.sum(F.col(c)[i]) for c, n in (("chars", len(CLASSES)), ("seen", len(COMMON_WORDS) + 1)) for i in range(n)]
-    rows = measured.where(F.col("lang").isin(languages)).groupBy("lang").agg(F.array(*sums).alias("sums")).collect()
+    asked = F.col("lang").isNotNull() if languages is None else F.col("lang").isin(languages)
+    rows = measured.where(asked).groupBy("lang").agg(F.array(*sums).alias("sums")).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {r["lang"]: (r["sums"][: len(CLASSES)], r["sums"][len(CLASSES) :]) for r in rows}
 
 
@@ -124,6 +128,17 @@ def js_distance(counts: Column, total: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), parts / 2))
 
 
+def own_distance(counts: Column, total: Column, shares: Column) -> Column:
+    """``js_distance`` to a reference that is a column of shares; null where there is none."""
+    def part(n: Column, q: Column) -> Column:
+        p = n / total
+        m = (p + q) / 2
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / m)).otherwise(F.lit(0.0))
+
+    parts = F.aggregate(F.zip_with(counts, shares, part), F.lit(0.0), lambda a, x: a + x)
+    return F.when(shares.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), parts / 2)))
+
+
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     languages: list[str] | None = None, judged_words: int = JUDGED_WORDS, farthest: float = FARTHEST,
@@ -131,20 +146,31 @@ def judge(
     """Per row: the counts, base_failed, divergence (null where not judged) and kept.
 
     Null text counts as empty: all counts are 0 and the base rule fails. Texts under
-    ``judged_words`` words are not judged, nor is any text if no document has one of
-    ``languages``. Repeated rows are judged each for itself; they all count for the
+    ``judged_words`` words are not judged. The others are judged against the nearest
+    reference of ``languages``, by default those of COMMON, and by default also against
+    that of their own language, whichever it is; with ``languages``, a text labelled
+    with another language is not judged, nor is any text that meets no reference. More
+    than MOST_LANGUAGES languages are an error. Repeated rows are judged each for itself; they all count for the
     references. Columns other than the three named are not read. An empty table
     gives no rows.
     """
     measured = stored(features(docs, id_col, text_col, lang_col), "features")
-    known = references(measured, languages or sorted(COMMON))
+    known = references(measured, languages or None)
+    further = {} if languages else {x: known.pop(x) for x in sorted(known) if x not in COMMON}
     n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     near = [
         (js_distance(F.col("chars"), F.col("n_chars"), chars) + js_distance(F.col("seen"), F.col("n_words"), seen)) / 2
         for _, (chars, seen) in sorted(known.items())
     ]
+    if further:
+        shares = lambda i: F.create_map(*(
+            x for lang, sums in further.items() for x in (F.lit(lang), F.array(*(F.lit(n / max(sum(sums[i]), 1)) for n in sums[i])))
+        ))[F.col("lang")]
+        near.append((own_distance(F.col("chars"), F.col("n_chars"), shares(0)) + own_distance(F.col("seen"), F.col("n_words"), shares(1))) / 2)
     nearest = F.least(*near) if len(near) > 1 else near[0] if near else F.lit(None).cast("double")
+    if languages:
+        nearest = F.when(F.col("lang").isNull() | F.col("lang").isin(languages), nearest)
     far = F.when((F.col("n_words") >= judged_words) & (F.col("n_words") > 0), F.round(nearest, 6))
     out = measured.withColumn("n_chars", n_chars).withColumn("base_failed", failed).withColumn("divergence", far)
     return out.select(

@@ -259,6 +259,23 @@ def test_junk_is_far_from_prose(spark, sf):
     assert got.where("quality = 1 and not kept").count() == 0
 
 
+def test_every_language_has_its_reference(spark):
+    """Clean texts of a fifth language stay, also beside common ones; junk goes in all of them."""
+    rng = random.Random(7)
+    english = lambda: " ".join(rng.choice("the of and to in is was that it for tree river stone cloud amber quiet".split()) + rng.choice("aeiou") * rng.randrange(2) for _ in range(120))
+    kana = lambda: " ".join("".join(rng.choice("あいうえおかきくけこさしすせそ日本語") for _ in range(rng.randrange(1, 6))) for _ in range(120))
+    junk = lambda: " ".join("".join(rng.choice("#*$%&|<>0123456789") for _ in range(rng.randrange(1, 6))) for _ in range(120))
+    texts = [("en", english()) for _ in range(40)] + [("ja", kana()) for _ in range(40)] + [(x, junk()) for x in ("en", "ja", None)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert [got[i].kept for i in range(80)] == [True] * 80
+    assert [got[i].kept for i in range(80, 83)] == [False] * 3
+    given = {r.doc_id: r for r in quality.judge(docs, languages=["en"]).collect()}
+    assert all(given[i].divergence is None and given[i].kept for i in range(40, 80))
+    assert not given[80].kept and given[0].divergence == got[0].divergence
+
+
 def test_mixture(docs, rows):
     got = mixing.mix(docs).collect()
     sizes = collections.Counter()
