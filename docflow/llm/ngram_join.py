@@ -306,6 +306,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = (label != r["label"]) & (100 * n >= PERCENT * r["n"]) & (100 * r["n"] >= PERCENT * n)
             at = np.flatnonzero(fits)
             most = np.minimum(profiles[at], counts).sum(axis=1, dtype=np.int64)
+            if counts[0] == UNLIMITED:  # two unlimited profiles bound nothing but the sizes
+                most = np.where(profiles[at, 0] == UNLIMITED, np.minimum(n[at], r["n"]), most)
             near = at[100 * most >= PERCENT * (n[at] + r["n"] - most)]
             a.extend(np.minimum(node[near], r["node"]).tolist())
             b.extend(np.maximum(node[near], r["node"]).tolist())

@@ -100,6 +100,18 @@ def test_blocks_of_far_nodes(spark, monkeypatch):
     assert [got[i] for i in range(60)] == components(texts)
 
 
+def test_unlimited_profiles_do_not_bound_the_overlap():
+    huge, small = np.full(128, ngram_join.UNLIMITED, "<u2"), np.full(128, 60_000, "<u2")
+    row = lambda node, n, far, counts: {
+        "hub": 1, "block": 0, "node": node, "n": n, "label": node, "far": far, "profile": counts.tobytes()
+    }
+    held = [row(1, 10**7, False, huge), row(2, 7 * 10**6, False, huge), row(3, 128 * 60_000, False, small)]
+    batch = pa.RecordBatch.from_pylist([*held, row(4, 10**7, True, huge)])
+    (out,) = ngram_join._compare(iter([batch]))
+    # the second is too short; the third may share all it has
+    assert out.to_pylist() == [{"a": 1, "b": 4}, {"a": 3, "b": 4}]
+
+
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 700])
 def test_repeated_strings(spark, shard_bytes):
     rng = random.Random(4)
