@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm import bpe, chat, exact_dedup, langid, licenses, mixing, ngram_join, quality, suffix_dedup, url_lists
+from docflow.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, quality, suffix_dedup, url_lists
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -208,6 +208,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS key FROM lines),
+judged AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM keyed),
+words AS (SELECT doc_id, pos // 64 AS word, 18446744073709551615::HUGEINT - sum(1::HUGEINT << (pos % 64)) AS keep
+  FROM judged WHERE gone GROUP BY ALL),
+maps AS (SELECT doc_id, string_agg(concat(word, ':', lpad(lower(hex(keep::UBIGINT)), 16, '0')), ',' ORDER BY word) AS keep_words
+  FROM words GROUP BY doc_id),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id)
+SELECT kept.*, coalesce(keep_words, '') AS keep_words FROM kept LEFT JOIN maps USING (doc_id)"""
+
+
 ENTRIES = {
     "op1_tool_calls": (op1_tool_calls, OP1_SQL),
     "op2_dated_url_lists": (op2_dated_url_lists, OP2_SQL),
@@ -219,4 +237,5 @@ ENTRIES = {
     "op8_suffix_automaton_licenses": (op8_suffix_automaton_licenses, None),
     "op9_min_cost_mix": (op9_min_cost_mix, OP9_SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
+    "op12_line_bitmaps": (op12_line_bitmaps, OP12_SQL),
 }
