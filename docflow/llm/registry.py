@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, quality, suffix_dedup, url_lists
+from docflow.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, manifest, mixing, ngram_join, quality, suffix_dedup, url_lists
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -226,6 +226,60 @@ kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_d
 SELECT kept.*, coalesce(keep_words, '') AS keep_words FROM kept LEFT JOIN maps USING (doc_id)"""
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("proof")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen({0}::VARCHAR), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(map(_FIELD.format, ("doc_id", "source", "lang", "{n}", "text"))) + "))"
+# The CRC of a decimal number, bit by bit: there is no such function.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda x, _: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+OP13_SQL = (
+    "WITH RECURSIVE hashed AS (SELECT doc_id, lang, " + _LEAF.format(n="n_chars") + " AS leaf, CASE WHEN " + _CRC
+    + " % 7 = 0 AND n_chars IS NOT NULL THEN " + _LEAF.format(n="(n_chars + 1)") + """ END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+up AS (
+  SELECT lang, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM up WHERE n > 1
+  GROUP BY lang, level, n, idx // 2),
+subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+over_all AS (
+  SELECT 0 AS level, idx, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM over_all WHERE n > 1
+  GROUP BY level, n, idx // 2),
+below AS (SELECT DISTINCT lang, level FROM up WHERE n > 1),
+above AS (SELECT DISTINCT level FROM over_all WHERE n > 1),
+steps AS (
+  SELECT l.lang, l.idx, b.level, (l.idx >> b.level) & 1 AS side, u.digest AS sibling
+  FROM leaves l JOIN below b ON b.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.level = b.level AND u.idx = xor(l.idx >> b.level, 1)
+  UNION ALL
+  SELECT l.lang, l.idx, 1000 + a.level, (s.idx >> a.level) & 1, o.digest
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN above a ON true
+  LEFT JOIN over_all o ON o.level = a.level AND o.idx = xor(s.idx >> a.level, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, idx ORDER BY level) AS step FROM steps),
+folded AS (
+  SELECT lang, idx, 0::BIGINT AS step, coalesce(other, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.lang, f.idx, s.step, sha256(CASE WHEN sibling IS NULL THEN digest WHEN side = 1 THEN concat(sibling, digest)
+    ELSE concat(digest, sibling) END)
+  FROM folded f JOIN numbered s ON s.lang IS NOT DISTINCT FROM f.lang AND s.idx = f.idx AND s.step = f.step + 1),
+ends AS (SELECT lang, idx, arg_max(digest, step) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT lang, idx, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM numbered GROUP BY ALL)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+  e.folded_root = r.digest AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT digest FROM over_all WHERE n = 1) r ON true
+JOIN ends e ON e.lang IS NOT DISTINCT FROM l.lang AND e.idx = l.idx
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.idx = l.idx"""
+)
+
+
 ENTRIES = {
     "op1_tool_calls": (op1_tool_calls, OP1_SQL),
     "op2_dated_url_lists": (op2_dated_url_lists, OP2_SQL),
@@ -238,4 +292,5 @@ ENTRIES = {
     "op9_min_cost_mix": (op9_min_cost_mix, OP9_SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
     "op12_line_bitmaps": (op12_line_bitmaps, OP12_SQL),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
