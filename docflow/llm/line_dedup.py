@@ -122,9 +122,13 @@ def bitmap_text(words: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, text (null as empty) and words of every row; Spark broadcasts the bitmaps if they are small."""
+    """doc, text (null as empty) and words of every row.
+
+    A sort-merge join at every size: the bitmaps grow with the documents, so a plan
+    that broadcasts them while they are few says nothing about the plan at scale.
+    """
     own = docs.select(*_identity(docs, id_col, text_col), text_or_empty(text_col).alias("text")).alias("d")
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "words")
+    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "words").hint("merge")
     met = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
     return own.join(maps, met, "left").select("doc", "text", "words")
 
@@ -156,7 +160,7 @@ def drop_repeated_lines(
     bitmaps = line_bitmaps(docs, id_col, text_col, least)
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.select(*_identity(docs, id_col, text_col), *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "words")
+    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "words").hint("merge")
     met = own.join(maps, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
     shown = {n: F.col(n) for n in names}
     at = names[docs.columns.index(text_col)]
