@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, manifest, mixing, ngram_join, quality, suffix_dedup, url_lists
+from docflow.llm import alignment, bpe, chat, exact_dedup, langid, licenses, line_dedup, manifest, mixing, ngram_join, quality, suffix_dedup, url_lists
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -208,6 +208,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), a, b)
+
+
 def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -291,6 +296,7 @@ ENTRIES = {
     "op8_suffix_automaton_licenses": (op8_suffix_automaton_licenses, None),
     "op9_min_cost_mix": (op9_min_cost_mix, OP9_SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
+    "op11_pair_alignment": (op11_pair_alignment, None),
     "op12_line_bitmaps": (op12_line_bitmaps, OP12_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
