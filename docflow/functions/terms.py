@@ -77,9 +77,14 @@ def shortest_prefixes(terms: Column) -> Column:
     )
 
 
+def words_of(content: Column) -> Column:
+    """Lower-cased runs of letters and digits, in order; the first and last may be empty."""
+    return F.split(F.lower(content), r"[^\p{L}\p{Nd}]+")
+
+
 def tokens(content: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{Nd}]+"), lambda t: F.length(t) > 0)
+    return F.filter(words_of(content), lambda t: F.length(t) > 0)
 
 
 def counted(words: Column) -> Column:

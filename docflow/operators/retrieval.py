@@ -4,224 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.functions.terms import (
-    counted,
-    lexical_score,
-    rerank_terms,
-    search_terms,
-    shortest_prefixes,
-    tokens,
-)
+from docflow.functions.terms import lexical_score, rerank_terms
 from docflow.functions.text import has_text, strip_edges
-from docflow.session import at_most, broadcast_if_small
-
-QUERY_BLOCK = 4096  # queries scored together; also the bound for the broadcast path
-VECTOR_BLOCK = 100_000  # vectors per cell of the grid path
-SCORE_DIGITS = 12  # copies of a vector tie exactly, whatever batch they came in
-
-
-def _matrix(column: pa.Array, dim: int | None) -> np.ndarray:
-    """List column as a unit-length double matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.diff(column.offsets.to_numpy())
-    if len(sizes) and (sizes != (dim or sizes[0])).any():
-        raise ValueError("vectors must have the same length")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(sizes), -1) if len(sizes) else np.zeros((0, dim or 0))
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    out = column.to_numpy(zero_copy_only=False)
-    return out.astype(str) if out.dtype == object else out
-
-
-class _TopK:
-    """Running best ``k`` per query over blocks of vectors; ties go to the smaller id."""
-
-    def __init__(self, q_ids: np.ndarray, q_mat: np.ndarray, q_part: np.ndarray | None, k: int):
-        self.q_ids, self.q_mat, self.q_part, self.k = q_ids, q_mat, q_part, k
-        self.scores: list[np.ndarray] = [np.zeros(0) for _ in q_ids]
-        self.found: list[np.ndarray | None] = [None for _ in q_ids]
-        self.floor = np.full(len(q_ids), -np.inf)
-
-    def add(self, ids: np.ndarray, mat: np.ndarray, part: np.ndarray | None) -> None:
-        step = max(1, 4_000_000 // max(1, len(self.q_ids)))
-        for at in range(0, len(ids), step):
-            block = np.round(self.q_mat @ mat[at : at + step].T, SCORE_DIGITS)
-            if part is not None:
-                block[self.q_part[:, None] != part[None, at : at + step]] = -np.inf
-            for q in np.nonzero(block.max(axis=1) >= self.floor)[0]:
-                self._merge(q, block[q], ids[at : at + step])
-
-    def _merge(self, q: int, row: np.ndarray, ids: np.ndarray) -> None:
-        hit = np.nonzero((row >= self.floor[q]) & np.isfinite(row))[0]
-        if len(hit) > self.k:
-            hit = hit[row[hit] >= np.partition(row[hit], -self.k)[-self.k]]
-        if not len(hit):
-            return
-        s = np.concatenate([self.scores[q], row[hit]])
-        i = ids[hit] if self.found[q] is None else np.concatenate([self.found[q], ids[hit]])
-        best = np.lexsort((i, -s))[: self.k]
-        self.scores[q], self.found[q] = s[best], i[best]
-        if len(best) == self.k:
-            self.floor[q] = s[best][-1]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        got = [q for q in range(len(self.q_ids)) if self.found[q] is not None]
-        if not got:
-            return None
-        return (
-            np.concatenate([np.repeat(self.q_ids[q : q + 1], len(self.scores[q])) for q in got]),
-            np.concatenate([self.found[q] for q in got]),
-            np.concatenate([self.scores[q] for q in got]),
-        )
-
-
-def _cut(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None) -> DataFrame:
-    """Exact cosine top-k of every query: (query_id, chunk_id, score, rank).
-
-    ``queries`` has (query_id, embedding), ``vectors`` (chunk_id, embedding); with
-    ``by``, both carry that column and only equal values match. No index, no
-    approximation.
-
-    A probed, bounded set of queries travels as one matrix and the vectors are
-    scanned in place, so no vector is shuffled and every task emits at most k
-    rows per query. A larger set is cut into query blocks x vector blocks of
-    bounded size, which also splits a hot ``by`` value.
-    """
-    part = [by] if by else []
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *part)
-    v = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *part)
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    table = q.limit(QUERY_BLOCK + 1).toArrow()  # probe and fetch in one bounded read
-    if table.num_rows <= QUERY_BLOCK:
-        q_mat = _matrix(table["embedding"], None)
-        q_ids = _ids(table["query_id"])
-        q_part = _ids(table[by]) if by else None
-        dim = q_mat.shape[1]
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = _TopK(q_ids, q_mat, q_part, k)
-            for batch in batches:
-                if batch.num_rows and len(q_ids):
-                    ids, mat = _ids(batch["chunk_id"]), _matrix(batch["embedding"], dim)
-                    top.add(ids, mat, _ids(batch[by]) if by else None)
-            out = top.rows()
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a) for a in out], names=["query_id", "chunk_id", "score"]
-                )
-
-        return _cut(v.mapInArrow(scan, schema), k)
-
-    q_blocks = -(-q.count() // QUERY_BLOCK)
-    v_blocks = max(1, -(-v.count() // VECTOR_BLOCK))
-    cells_q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-        "_vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
-    )
-    cells_v = v.withColumn("_vb", F.pmod(F.xxhash64("chunk_id"), F.lit(v_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    cell = ["_qb", "_vb", *part]
-
-    def score_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, _arrow_types(schema))})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        q_mat = _matrix(left["embedding"], None)
-        top = _TopK(_ids(left["query_id"]), q_mat, None, k)
-        top.add(_ids(right["chunk_id"]), _matrix(right["embedding"], q_mat.shape[1]), None)
-        out = top.rows()
-        if not out:
-            return empty
-        return pa.table([pa.array(a) for a in out], names=["query_id", "chunk_id", "score"])
-
-    scored = (
-        cells_q.groupBy(*cell).cogroup(cells_v.groupBy(*cell)).applyInArrow(score_cell, schema)
-    )
-    return _cut(scored, k)
-
-
-def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [to_arrow_type(f.dataType) for f in schema.fields]
-
-
-def keyword_topk(
-    queries: DataFrame, chunks: DataFrame, k: int, by: str | None = None, weight: float = 0.1
-) -> DataFrame:
-    """Prefix OR search: (query_id, chunk_id, score, rank).
-
-    ``queries`` has (query_id, query), ``chunks`` (chunk_id, content). With m
-    matching token positions, ``s = weight * m`` and the score is ``s / (1 + s)``.
-
-    The terms of a query are cut to its shortest prefixes, so a position counts
-    once and matches are summed map-side. Equal tokens of a chunk are counted in
-    the row before anything is joined. Few queries travel as one row per distinct
-    term; many meet the vocabulary first, so that prefixes are compared once per
-    distinct token and the chunks join by equality.
-    """
-    part = [by] if by else []
-    terms = queries.select(
-        "query_id", *part, F.explode(shortest_prefixes(search_terms(F.col("query")))).alias("term")
-    )
-    words = chunks.select(
-        "chunk_id", *part, F.explode_outer(counted(tokens(F.col("content")))).alias("_t")
-    ).select("chunk_id", *part, F.col("_t.word").alias("token"), F.col("_t.n").cast("bigint").alias("_n"))
-    if at_most(terms, 200_000):
-        by_term = terms.groupBy(*part, "term").agg(F.collect_list("query_id").alias("_q"))
-        side = F.broadcast(by_term.withColumn("_head", F.substring("term", 1, 2)))
-        matched = (
-            _with_heads(words)
-            .join(side, ["_head", *part])
-            .where(F.startswith("token", "term"))
-            .select("chunk_id", "_n", F.explode("_q").alias("query_id"))
-        )
-    else:
-        vocabulary = words.select(*part, "token").distinct()
-        heads = terms.withColumn("_head", F.substring("term", 1, 2))
-        pairs = (
-            _with_heads(vocabulary)
-            .join(heads, ["_head", *part])
-            .where(F.startswith("token", "term"))
-            .select("token", *part, "query_id")
-        )
-        matched = words.join(pairs, ["token", *part]).select("chunk_id", "_n", "query_id")
-    hits = matched.groupBy("query_id", "chunk_id").agg(F.sum("_n").alias("matches"))
-    s = F.lit(float(weight)) * F.col("matches")
-    return _cut(hits.select("query_id", "chunk_id", (s / (F.lit(1.0) + s)).alias("score")), k)
-
-
-def _with_heads(words: DataFrame) -> DataFrame:
-    """Join key of a token: its first two characters.
-
-    Terms of one character exist for Han text only; such tokens get that key too.
-    """
-    two, one = F.substring("token", 1, 2), F.substring("token", 1, 1)
-    short = F.col("token").rlike(r"^\p{IsHan}") & (F.length("token") > 1)
-    return words.withColumn("_head", F.explode(F.when(short, F.array(two, one)).otherwise(F.array(two))))
+from docflow.operators.keyword_index import keyword_topk
+from docflow.operators.topk import cut
+from docflow.operators.vector_scan import SCORE_DIGITS, vector_topk
+from docflow.session import broadcast_if_small
 
+__all__ = [
+    "attach_chunks", "evidence_context", "expand_parent", "expand_window", "keyword_topk", "rerank_lexical",
+    "rerank_with", "rewrite_list", "rrf_fuse", "to_citations", "vector_topk",
+]
 
 def rrf_fuse(legs: DataFrame, top_k: int, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of result lists.
@@ -238,7 +36,7 @@ def rrf_fuse(legs: DataFrame, top_k: int, k: int = 60) -> DataFrame:
         F.min_by("score", "leg").alias("first_score"),
         F.count(F.lit(1)).alias("lists"),
     )
-    return _cut(fused, top_k)
+    return cut(fused, top_k)
 
 
 def _small_side(df: DataFrame, small: bool | None) -> DataFrame:
@@ -266,7 +64,7 @@ def rerank_lexical(
         F.col("content"), F.col("_terms")
     ) * F.lit(lexical_weight)
     scored = hits.withColumn("_terms", rerank_terms(F.col("query"))).withColumn("score", blended)
-    return _cut(scored.drop("_terms", "rank"), k)
+    return cut(scored.drop("_terms", "rank"), k)
 
 
 Scorer = Callable[[list[str], list[str]], Sequence[float]]
@@ -314,7 +112,7 @@ def rerank_with(hits: DataFrame, scorer: Scorer, k: int) -> DataFrame:
         .withColumn("score", F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("score")))
         .select(*base.columns)
     )
-    return _cut(final, k)
+    return cut(final, k)
 
 
 def expand_window(

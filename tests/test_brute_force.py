@@ -174,27 +174,28 @@ def test_columns_found(spark):
     assert all(got[(2, i)] == 0 for i in range(20))
 
 
-def test_large_query_sets_use_the_grid(spark, sf, monkeypatch):
+def test_large_query_sets_take_rounds(spark, sf):
     e = B.load(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
     v = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
     v = v.unionByName(v.where("vec_id % 3 = 0" if "vec_id" in v.columns else "chunk_id % 3 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("c"))))
     for by in (None, "label"):
         want = {tuple(r) for r in R.vector_topk(q, v, 5, by).collect()}
-        monkeypatch.setattr(R, "QUERY_BLOCK", 70)
-        monkeypatch.setattr(R, "VECTOR_BLOCK", 90)
-        got = {tuple(r) for r in R.vector_topk(q, v, 5, by).collect()}
-        monkeypatch.undo()
+        got = {tuple(r) for r in R.vector_topk(q, v, 5, by, query_block=20).collect()}
         assert got == want
 
 
-def test_many_terms_skip_the_broadcast(spark, sf, monkeypatch):
+def test_many_terms_take_rounds(spark, sf):
     from docflow.catalog.retrieval import key_chunks, key_queries
 
     want = {tuple(r) for r in R.keyword_topk(key_queries(spark, sf), key_chunks(spark, sf), 8).collect()}
-    monkeypatch.setattr(R, "at_most", lambda df, n: False)
-    got = {tuple(r) for r in R.keyword_topk(key_queries(spark, sf), key_chunks(spark, sf), 8).collect()}
-    assert got == want
+    for by in (None, "source"):
+        q, c = key_queries(spark, sf), key_chunks(spark, sf)
+        if by:
+            q = q.crossJoin(c.select("source").distinct().orderBy("source").limit(2))
+            want = {tuple(r) for r in R.keyword_topk(q, c, 8, by).collect()}
+        got = {tuple(r) for r in R.keyword_topk(q, c, 8, by, terms_per_round=100).collect()}
+        assert len(got) > 50 and got == want
 
 
 def test_han_terms(spark):
