@@ -3,7 +3,8 @@
 Byte ranges of tokens of A and B that overlap are links; the offsets where tokens of
 both end cut a text into groups. Pairs of ids are counted over the whole corpus:
 
-1. A first pass aligns all documents and writes the pairs of each task with their links.
+1. Both tokenizers encode every text once; the ids are stored. A first pass aligns all
+   documents and writes the pairs of each task with their links.
 2. The distinct pairs are dealt to shards by hash, and each shard gets a minimal perfect
    hash: cascading bit arrays in which a key owns a bit nobody else hits; its number is
    the rank of that bit. The keys are kept in that order, so a lookup is verified.
@@ -13,22 +14,22 @@ both end cut a text into groups. Pairs of ids are counted over the whole corpus:
 
 The table of step 2 is broadcast and holds at most ``most`` pairs, those with most links.
 Pairs beyond it are counted and joined by key; each of them has fewer links than any in
-the table, so no key of that join is hot. The number of counts per B id is bounded by its vocabulary.
+the table, so no key of that join is hot. The number of counts per B id is bounded by
+its vocabulary.
 
 Neither tokenizer lets a token reach over a single blank between two printable ASCII
 characters: A starts a new piece at the blank, and B has no token with a blank after
-another character (checked when the file is read). Texts are cut there, and the
-alignment of what lies between is kept for the next time it occurs.
+another character (checked when the file is read). Long texts are cut there, so memory
+depends on the length of a stretch. Many short texts are aligned in one numpy step.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,16 @@ from pyspark import Broadcast, SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.blocks import partitions, stored, text_or_empty
+from docflow.llm.blocks import partitions, runs_of_rows, stored, text_or_empty
 from docflow.llm.bpe import _ship_file, byte_symbols
 from docflow.llm.word_hashes import mix
 
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 BLANK = "▁"
-STRETCH = 1 << 20
-KNOWN_WORDS = 1 << 17
-KNOWN_LENGTH = 64
+# The pieces that the byte-level file splits a text into: a fixed value of that format.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+STRETCH = 1 << 19
+ALIGNED_TOKENS = 1 << 19
 PAIRS_AT_ONCE = 1 << 20
 SHARD_BITS = 16
 MOST_PAIRS = 1 << 21
@@ -58,144 +60,195 @@ class Pair:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as f:
             file = json.load(f)
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        vocabulary = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+        vocabulary = {t: i for t, i in file["model"]["vocab"].items() if all(c in byte_of for c in t)}
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+            self.a_bytes[i] = bytes(byte_of[c] for c in token)
+        self.a = self._ranked(file, vocabulary) or self._library(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.cuts = file.get("normalizer") is None and not any(BLANK in p.lstrip(BLANK) for p in pieces)
-        self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
 
-    def encode(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both tokenizers for blank + word."""
-        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        b = self.b.encode(words, num_threads=1)
-        for x, y in zip(a, b, strict=True):
-            yield np.array(x.ids, np.int64), np.array(y, np.int64)
+    def _ranked(self, file: dict, vocabulary: dict[str, int]):
+        """The same byte pairs by rank, if the file's ids are its merge order; several times as fast."""
+        import tiktoken
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in file["model"]["merges"]]
+        base = len(byte_symbols())
+        special = {t["id"] for t in file["added_tokens"]}
+        plain = file.get("normalizer") is None and file["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+        }
+        if not plain or any(vocabulary.get(x + y) != base + i for i, (x, y) in enumerate(merges)):
+            return None
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i not in special}
+        encoding = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [np.array(encoding.encode_ordinary(t), "<u4") for t in texts]
+
+    @staticmethod
+    def _library(path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both tokenizers for blank + text."""
+        return self.a([" " + t for t in texts]), [np.array(i, "<u4") for i in self.b.encode(texts, num_threads=1)]
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
         return b"".join(map(self.a_bytes.__getitem__, a.tolist())), b"".join(map(self.b_bytes.__getitem__, b.tolist()))
 
 
-def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the linked A and B tokens, and the common ends.
+def stretches(text: str) -> list[str]:
+    """The text cut at blanks no token reaches over, about STRETCH characters each; a cut takes its blank away."""
+    out, start = [], 0
+    while len(text) - start > STRETCH and (cut := CUT.search(text, start + STRETCH - 1)):
+        out.append(text[start : cut.start()])
+        start = cut.end()
+    return [*out, text[start:]]
 
-    Between two neighbouring ends, of either tokenizer, there is one token of each,
-    and two tokens overlap in one stretch only: a link is such a stretch.
-    """
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends)
+
+def tokens_of(pair: Pair, texts: list[str]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of both sides for each stretch of each text; none for texts that the bytes do not give back."""
+    short = [t for t in texts if t and (len(t) <= STRETCH or not pair.cuts)]
+    known = dict(zip(short, zip(*pair.encode(short), strict=True), strict=True)) if short else {}
+    for text in texts:
+        if not text:
+            yield []
+        elif text in known:
+            yield _exact(pair, [text], [known[text]])
+        else:
+            parts = stretches(text)
+            held = _exact(pair, parts, [tuple(x[0] for x in pair.encode([p])) for p in parts])
+            # a stretch that differs can be made good by another only if the whole text is given back
+            yield held or _exact(pair, [text], [tuple(x[0] for x in pair.encode([text]))])
+
+
+def _exact(pair: Pair, parts: list[str], ids: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    same = all(set(pair.joined(a, b)) == {(" " + p).encode()} for p, (a, b) in zip(parts, ids, strict=True))
+    return ids if same else []
+
+
+_TOKENS = "row long, doc_id long, a array<binary>, b array<binary>"
+_PAIR: dict[tuple[str, str], Pair] = {}
+
+
+def _pair(names: tuple[str, str]) -> Pair:
+    key = (SparkFiles.get(names[0]), SparkFiles.get(names[1]))
+    if key not in _PAIR:
+        _PAIR[key] = Pair(*key)
+    return _PAIR[key]
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of both tokenizers group by group."""
-    a_cut, b_cut = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
-    sides = []
-    for ids, cut in ((a.tolist(), a_cut.tolist()), (b.tolist(), b_cut.tolist())):
-        starts = [0, *cut[:-1]]
-        sides.append([",".join(map(str, ids[s:e])) for s, e in zip(starts, cut, strict=True)])
-    return ";".join(map("|".join, zip(*sides, strict=True)))
+def _encode(names: tuple[str, str]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, row = _pair(names), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            lengths = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch["text"]).to_numpy())])
+            for first, last in runs_of_rows(lengths, 4 * STRETCH):
+                found = list(tokens_of(pair, batch["text"].slice(first, last - first).to_pylist()))
+                sides = [pa.array([[p[s].tobytes() for p in parts] for parts in found], pa.list_(pa.binary())) for s in (0, 1)]
+                rows = pa.array(range(row, row + len(found)), pa.int64())
+                row += len(found)
+                yield pa.RecordBatch.from_arrays([rows, batch["doc_id"].slice(first, last - first), *sides], names=["row", "doc_id", "a", "b"])
 
+    return task
 
-class Word:
-    """The alignment of a stretch between two cuts.
 
-    ``short`` tells by how many bytes the joined tokens of each side miss the text;
-    ``best``, ``total`` and ``missed`` belong to the second pass.
+class Stretch:
+    """The alignment of the tokens of some texts, one after the other.
+
+    ``a`` and ``b`` are their ids, ``edges`` the number of bytes before each text. Both
+    sides have the same bytes, so ends of tokens can be compared over all texts at once.
     """
 
-    __slots__ = ("best", "counts", "exact", "groups", "keys", "links", "missed", "short", "total")
-
-    def __init__(self, pair: Pair, word: str, a: np.ndarray, b: np.ndarray):
-        want = (" " + word).encode()
-        joined = pair.joined(a, b)
-        self.exact = joined == (want, want)
-        self.short = tuple(len(want) - len(j) for j in joined)
-        self.total: int | None = None
-        if self.exact:
-            a_ends, b_ends = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
-            at_a, at_b, common = links_of(a_ends, b_ends)
-            self.keys, self.links = np.unique((a[at_a] << A_SHIFT) | b[at_b], return_counts=True)
-            self.counts = (len(a), len(b), len(common), len(at_a))
-            self.groups = groups_text(a, b, a_ends, b_ends, common)
-
-
-class Aligner:
-    """Alignments of texts; those of short words are remembered."""
-
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.known: dict[str, Word] = {}
-
-    def _words(self, words: list[str]) -> list[Word]:
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if not new:
-            return [known[w] for w in words]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        fresh = {w: Word(self.pair, w, a, b) for w, (a, b) in zip(new, self.pair.encode(new), strict=True)}
-        known.update((w, x) for w, x in fresh.items() if len(w) <= KNOWN_LENGTH)
-        return [fresh.get(w) or known[w] for w in words]
-
-    def stretches(self, text: str) -> Iterator[list[Word]]:
-        """The words of a text, about a million characters at a time."""
-        if not self.pair.cuts:
-            yield self._words([text])
-            return
-        start = 0
-        while start <= len(text):
-            cut = CUT.search(text, start + STRETCH)
-            end = cut.start() if cut else len(text)
-            yield self._words(CUT.split(text[start:end]))
-            start = end + 1
-
-    def parts(self, text: str) -> list[str] | None:
-        """What to align a text by: None if it has no tokens, else empty (its stretches) or the text as one word."""
-        if not text:
-            return None
-        whole, short = True, [0, 0]
-        for words in self.stretches(text):
-            for w in words:
-                if not w.exact:
-                    whole = False
-                    short = [s + d for s, d in zip(short, w.short, strict=True)]
-        if whole:
-            return []
-        if any(short):
-            return None
-        # bytes that one word lacks and another has too many; the text as a whole decides
-        (word,) = self._words([text])
-        return [text] if word.exact else None
-
-    def aligned(self, text: str) -> Iterator[list[Word]]:
-        """The words of a text with tokens; nothing for others."""
-        if len(text) <= STRETCH and self.pair.cuts and text:
-            words = self._words(CUT.split(text))
-            if all(w.exact for w in words):
-                yield words
-                return
-        parts = self.parts(text)
-        if parts is not None:
-            yield from (self._words([p]) for p in parts) if parts else self.stretches(text)
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, n_a: np.ndarray):
+        self.a, self.b = a, b
+        self.a_ends, self.b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+        self.edges = np.concatenate([[0], self.a_ends])[np.concatenate([[0], np.cumsum(n_a)])]
+        # Between two neighbouring ends, of either side, there is one token of each, and two
+        # tokens overlap in one such stretch only: that is their link.
+        ends = np.zeros(int(self.edges[-1]) + 1, np.int8)
+        ends[self.a_ends] = 1
+        ends[self.b_ends] += 2
+        self.ends, self.common = np.flatnonzero(ends), np.flatnonzero(ends == 3)
+        self.keys = (a[np.searchsorted(self.a_ends, self.ends)] << A_SHIFT) | b[np.searchsorted(self.b_ends, self.ends)]
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of a value per link over each text."""
+        before = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return np.diff(before[np.searchsorted(self.ends, self.edges, side="right")])
+
+    def counts(self, ends: np.ndarray) -> np.ndarray:
+        """How many of some ends lie in each text."""
+        return np.diff(np.searchsorted(ends, self.edges, side="right"))
+
+    def groups(self) -> list[memoryview]:
+        """``a1,a2|b1;a3|b2,b3`` of each text: ids of both sides group by group, as bytes."""
+        n_a, n_b = len(self.a), len(self.b)
+        in_a, in_b = np.searchsorted(self.common, self.a_ends), np.searchsorted(self.common, self.b_ends)
+        whole = np.arange(len(self.common) + 1)
+        before_a, before_b = np.searchsorted(in_a, whole), np.searchsorted(in_b, whole)
+        at_a, at_b = np.arange(n_a) + before_b[in_a], np.arange(n_b) + before_a[in_b + 1]
+        ids, sign = np.empty(n_a + n_b, np.int64), np.full(n_a + n_b, ord(","), np.uint8)
+        ids[at_a], ids[at_b] = self.a, self.b
+        sign[at_a[before_a[:-1]]], sign[at_b[before_b[:-1]]] = ord(";"), ord("|")
+        tokens = self.counts(self.a_ends) + self.counts(self.b_ends)
+        begins = np.concatenate([[0], np.cumsum(tokens)])
+        sign[begins[:-1][tokens > 0]] = 0  # a text starts without a sign
+        digits = _digits(1 << max(16, int(ids.max(initial=0)).bit_length()))
+        width = digits.shape[1]
+        shown, used = np.empty((len(ids), width + 1), np.uint8), np.ones((len(ids), width + 1), bool)
+        shown[:, 0], shown[:, 1:] = sign, digits[ids]
+        used[:, 0], used[:, 1:] = sign > 0, shown[:, 1:] > 0
+        size = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[begins]
+        data = memoryview(shown[used].tobytes())
+        return [data[s:e] for s, e in zip(size[:-1], size[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _digits(most: int) -> np.ndarray:
+    """Decimal digits of 0 to most - 1, left-aligned, 0 where there is none."""
+    out = np.zeros((most, len(str(most - 1))), np.uint8)
+    for i in range(most):
+        text = str(i).encode()
+        out[i, : len(text)] = np.frombuffer(text, np.uint8)
+    return out
+
+
+def _sizes(names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    pair = _pair(names)
+    return tuple(np.array([len(t) for t in side], np.int64) for side in (pair.a_bytes, pair.b_bytes))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Ranges of rows with the stretches to align: many texts of one stretch together, others piece by piece."""
+    a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+    size = [sum(map(len, x)) // 4 for x in a]
+    first = 0
+    while first < len(a):
+        last, held = first + 1, size[first]
+        while last < len(a) and len(a[first]) < 2 and len(a[last]) < 2 and held + size[last] <= ALIGNED_TOKENS:
+            held, last = held + size[last], last + 1
+        yield first, last, [(a[first:last], b[first:last])] if len(a[first]) < 2 else [([[x]], [[y]]) for x, y in zip(a[first], b[first], strict=True)]
+        first = last
+
+
+def _stretch(sides: tuple[list, list], sizes: tuple[np.ndarray, np.ndarray]) -> Stretch:
+    ids = [np.frombuffer(b"".join(x for parts in side for x in parts), "<u4").astype(np.int64) for side in sides]
+    return Stretch(*ids, *sizes, np.array([sum(map(len, parts)) // 4 for parts in sides[0]], np.int64))
 
 
 class KeyCounts:
@@ -226,29 +279,15 @@ class KeyCounts:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(links)], names=["key", "links"])
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
-def _aligner(names: tuple[str, str]) -> Aligner:
-    key = (SparkFiles.get(names[0]), SparkFiles.get(names[1]))
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(Pair(*key))
-    return _ALIGNERS[key]
-
-
 def _count(names: tuple[str, str]):
     """First pass: the pairs of a task with their links."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts = _aligner(names), KeyCounts()
+        sizes, counts = _sizes(names), KeyCounts()
         for batch in batches:
-            for text in batch.column("text"):
-                for words in aligner.aligned(text.as_py()):
-                    times = Counter(map(id, words))
-                    met = list({id(w): w for w in words}.values())
-                    counts.add(
-                        np.concatenate([w.keys for w in met]), np.concatenate([w.links * times[id(w)] for w in met])
-                    )
+            for _, _, pieces in _runs(batch):
+                for sides in pieces:
+                    counts.add(*np.unique(_stretch(sides, sizes).keys, return_counts=True))
             yield from counts.take(PAIRS_AT_ONCE)
         yield from counts.take()
 
@@ -432,53 +471,58 @@ def sum_counts(pairs: DataFrame, table: PairTable) -> None:
 _OUT = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
     ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string()),
-    ("keys", pa.list_(pa.int64())), ("links", pa.list_(pa.int64())),
+    ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
 ])
 
 
-def _look_up(words: list[Word], table: PairTable, highest: np.ndarray) -> None:
-    """Second pass: sums over the links of words that are met for the first time."""
-    keys, links = np.concatenate([w.keys for w in words]), np.concatenate([w.links for w in words])
-    at = table.find(keys)
-    counts = np.where(at >= 0, table.counts[at] if len(table.counts) else 0, 0)
-    best = (at >= 0) & (counts == highest[keys & B_MASK])
-    start = 0
-    for w in words:
-        end = start + len(w.keys)
-        w.total, w.best = int(links[start:end] @ counts[start:end]), int(links[start:end] @ best[start:end])
-        lost = np.flatnonzero(at[start:end] < 0)
-        w.missed = (w.keys[lost], w.links[lost]) if len(lost) else None
-        start = end
+def _lost(s: Stretch, missed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the keys that are not in the table, and how often."""
+    bounds = np.searchsorted(np.flatnonzero(missed), np.searchsorted(s.ends, s.edges, side="right"))
+    keys = s.keys[missed]
+    return [np.unique(keys[x:y], return_counts=True) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _align(names: tuple[str, str], sent: Broadcast):
+    """Second pass: the sums of each text over the counts of its links."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(names)
         table, highest = sent.value
-        aligner = Aligner(_aligner(names).pair)  # words carry sums of this table, so they are this task's own
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                sums, shown, missed = np.zeros(6, np.int64), None, KeyCounts()
-                for words in aligner.aligned(text.as_py()):
-                    new = list({id(w): w for w in words if w.total is None}.values())
-                    if new:
-                        _look_up(new, table, highest)
-                    groups = ";".join([w.groups for w in words])
-                    if shown is None:
-                        shown = hashlib.sha256(groups.encode())
+            sums = np.zeros((6, batch.num_rows), np.int64)
+            shas, missing = [""] * batch.num_rows, [([], [])] * batch.num_rows
+            for first, last, pieces in _runs(batch):
+                digest, missed = None, KeyCounts()
+                for sides in pieces:
+                    s = _stretch(sides, sizes)
+                    keys, place = np.unique(s.keys, return_inverse=True)
+                    at = table.find(keys)
+                    counts = np.zeros(len(keys), np.int64)
+                    counts[at >= 0] = table.counts[at[at >= 0]]
+                    best = (at >= 0) & (counts == highest[keys & B_MASK])
+                    one = np.ones(len(s.ends), np.int64)
+                    sums[:, first:last] += [
+                        s.counts(s.a_ends), s.counts(s.b_ends), s.counts(s.common), s.per_text(one), s.per_text(best[place]),
+                        s.per_text(counts[place]),
+                    ]
+                    lost = _lost(s, at[place] < 0)
+                    if len(pieces) == 1:
+                        shas[first:last] = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in s.groups()]
+                        missing[first:last] = [(k.tolist(), n.tolist()) for k, n in lost]
+                        continue
+                    if digest is None:
+                        digest = hashlib.sha256()
                     else:
-                        shown.update(b";" + groups.encode())
-                    sums += np.array([(*w.counts, w.best, w.total) for w in words], np.int64).sum(axis=0)
-                    for w in words:
-                        if w.missed is not None:
-                            missed.add(*w.missed)
-                keys, links = [], []
-                for found in missed.take():
-                    keys, links = found.column("key").to_pylist(), found.column("links").to_pylist()
-                out.append((row, doc_id, *sums.tolist(), shown.hexdigest() if shown else "", keys, links))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+                        digest.update(b";")
+                    digest.update(s.groups()[0])
+                    missed.add(*lost[0])
+                if digest is not None:
+                    shas[first] = digest.hexdigest()
+                    for found in missed.take():
+                        missing[first] = (found["key"].to_pylist(), found["links"].to_pylist())
+            columns = [batch["row"], batch["doc_id"], *map(pa.array, sums), shas, *zip(*missing, strict=True)] if batch.num_rows else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
     return task
 
@@ -492,15 +536,15 @@ def vocabulary_size(b_path: str) -> int:
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 _ROWS = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, "
-    "keys array<long>, links array<long>"
+    "keys array<long>, times array<long>"
 )
 
 
-def count_pairs(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First pass: (key, links) of every task, stored; the key is the A id shifted by 32 bits, with the B id."""
+def token_table(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored ids of both sides: row, doc_id, and per stretch of the text the ids as 32-bit numbers."""
     names = (_ship_file(docs, a_path), _ship_file(docs, b_path))
-    texts = docs.select(text_or_empty(text_col).alias("text"))
-    return stored(texts.mapInArrow(_count(names), "key long, links long"), "pairs")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return stored(own.mapInArrow(_encode(names), _TOKENS), "tokens")
 
 
 def align_tokens(
@@ -512,7 +556,9 @@ def align_tokens(
     zeros and an empty digest; they count nowhere. Repeated rows count each for
     itself. Other columns are not read. An empty table gives no rows.
     """
-    pairs = count_pairs(docs, a_path, b_path, id_col, text_col)
+    spark, names = docs.sparkSession, (_ship_file(docs, a_path), _ship_file(docs, b_path))
+    tokens = token_table(docs, a_path, b_path, id_col, text_col)
+    pairs = stored(tokens.select("a", "b").mapInArrow(_count(names), "key long, links long"), "pairs")
     keys = stored(pairs.select("key").distinct(), "pair-keys")
     n, cold = keys.count(), None
     if n > most:
@@ -520,20 +566,18 @@ def align_tokens(
         n = most
     table = build_table(keys, n)
     sum_counts(pairs, table)
-    spark, names = docs.sparkSession, (_ship_file(docs, a_path), _ship_file(docs, b_path))
     highest = np.zeros(vocabulary_size(b_path), np.int64)
     np.maximum.at(highest, table.keys & B_MASK, table.counts)
     if cold is not None:
         tops = cold.groupBy(F.col("key").bitwiseAND(B_MASK).alias("b")).agg(F.max("links").alias("top")).collect()  # one per B id
         np.maximum.at(highest, [r["b"] for r in tops], [r["top"] for r in tops])
     sent = spark.sparkContext.broadcast((table, highest))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = own.mapInArrow(_align(names, sent), _ROWS)
+    rows = tokens.mapInArrow(_align(names, sent), _ROWS)
     if cold is None:
         return rows.select(*COLUMNS)
     rows = stored(rows, "aligned")
     best = F.broadcast(spark.createDataFrame(list(enumerate(highest.tolist())), "b long, highest long"))
-    lost = rows.select("row", F.inline(F.arrays_zip("keys", "links"))).toDF("row", "key", "times")
+    lost = rows.select("row", F.inline(F.arrays_zip("keys", "times"))).toDF("row", "key", "times")
     met = lost.join(cold, "key").join(best, F.col("key").bitwiseAND(B_MASK) == F.col("b"))
     more = met.groupBy("row").agg(
         F.sum(F.col("times") * F.col("links")).alias("more_sum"),

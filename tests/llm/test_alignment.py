@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -102,20 +103,37 @@ def test_empty(spark):
     assert [tuple(r) for r in nothing] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
-def test_stretches_and_forgetting(monkeypatch):
-    """Cuts inside a long text, and a memory that is emptied, change nothing."""
+def test_long_texts_are_cut(spark, monkeypatch):
+    """Texts of many stretches, and a stretch that no blank ends, give what the whole text gives."""
     rng = random.Random(2)
-    text = " ".join(rng.choice(ODD).replace("▁", "_") for _ in range(400))
+    texts = [" ".join(rng.choice(ODD).replace("▁", "_") for _ in range(300)) for _ in range(4)]
+    texts += [texts[0] + " ▁ " + texts[1], "日本" * 500 + " a b c", "x" * 3000]
     pair = alignment.Pair(A, B)
-    whole = [w.groups for words in alignment.Aligner(pair).aligned(text) for w in words]
+    whole = list(alignment.tokens_of(pair, texts))
     monkeypatch.setattr(alignment, "STRETCH", 50)
-    monkeypatch.setattr(alignment, "KNOWN_WORDS", 10)
-    parts = list(alignment.Aligner(pair).aligned(text))
-    assert len(parts) > 20
-    assert [w.groups for words in parts for w in words] == whole
-    ((a, b),) = pair.encode([text])
-    assert ";".join(whole) == alignment.Word(pair, text, a, b).groups
-    assert list(alignment.Aligner(pair).aligned(text + " ▁")) == []
+    cut = list(alignment.tokens_of(pair, texts))
+    assert len(cut[0]) > 20 and cut[4] == whole[4] == []
+    for x, y in zip(cut, whole, strict=True):
+        for side in (0, 1):
+            assert [i for part in x for i in part[side].tolist()] == [i for part in y for i in part[side].tolist()]
+    # the workers read the patched length from their own copy of the module, so the column goes through the same code here
+    rows = pa.RecordBatch.from_pydict({"a": [[p[0].tobytes() for p in t] for t in cut], "b": [[p[1].tobytes() for p in t] for t in cut]})
+    sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (pair.a_bytes, pair.b_bytes))
+    for first, _, pieces in alignment._runs(rows):
+        if cut[first]:
+            shown = b";".join(bytes(alignment._stretch(s, sizes).groups()[0]) for s in pieces)
+            whole_row = ([[whole[first][0][0].tobytes()]], [[whole[first][0][1].tobytes()]])
+            assert shown == bytes(alignment._stretch(whole_row, sizes).groups()[0])
+
+
+def test_ranks_give_the_ids_of_the_file():
+    """The faster encoder against the library that reads the file, over all code points in several places."""
+    pair = alignment.Pair(A, B)
+    library = alignment.Pair._library(A)
+    places = ("a{0}b", "a {0} b", "{0}{0}x", " {0}", "1{0}2", "{0} {0}", "\n{0}", "'{0}", "x  {0}", "{0}  x", "'s{0}", "!{0}!")
+    texts = [p.format(chr(c)) for c in range(0x250) for p in places]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in range(0x250, 0x110000, 7) if not 0xD800 <= c < 0xE000] + ODD
+    assert [x.tolist() for x in pair.a(texts)] == [x.tolist() for x in library(texts)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 200_000])
