@@ -1,19 +1,21 @@
 """Ordered window columns that stay parallel when one key is very large.
 
-A plain window runs each key in one task. Here keys with more rows than
-``GROUP_ROWS`` are found first (one narrow aggregation), their rows are cut
-into slices along the order, windows run per slice, and what a slice needs
-from its neighbours is carried over by a small broadcast table. Without large
+A plain window runs each key in one task. Here keys with more rows than ``GROUP_ROWS``
+are found first (one narrow aggregation). Their rows are range-partitioned by key and
+the whole order, so a key spans as many partitions as it needs, whatever its leading
+order column holds. Windows run per key and partition, and a prefix scan over one row
+per partition and key brings each of them what lies before or behind it. Without large
 keys the plan is the plain window.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from docflow.session import work_path
 
 GROUP_ROWS = 1_000_000
 MAX_SLICES = 20_000
@@ -50,41 +52,38 @@ def last_known(c: Column) -> tuple[str, Column | None]:
 
 @dataclass
 class Slicing:
-    """Keys, a total order and the cut points of the large keys (none as a rule)."""
+    """Keys, a total order, the large keys (none as a rule) and the partitions for their rows."""
 
     keys: list[str]
     order: list[str]
-    cuts: DataFrame | None = None
-    names: list[str] = field(default_factory=list)
-
-    def add_slice(self, df: DataFrame) -> DataFrame:
-        if self.cuts is None:
-            return df
-        position = _position(df, self.order[0])
-        join = [df[k].eqNullSafe(self.cuts[f"_k_{k}"]) for k in self.keys]
-        on = join[0]
-        for j in join[1:]:
-            on = on & j
-        out = df.join(F.broadcast(self.cuts), on, "left")
-        slice_no = F.when(
-            F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < position))
-        ).otherwise(F.lit(0))
-        return out.withColumn("_slice", slice_no).drop("_cuts", *[f"_k_{k}" for k in self.keys])
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """The leading order column as a number that grows in scan order."""
-    descending, name = name.startswith("-"), name.lstrip("-")
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        number = F.timestamp_diff("MICROSECOND", epoch, F.col(name).cast("timestamp_ntz"))
-    elif isinstance(kind, T.NumericType):
-        number = F.col(name)
-    else:
-        raise TypeError(f"the leading order column must be a number or a time: {name}")
-    number = number.cast("double")
-    return -number if descending else number
+    large: DataFrame | None = None
+    slices: int = 1
+
+    def order_columns(self) -> list[Column]:
+        return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in self.order]
+
+    def _is_large(self, df: DataFrame) -> Column:
+        met = [df[k].eqNullSafe(self.large[f"_k_{k}"]) for k in self.keys]
+        on = met[0]
+        for m in met[1:]:
+            on = on & m
+        return on
+
+    def small_rows(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.large), self._is_large(df), "left_anti")
+
+    def sliced_rows(self, df: DataFrame) -> DataFrame:
+        """Rows of large keys with the number of their range partition, ``_slice``.
+
+        Written out, so that a lost executor cannot deal rows to other partitions
+        than those that were summed up.
+        """
+        rows = df.join(F.broadcast(self.large), self._is_large(df), "left_semi")
+        dealt = rows.repartitionByRange(self.slices, *self.keys, *self.order_columns())
+        placed = dealt.withColumn("_slice", F.spark_partition_id())
+        path = work_path(df.sparkSession, "sliced")
+        placed.write.parquet(path)
+        return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def groups_fit(df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> bool:
@@ -97,13 +96,13 @@ def slicing(
     df: DataFrame, keys: list[str], order: list[str], group_rows: int = GROUP_ROWS,
     bounded: bool = False,
 ) -> Slicing:
-    """Find large keys and their cut points.
+    """Find large keys.
 
-    ``order`` must be total within a key; a leading ``-`` means descending.
-    The cut points are collected so that every later pass uses the same ones;
-    there are at most ``2 * MAX_SLICES`` of them. ``bounded`` says that the
-    caller already knows every key to be small (``groups_fit`` on an input that
-    the rows come from), so nothing is counted again.
+    ``order`` must be total within a key; a leading ``-`` means descending. A key is
+    large beyond ``group_rows`` rows and beyond a part in MAX_SLICES of all rows, so
+    there are at most MAX_SLICES of them, and as many partitions for their rows.
+    ``bounded`` says that the caller already knows every key to be small
+    (``groups_fit`` on an input that the rows come from), so nothing is counted again.
     """
     plan = Slicing(list(keys), list(order))
     if bounded:
@@ -113,60 +112,42 @@ def slicing(
     if not largest or largest <= group_rows:
         return plan
     size = max(group_rows, total // MAX_SLICES + 1)
-    large = counts.where(F.col("_n") > size).collect()
+    large = counts.where(F.col("_n") > size).toDF(*[f"_k_{k}" for k in keys], "_n").collect()
     if not large:
         return plan
-    spark = df.sparkSession
-    key_type = T.StructType(
-        [T.StructField(f"_k_{k}", df.schema[k].dataType) for k in keys]
-        + [T.StructField("_n", T.LongType())]
-    )
-    hot = spark.createDataFrame([tuple(r) for r in large], key_type)
-    on = [df[k].eqNullSafe(hot[f"_k_{k}"]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    key_cols = [f"_k_{k}" for k in keys]
-    # percentile_approx is mergeable: large keys are aggregated map-side first
-    slices = max(2, min(1000, -(-max(r["_n"] for r in large) // size)))
-    points = [i / slices for i in range(1, slices)]
-    cut_rows = (
-        df.withColumn("_pos", _position(df, order[0]))
-        .join(F.broadcast(hot), cond)
-        .groupBy(*key_cols)
-        .agg(F.percentile_approx("_pos", points, 100_000).alias("_cuts"))
-        .select(*key_cols, F.array_distinct("_cuts").alias("_cuts"))
-        .collect()
-    )
-    cut_type = T.StructType(
-        key_type.fields[:-1] + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]
-    )
-    plan.cuts = spark.createDataFrame([tuple(r) for r in cut_rows], cut_type)
+    fields = [f for f in counts.schema.fields if f.name != "_n"]
+    kinds = ", ".join(f"`_k_{f.name}` {f.dataType.simpleString()}" for f in fields)
+    plan.large = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in large], kinds)
+    plan.slices = max(2, -(-sum(r["_n"] for r in large) // size))
     return plan
 
 
 def ordered(df: DataFrame, plan: Slicing, **columns: tuple[str, Column | None]) -> DataFrame:
     """Add window ``columns`` (``row_number()``, ``lag(c)``, ...) under ``plan``."""
-    order = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in plan.order]
-    sliced = plan.cuts is not None
-    base = plan.add_slice(df)
-    part = [*plan.keys, "_slice"] if sliced else plan.keys
-    w = Window.partitionBy(*part).orderBy(*order)
+    order = plan.order_columns()
+    if plan.large is not None:
+        small = ordered(plan.small_rows(df), Slicing(plan.keys, plan.order), **columns)
+        return small.unionByName(_ordered_slices(plan.sliced_rows(df), plan, df.columns, columns))
+    w = Window.partitionBy(*plan.keys).orderBy(*order)
+    return df.select("*", *[_local(k, c, w).alias(n) for n, (k, c) in columns.items()])
+
+
+def _local(kind: str, c: Column | None, w: Window) -> Column:
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return {
+        "row_number": lambda: F.row_number().over(w).cast("bigint"),
+        "lag": lambda: F.lag(c).over(w),
+        "lead": lambda: F.lead(c).over(w),
+        "running_sum": lambda: F.sum(c).over(upto),
+        "running_min": lambda: F.min(c).over(upto),
+        "running_max": lambda: F.max(c).over(upto),
+        "last_known": lambda: F.last(c, ignorenulls=True).over(upto),
+    }[kind]()
 
-    def local(kind: str, c: Column | None) -> Column:
-        return {
-            "row_number": lambda: F.row_number().over(w).cast("bigint"),
-            "lag": lambda: F.lag(c).over(w),
-            "lead": lambda: F.lead(c).over(w),
-            "running_sum": lambda: F.sum(c).over(upto),
-            "running_min": lambda: F.min(c).over(upto),
-            "running_max": lambda: F.max(c).over(upto),
-            "last_known": lambda: F.last(c, ignorenulls=True).over(upto),
-        }[kind]()
-
-    if not sliced:
-        return base.select("*", *[local(k, c).alias(n) for n, (k, c) in columns.items()])
+
+def _ordered_slices(base: DataFrame, plan: Slicing, names: list[str], columns: dict) -> DataFrame:
+    """Windows per key and slice, corrected by what the other slices of the key hold."""
+    w = Window.partitionBy(*plan.keys, "_slice").orderBy(*plan.order_columns())
 
     # The inputs are kept as columns so that slices can be summed up below.
     raw = base.select(
@@ -178,16 +159,12 @@ def ordered(df: DataFrame, plan: Slicing, **columns: tuple[str, Column | None])
     rows = raw.select(
         "*",
         *[
-            local(k, F.col(f"_in_{n}") if c is not None else None).alias(f"_loc_{n}")
+            _local(k, F.col(f"_in_{n}") if c is not None else None, w).alias(f"_loc_{n}")
             for n, (k, c) in columns.items()
         ],
     )
 
-    # One row per slice of a large key: at most 2 * MAX_SLICES rows.
-    hot_only = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in plan.keys]
-    cond = hot_only[0]
-    for c in hot_only[1:]:
-        cond = cond & c
+    # one row per slice and key: at most MAX_SLICES slices and as many keys that begin inside one
     sums = [F.count(F.lit(1)).alias("_e_count")]
     for n, (k, _) in columns.items():
         v = F.col(f"_in_{n}") if k != "row_number" else None
@@ -202,11 +179,7 @@ def ordered(df: DataFrame, plan: Slicing, **columns: tuple[str, Column | None])
                 F.max_by(v, F.when(v.isNotNull(), F.col("_rn"))).alias(f"_e_{n}")
             ],
         }[k]()
-    edges = (
-        rows.join(F.broadcast(plan.cuts.drop("_cuts")), cond, "left_semi")
-        .groupBy(*plan.keys, "_slice")
-        .agg(*sums)
-    )
+    edges = rows.groupBy(*plan.keys, "_slice").agg(*sums)
     by_slice = Window.partitionBy(*plan.keys).orderBy("_slice")
     before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum("_e_count").over(before).alias("_c_count")]
@@ -227,7 +200,10 @@ def ordered(df: DataFrame, plan: Slicing, **columns: tuple[str, Column | None])
     carry = edges.select(
         *[F.col(k).alias(f"_k_{k}") for k in plan.keys], F.col("_slice").alias("_k_slice"), *carried
     )
-    joined = rows.join(F.broadcast(carry), cond & (F.col("_slice") == F.col("_k_slice")), "left")
+    met = F.col("_slice") == F.col("_k_slice")
+    for k in plan.keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = rows.join(F.broadcast(carry), met)
 
     def whole(n: str, k: str) -> Column:
         here, carried_in = F.col(f"_loc_{n}"), F.col(f"_c_{n}") if k != "row_number" else None
@@ -245,5 +221,5 @@ def ordered(df: DataFrame, plan: Slicing, **columns: tuple[str, Column | None])
         }[k]()
 
     return joined.select(
-        *[F.col(c) for c in df.columns], *[whole(n, k).alias(n) for n, (k, _) in columns.items()]
+        *[F.col(c) for c in names], *[whole(n, k).alias(n) for n, (k, _) in columns.items()]
     )
