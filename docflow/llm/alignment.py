@@ -46,8 +46,9 @@ BLANK = "▁"
 # The pieces that the byte-level file splits a text into: a fixed value of that format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STRETCH = 1 << 19
-ALIGNED_TOKENS = 1 << 19
-PAIRS_AT_ONCE = 1 << 20
+ALIGNED_TOKENS = 1 << 18
+ROWS_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 18
 SHARD_BITS = 16
 MOST_PAIRS = 1 << 21
 FAN_IN = 8
@@ -152,6 +153,11 @@ def _pair(names: tuple[str, str]) -> Pair:
     return _PAIR[key]
 
 
+def _kind(ids: int) -> str:
+    """The stored form of ids below ``ids``."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 def _encode(names: tuple[str, str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, row = _pair(names), TaskContext.get().partitionId() << 33
@@ -159,7 +165,10 @@ def _encode(names: tuple[str, str]):
             lengths = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch["text"]).to_numpy())])
             for first, last in runs_of_rows(lengths, 4 * STRETCH):
                 found = list(tokens_of(pair, batch["text"].slice(first, last - first).to_pylist()))
-                sides = [pa.array([[p[s].tobytes() for p in parts] for parts in found], pa.list_(pa.binary())) for s in (0, 1)]
+                sides = [
+                    pa.array([[p[s].astype(kind).tobytes() for p in parts] for parts in found], pa.list_(pa.binary()))
+                    for s, kind in ((0, _kind(len(pair.a_bytes))), (1, _kind(len(pair.b_bytes))))
+                ]
                 rows = pa.array(range(row, row + len(found)), pa.int64())
                 row += len(found)
                 yield pa.RecordBatch.from_arrays([rows, batch["doc_id"].slice(first, last - first), *sides], names=["row", "doc_id", "a", "b"])
@@ -233,22 +242,31 @@ def _sizes(names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([len(t) for t in side], np.int64) for side in (pair.a_bytes, pair.b_bytes))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Ranges of rows with the stretches to align: many texts of one stretch together, others piece by piece."""
-    a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-    size = [sum(map(len, x)) // 4 for x in a]
-    first = 0
-    while first < len(a):
-        last, held = first + 1, size[first]
-        while last < len(a) and len(a[first]) < 2 and len(a[last]) < 2 and held + size[last] <= ALIGNED_TOKENS:
-            held, last = held + size[last], last + 1
-        yield first, last, [(a[first:last], b[first:last])] if len(a[first]) < 2 else [([[x]], [[y]]) for x, y in zip(a[first], b[first], strict=True)]
-        first = last
+Side = list[list[bytes]]  # of each text the ids of its stretches
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[Side, Side]]]]:
+    """Ranges of rows with what to align: many texts of one stretch together, others stretch by stretch."""
+    for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(begin, ROWS_AT_ONCE)
+        a, b = part["a"].to_pylist(), part["b"].to_pylist()
+        size = [sum(map(len, x)) // 2 for x in a]
+        first = 0
+        while first < len(a):
+            last, held = first + 1, size[first]
+            while last < len(a) and len(a[first]) < 2 and len(a[last]) < 2 and held + size[last] <= ALIGNED_TOKENS:
+                held, last = held + size[last], last + 1
+            together = [(a[first:last], b[first:last])]
+            apart = [([[x]], [[y]]) for x, y in zip(a[first], b[first], strict=True)]
+            yield begin + first, begin + last, together if len(a[first]) < 2 else apart
+            first = last
 
 
-def _stretch(sides: tuple[list, list], sizes: tuple[np.ndarray, np.ndarray]) -> Stretch:
-    ids = [np.frombuffer(b"".join(x for parts in side for x in parts), "<u4").astype(np.int64) for side in sides]
-    return Stretch(*ids, *sizes, np.array([sum(map(len, parts)) // 4 for parts in sides[0]], np.int64))
+def _stretch(sides: tuple[Side, Side], sizes: tuple[np.ndarray, np.ndarray]) -> Stretch:
+    kinds = [np.dtype(_kind(len(n))) for n in sizes]
+    ids = [np.frombuffer(b"".join(x for parts in side for x in parts), k).astype(np.int64) for side, k in zip(sides, kinds, strict=True)]
+    n_a = [sum(map(len, parts)) // kinds[0].itemsize for parts in sides[0]]
+    return Stretch(*ids, *sizes, np.array(n_a, np.int64))
 
 
 class KeyCounts:
@@ -541,7 +559,7 @@ _ROWS = (
 
 
 def token_table(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored ids of both sides: row, doc_id, and per stretch of the text the ids as 32-bit numbers."""
+    """Stored ids of both sides: row, doc_id, and per stretch of the text the ids as 16-bit numbers, or 32-bit ones beyond 65,536."""
     names = (_ship_file(docs, a_path), _ship_file(docs, b_path))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return stored(own.mapInArrow(_encode(names), _TOKENS), "tokens")

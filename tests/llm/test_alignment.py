@@ -117,12 +117,12 @@ def test_long_texts_are_cut(spark, monkeypatch):
         for side in (0, 1):
             assert [i for part in x for i in part[side].tolist()] == [i for part in y for i in part[side].tolist()]
     # the workers read the patched length from their own copy of the module, so the column goes through the same code here
-    rows = pa.RecordBatch.from_pydict({"a": [[p[0].tobytes() for p in t] for t in cut], "b": [[p[1].tobytes() for p in t] for t in cut]})
+    rows = pa.RecordBatch.from_pydict({"a": [[p[0].astype("<u2").tobytes() for p in t] for t in cut], "b": [[p[1].astype("<u2").tobytes() for p in t] for t in cut]})
     sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (pair.a_bytes, pair.b_bytes))
     for first, _, pieces in alignment._runs(rows):
         if cut[first]:
             shown = b";".join(bytes(alignment._stretch(s, sizes).groups()[0]) for s in pieces)
-            whole_row = ([[whole[first][0][0].tobytes()]], [[whole[first][0][1].tobytes()]])
+            whole_row = tuple([[whole[first][0][side].astype("<u2").tobytes()]] for side in (0, 1))
             assert shown == bytes(alignment._stretch(whole_row, sizes).groups()[0])
 
 
