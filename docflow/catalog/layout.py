@@ -115,6 +115,39 @@ def downward(s, d):
     )
 
 
+def _fold_sql(src: str, name: str, part: str, joins: str, x2: str, font: str) -> str:
+    """Chains of the rows of ``src``, one step of the recursion per row of a page; state (x1, y1, x2 or y2, font) of the chain."""
+    on = " AND ".join(f"q.{k} = f.{k}" for k in part.split(", "))
+    return f"""{name}_q AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY y1, x1, box_no) AS n FROM {src}),
+{name}_f AS (SELECT {part}, n, 1 AS chain, type, x1 AS cx, y1 AS cy, {x2} AS ce, font_size AS cf FROM {name}_q WHERE n = 1
+  UNION ALL SELECT {", ".join("f." + k for k in part.split(", "))}, q.n, CASE WHEN j THEN chain ELSE chain + 1 END, q.type, CASE WHEN j THEN least(cx, x1) ELSE x1 END, CASE WHEN j THEN least(cy, y1) ELSE y1 END,
+    CASE WHEN j THEN greatest(ce, {x2}) ELSE {x2} END, CASE WHEN j THEN {font} ELSE font_size END
+  FROM {name}_f f JOIN {name}_q q ON {on} AND q.n = f.n + 1, LATERAL (SELECT q.type = f.type AND {joins} AS j) z),
+{name} AS (SELECT {", ".join("q." + k for k in part.split(", "))}, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, arg_min(box_no, q.n) AS box_no, any_value(q.type) AS type,
+  {ws("string_agg(t, ' ' ORDER BY q.n)")} AS t, arg_min(font_size, q.n) AS font_size, max(font_size) AS largest, sum(merged)::INTEGER AS merged,
+  arg_min(baseline, q.n) AS baseline FROM {name}_f f JOIN {name}_q q ON {on} AND q.n = f.n GROUP BY {", ".join("q." + k for k in part.split(", "))}, chain)"""
+
+
+_LINE_JOIN = "abs(y1 - cy) <= greatest(cf, font_size) * 0.7::DOUBLE AND x1 - ce BETWEEN 0 AND greatest(18.0::DOUBLE, cf * 1.5::DOUBLE)"
+_COLUMN_JOIN = "q.type IN ('Text', 'List') AND y1 - ce <= greatest(cf, font_size) * 1.6::DOUBLE"
+_DOWN_JOIN = "q.type = 'Text' AND y1 - ce <= greatest(cf, font_size) * 1.8::DOUBLE AND abs(x1 - cx) <= greatest(24.0::DOUBLE, cf * 2.0::DOUBLE) AND abs(cf - font_size) <= 1.5::DOUBLE"
+_IN_COLUMN = "doc_id, page_num, column_index"
+# The boxes of a page lie in two columns by turns.
+_TWO_COLUMNS = "ic AS (SELECT *, 1 AS merged, CAST(box_no % 2 AS INTEGER) AS column_index FROM ty)"
+HORIZONTAL_SQL = f"""WITH RECURSIVE {BASE_SQL}, {MARKED_SQL}, hw AS (SELECT doc_id, page_num, box_no, x1, floor(box_no / 2) * 14.0::DOUBLE AS y1, CASE WHEN box_no % 2 = 0 THEN 305.0::DOUBLE + box_no % 30 ELSE x2 END AS x2,
+  floor(box_no / 2) * 14.0::DOUBLE + 12 AS y2, font_size, baseline, type, t, 1 AS merged FROM ty),
+{_fold_sql("hw", "ho", "doc_id, page_num", _LINE_JOIN, "x2", "greatest(cf, font_size)")}
+SELECT doc_id, page_num, box_no, x1, y1, x2, y2, largest AS font_size, type, t AS text, merged AS merged_boxes FROM ho"""
+VERTICAL_CTE = f"WITH RECURSIVE {BASE_SQL}, {MARKED_SQL}, {_TWO_COLUMNS}, {_fold_sql('ic', 've', _IN_COLUMN, _COLUMN_JOIN, 'y2', 'cf')}"
+VERTICAL_SQL = VERTICAL_CTE + " SELECT doc_id, page_num, column_index, box_no, x1, y1, x2, y2, type, t AS text, merged AS merged_boxes FROM ve"
+DOWNWARD_SQL = f"""{VERTICAL_CTE}, vt AS (SELECT * EXCLUDE (type), CASE WHEN type = 'Title' THEN 'Text' ELSE type END AS type FROM ve),
+{_fold_sql("vt", "dn", _IN_COLUMN, _DOWN_JOIN, "y2", "cf")},
+ab AS (SELECT *, lag(y2) OVER w AS ly, lag(x1) OVER w AS lx, lag(font_size) OVER w AS lf, lag(column_index) OVER w AS lc, lag(t) OVER w AS lt FROM dn
+  WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY column_index, y1, x1, box_no))
+SELECT doc_id, page_num, column_index, box_no, x1, y1, x2, y2, type, merged AS merged_boxes, y1 - ly AS y_gap, abs(x1 - lx) AS x_delta, abs(font_size - lf) AS font_delta,
+  column_index = lc AS same_column, NOT regexp_matches(lt, '[。！？.!?;；:：]$') AND length(lt) > 0 AS continuation FROM ab"""
+
+
 def half_columns(s, d):
     """Column index known by construction: odd boxes sit in the second column."""
     return marked_boxes(s, d).withColumn("column_index", (col("box_no") % 2).cast("int"))
@@ -186,9 +219,9 @@ SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY r), '') AS keywords FROM do
 SELECT doc_id, page_num, CAST(least(3, 1 + sum(CASE WHEN gap > 50 THEN 1 ELSE 0 END)) AS INTEGER) AS column_count FROM g GROUP BY doc_id, page_num""",
     ),
     "page_columns": (columns, COLUMNS_SQL),
-    "horizontal_merge": (merged, None),
-    "vertical_merge": (vertical_shown, None),
-    "downward_merge": (downward, None),
+    "horizontal_merge": (merged, HORIZONTAL_SQL),
+    "vertical_merge": (vertical_shown, VERTICAL_SQL),
+    "downward_merge": (downward, DOWNWARD_SQL),
     "table_captions": (captions, CAPTION_SQL),
     "uncovered_boxes": (
         lambda s, d: L.uncovered_boxes(B.boxes(s, d), shifted(s, d)).select("doc_id", "page_num", "box_no"),
