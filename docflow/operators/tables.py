@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import has_text
@@ -70,10 +70,25 @@ def active_alerts(df: DataFrame) -> DataFrame:
     return df.where(F.col("status") == "ACTIVE")
 
 
-def upsert_vectors(target: DataFrame, updates: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Insert or replace by key. Updates hold each key once."""
+def _one_per_key(updates: DataFrame, key: str, newest: str | None) -> DataFrame:
+    """Each key once: refused if repeated, or the row with the largest ``newest`` (ties by content)."""
+    same = Window.partitionBy(key)
+    if newest is None:
+        twice = F.raise_error(F.lit(f"updates repeat a {key}")).cast(updates.schema[key].dataType)
+        counted = updates.withColumn("_copies", F.count(F.lit(1)).over(same))
+        return counted.withColumn(key, F.when(F.col("_copies") > 1, twice).otherwise(F.col(key))).drop("_copies")
+    last = same.orderBy(F.col(newest).desc_nulls_last(), F.xxhash64(*updates.columns))
+    return updates.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place")
+
+
+def upsert_vectors(target: DataFrame, updates: DataFrame, key: str = "chunk_id", newest: str | None = None) -> DataFrame:
+    """Insert or replace by key.
+
+    Updates that repeat a key raise an error; with ``newest`` the row with the largest
+    value in that column is taken.
+    """
     kept = target.join(updates.select(key), key, "left_anti")
-    return kept.unionByName(updates, allowMissingColumns=True)
+    return kept.unionByName(_one_per_key(updates, key, newest), allowMissingColumns=True)
 
 
 def delete_by(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Corpus export, reports, append-only logs and keyed table rewrites."""
+"""Corpus export, reports and append-only logs; keyed tables are in ``buckets``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.operators.tables import upsert_vectors
+from docflow.sources.buckets import read_buckets, replace_path, upsert_path, vacuum, write_buckets
 
-BUCKETS = 256
+__all__ = [
+    "append_events", "read_buckets", "replace_path", "upsert_path", "vacuum", "write_buckets", "write_corpus", "write_report",
+]
 
 
 def write_corpus(exported: DataFrame, manifest: DataFrame, path: str) -> None:
@@ -31,61 +33,3 @@ def append_events(df: DataFrame, path: str, status: str = "RUNNING") -> None:
     else:
         df = df.withColumn("status", F.lit(status))
     df.write.mode("append").parquet(path)
-
-
-def with_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
-    """Full write, one directory per key bucket.
-
-    Rows are spread by key inside a bucket too, so a hot bucket is several files.
-    """
-    spread = with_bucket(df, key, buckets).repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8)))
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
-
-
-def _rewrite(spark: SparkSession, path: str, merged: DataFrame, key: str, touched: list[int]) -> None:
-    """Write the touched buckets anew, eight files each at most; buckets without rows go."""
-    left = {r[0] for r in merged.select("bucket").distinct().collect()}  # at most the touched buckets
-    spread = merged.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for bucket in set(touched) - left:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def upsert_path(
-    spark: SparkSession, path: str, updates: DataFrame, key: str, buckets: int = BUCKETS
-) -> None:
-    """Insert or replace by ``key``; only the buckets that change are read and written."""
-    new = with_bucket(updates, key, buckets)
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
-    if not touched:
-        return
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    _rewrite(spark, path, upsert_vectors(old, new, key), key, touched)
-
-
-def replace_path(
-    spark: SparkSession, path: str, new_chunks: DataFrame, buckets: int = BUCKETS, replaced: DataFrame | None = None
-) -> None:
-    """Replace whole documents in a table bucketed by ``doc_id``; safe to repeat.
-
-    ``replaced`` (doc_id) names documents whose old rows go even if they have no new ones.
-    """
-    new = with_bucket(new_chunks, "doc_id", buckets)
-    ids = new.select("doc_id", "bucket")
-    if replaced is not None:
-        ids = ids.unionAll(with_bucket(replaced.select(F.col("doc_id").cast(new.schema["doc_id"].dataType)), "doc_id", buckets))
-    touched = [r[0] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets``
-    if not touched:
-        return
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    kept = old.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-    _rewrite(spark, path, kept.unionByName(new, allowMissingColumns=True), "doc_id", touched)

@@ -21,7 +21,7 @@ from docflow.hooks import Embedder
 from docflow.operators.observability import clamp_hours
 from docflow.plans.ingest import ingest
 from docflow.session import work_path
-from docflow.sources.writers import replace_path, write_buckets
+from docflow.sources.buckets import replace_path, table_exists, write_buckets
 from docflow.streaming import state
 from docflow.streaming.batch import STATE, decode_messages, metric_slices
 from docflow.streaming.state import (
@@ -81,7 +81,7 @@ def ingest_stream(
         try:
             out = ingest(newest, embedder)
             for df, path in ((out.chunks, chunk_path), (out.vectors, vector_path)):
-                if _exists(spark, path):
+                if table_exists(spark, path):
                     replace_path(spark, path, df, buckets, newest.select("doc_id"))
                 else:
                     write_buckets(df, path, "doc_id", buckets)
@@ -96,12 +96,6 @@ def ingest_stream(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(target) and len(fs.listStatus(target)) > 0
-
-
 BUCKET = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("last", T.LongType())])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docflow.catalog import base as B
@@ -12,7 +13,7 @@ from docflow.operators import chunking as C
 from docflow.operators import evaluation as E
 from docflow.operators import segments as S
 from docflow.session import work_path
-from docflow.sources import readers, writers
+from docflow.sources import buckets, readers, writers
 
 
 def test_json_envelopes(spark, tmp_path):
@@ -71,3 +72,54 @@ def test_nested_and_row_paths_agree(spark, sf):
     rows = S.heading_paths(CC.blocks(spark, sf)).where("level > 0").select("doc_id", F.col("block_no").alias("start_order"), "heading_path")
     segs = S.segment_text(B.markdown(spark, sf)).where("type = 'heading'").select("doc_id", "start_order", "heading_path")
     assert rows.exceptAll(segs).count() == 0 and segs.exceptAll(rows).count() == 0
+
+
+def _table(spark, lo, hi, v):
+    return spark.range(lo, hi).select(F.col("id").cast("string").alias("chunk_id"), F.lit(v).alias("v"), F.col("id").alias("n"))
+
+
+def test_a_broken_write_leaves_the_table(spark):
+    """A failure between two buckets, or before the manifest, is not seen by readers; the next write goes on."""
+    path = work_path(spark, "t")
+    buckets.write_buckets(_table(spark, 0, 200, "old"), path, "chunk_id", 8)
+    before = sorted(map(tuple, buckets.read_buckets(spark, path).collect()))
+    fail = F.when(F.col("chunk_id") == "150", F.raise_error(F.lit("lost")).cast("string")).otherwise("new")
+    with pytest.raises(Exception, match="lost"):
+        buckets.upsert_path(spark, path, _table(spark, 100, 300, "new").withColumn("v", fail), "chunk_id", 8)
+    assert sorted(map(tuple, buckets.read_buckets(spark, path).collect())) == before
+    with pytest.raises(Exception, match="repeat"):
+        buckets.upsert_path(spark, path, _table(spark, 5, 9, "x").unionAll(_table(spark, 7, 8, "y")), "chunk_id", 8)
+    assert sorted(map(tuple, buckets.read_buckets(spark, path).collect())) == before
+    reader = buckets.read_buckets(spark, path)
+    buckets.upsert_path(spark, path, _table(spark, 190, 210, "new"), "chunk_id", 8)
+    assert sorted(map(tuple, reader.collect())) == before
+    got = {r.chunk_id: r.v for r in buckets.read_buckets(spark, path).collect()}
+    assert got == {str(i): "new" if i >= 190 else "old" for i in range(210)}
+    buckets.vacuum(spark, path)
+    assert {r.chunk_id: r.v for r in buckets.read_buckets(spark, path).collect()} == got
+
+
+def test_repeated_updates_are_reduced(spark):
+    path = work_path(spark, "t")
+    buckets.write_buckets(_table(spark, 0, 10, "old"), path, "chunk_id", 4)
+    twice = _table(spark, 8, 12, "a").unionAll(_table(spark, 8, 12, "b").withColumn("n", F.col("n") + 100))
+    buckets.upsert_path(spark, path, twice, "chunk_id", 4, newest="n")
+    got = {r.chunk_id: r.v for r in buckets.read_buckets(spark, path).collect()}
+    assert got == {str(i): "b" if i >= 8 else "old" for i in range(12)}
+
+
+def test_the_second_of_two_writers_is_refused(spark, monkeypatch):
+    path = work_path(spark, "t")
+    buckets.write_buckets(_table(spark, 0, 10, "old"), path, "chunk_id", 4)
+    keep = buckets._commit
+
+    def late(folder, version, *rest):
+        monkeypatch.setattr(buckets, "_commit", keep)
+        buckets.upsert_path(spark, path, _table(spark, 0, 5, "first"), "chunk_id", 4)
+        return keep(folder, version, *rest)
+
+    monkeypatch.setattr(buckets, "_commit", late)
+    with pytest.raises(buckets.Conflict):
+        buckets.upsert_path(spark, path, _table(spark, 3, 8, "second"), "chunk_id", 4)
+    got = {r.chunk_id: r.v for r in buckets.read_buckets(spark, path).collect()}
+    assert got == {str(i): "first" if i < 5 else "old" for i in range(10)}
