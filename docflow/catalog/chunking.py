@@ -10,6 +10,7 @@ from docflow.catalog.text import strip, tok
 from docflow.functions.structure import markdown_level, markdown_title
 from docflow.operators import chunking as C
 from docflow.operators import segments as S
+from docflow.operators.markdown import markdown_normalize
 from docflow.operators.ordered import lead, ordered, slicing
 from docflow.plans.ingest import ingest
 
@@ -196,7 +197,7 @@ SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '^\s+|\s+$', '
 # Every line of the Markdown texts is a block of its own.
 MARKED_SQL = r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
 b AS (SELECT doc_id, i, CASE WHEN i % 11 IN (0, 4, 6) THEN concat(CASE i % 11 WHEN 0 THEN '# ' WHEN 4 THEN '### ' ELSE '## ' END, regexp_replace(line, '\s+#*\s*$', ''), chr(10), chr(10))
-  WHEN i % 11 IN (7, 8) THEN concat('- ', trim(line), chr(10), chr(10), chr(10)) WHEN i % 11 = 9 THEN concat('| a | ', line, ' |', chr(10), chr(10))
+  WHEN i % 11 IN (7, 8) THEN concat('- ', trim(line), chr(10), chr(10), chr(10), CASE WHEN i % 11 = 8 THEN chr(10) ELSE '' END) WHEN i % 11 = 9 THEN concat('| a | ', line, ' |', chr(10), chr(10))
   WHEN regexp_matches(line, '\S') THEN concat(trim(line), chr(10), chr(10)) ELSE '' END AS t FROM l)
 SELECT doc_id, regexp_replace(string_agg(t, '' ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM b GROUP BY doc_id"""
 
@@ -255,6 +256,6 @@ SELECT label, vec_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM
         SEGMENTS_SQL + "SELECT doc_id, concat('seg-', s) AS segment_id, type, content, path AS heading_path, s AS start_order, e AS end_order, CAST(level AS INTEGER) AS heading_level FROM sg",
     ),
     "html_pages": (lambda s, d: S.html_to_markdown(B.load(s, d, "pages")), PAGES_SQL),
-    "markdown_texts": (lambda s, d: S.markdown_normalize(B.markdown(s, d)), MARKED_SQL),
+    "markdown_texts": (lambda s, d: markdown_normalize(B.markdown(s, d)), MARKED_SQL),
     "ingested_chunks": (ingested, None),
 }

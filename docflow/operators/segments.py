@@ -26,9 +26,6 @@ PIECES = T.ArrayType(
         [T.StructField("kind", _TEXT), T.StructField("no", _INT), T.StructField("parts", T.ArrayType(_SPAN))]
     )
 )
-BLOCKS = T.ArrayType(
-    T.StructType([T.StructField("kind", _TEXT), *[T.StructField(n, _INT) for n in ("s", "e", "no", "top")]])
-)
 
 
 def segment_documents(df: DataFrame, doc_type: str = "md", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -334,104 +331,3 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
     whole = F.array_join(F.transform("_pieces", render), "")
     tidy = F.regexp_replace(whole, r"\n{3,}", "\n\n")
     return pieces.select(key, F.regexp_replace(tidy, r"^\s+|\s+$", "").alias("text"))
-
-
-# --- Markdown --------------------------------------------------------------
-
-
-def markdown_blocks(kinds: list[str]) -> list[dict]:
-    """Line kinds of a text to blocks; a list item knows its place and its first item."""
-    out, i, n, number, top = [], 0, len(kinds), 0, 0
-    while i < n:
-        kind, start = kinds[i], i
-        if kind == "fence":
-            i += 1
-            while i < n and kinds[i] != "fence":
-                i += 1
-            out.append({"kind": "fence", "s": start, "e": min(i + 1, n), "no": 0, "top": start})
-        elif kind == "blank":
-            pass
-        elif kind == "heading":
-            out.append({"kind": "heading", "s": i, "e": i + 1, "no": 0, "top": i})
-        elif kind in ("bullet", "number"):
-            previous = out[-1] if out else {}
-            same = previous.get("kind") == kind
-            number, top = (number + 1, top) if same else (0, start)
-            while i + 1 < n and kinds[i + 1] in ("text", "indent"):
-                i += 1
-            out.append({"kind": kind, "s": start, "e": i + 1, "no": number, "top": top})
-        elif kind == "indent":
-            while i + 1 < n and kinds[i + 1] == "indent":
-                i += 1
-            out.append({"kind": "code", "s": start, "e": i + 1, "no": 0, "top": start})
-        else:
-            while i + 1 < n and kinds[i + 1] in ("text", "indent"):
-                i += 1
-            out.append({"kind": "text", "s": start, "e": i + 1, "no": 0, "top": start})
-        i += 1
-    return out
-
-
-@F.pandas_udf(BLOCKS)
-def _markdown_blocks_udf(kinds: pd.Series) -> pd.Series:
-    return pd.Series([None if k is None else markdown_blocks(list(k)) for k in kinds])
-
-
-def markdown_normalize(df: DataFrame) -> DataFrame:
-    """Markdown to plain structured text: (doc_id, text).
-
-    Headings, list marks, fences and inline code stay; emphasis and link marks
-    go. Covers the common block syntax, line based.
-    """
-    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")
-
-    def kind(s: Column) -> Column:
-        return (
-            F.when(s.rlike(r"^ {0,3}```"), "fence")
-            .when(~has_text(s), "blank")
-            .when(s.rlike(r"^ {0,3}#{1,6}(\s|$)"), "heading")
-            .when(s.rlike(r"^ {0,3}[-*+]\s+"), "bullet")
-            .when(s.rlike(r"^ {0,3}\d{1,9}[.)]\s+"), "number")
-            .when(s.rlike(r"^( {4}|\t)"), "indent")
-            .otherwise("text")
-        )
-
-    base = df.select("doc_id", lines.alias("_l"))
-    blocks = settle(base).withColumn("_k", _markdown_blocks_udf(F.transform("_l", kind)))
-
-    def inline(s: Column) -> Column:
-        s = F.regexp_replace(s, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-        # a run of marks opens before a character and closes behind one; inner emphasis first
-        for _ in range(2):
-            s = F.regexp_replace(s, r"(?<!\*)(\*{1,3})(?=[^\s*])([^*]+)(?<=[^\s*])\1(?!\*)", "$2")
-            s = F.regexp_replace(s, r"(?<!\w)(_{1,3})(?=[^\s_])([^_]+)(?<=[^\s_])\1(?!\w)", "$2")
-        return s
-
-    def body(b: Column) -> Column:
-        part = F.slice("_l", b["s"] + 1, b["e"] - b["s"])
-        return F.array_join(F.transform(part, lambda s: F.trim(s)), "\n")
-
-    def render(b: Column) -> Column:
-        first = F.col("_l")[b["s"]]
-        raw = F.array_join(F.slice("_l", b["s"] + 1, b["e"] - b["s"]), "\n")
-        open_fence = F.regexp_extract(first, r"^ {0,3}```\s*(.*?)\s*$", 1)
-        last = F.col("_l")[b["e"] - 1]
-        closed = (b["e"] - b["s"] > 1) & last.rlike(r"^ {0,3}```")
-        code_lines = F.slice("_l", b["s"] + 2, b["e"] - b["s"] - 1 - F.when(closed, 1).otherwise(0))
-        unindented = F.regexp_replace(raw, r"(?m)^( {4}|\t)", "")
-        marks = F.regexp_extract(first, r"^ {0,3}(#{1,6})", 1)
-        title = F.regexp_replace(first, r"^ {0,3}#{1,6}\s*|\s+#*\s*$", "")
-        item = F.regexp_replace(body(b), r"^([-*+]|\d{1,9}[.)])\s+", "")
-        start = F.regexp_extract(F.col("_l")[b["top"]], r"^ {0,3}(\d{1,9})[.)]", 1)
-        start = (start.try_cast("int") + b["no"]).cast("string")
-        return (
-            F.when(b["kind"] == "heading", F.concat(marks, F.lit(" "), inline(title), F.lit("\n\n")))
-            .when(b["kind"] == "bullet", F.concat(F.lit("- "), inline(item), F.lit("\n\n\n")))
-            .when(b["kind"] == "number", F.concat(start, F.lit(". "), inline(item), F.lit("\n\n\n")))
-            .when(b["kind"] == "fence", F.concat(F.lit("```"), open_fence, F.lit("\n"), F.array_join(code_lines, "\n"), F.lit("\n```\n\n")))
-            .when(b["kind"] == "code", F.concat(F.lit("```\n"), unindented, F.lit("\n```\n\n")))
-            .otherwise(F.concat(inline(body(b)), F.lit("\n\n")))
-        )
-
-    text = F.array_join(F.transform("_k", render), "")
-    return blocks.select("doc_id", F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))

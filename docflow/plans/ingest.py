@@ -16,7 +16,8 @@ from docflow.operators.chunking import (
     chunk_segments,
     chunk_semantic_segments,
 )
-from docflow.operators.segments import html_to_markdown, markdown_normalize, segment_documents
+from docflow.operators.markdown import markdown_normalize
+from docflow.operators.segments import html_to_markdown, segment_documents
 from docflow.session import cut_lineage, stage_by
 from docflow.sources.readers import route_by_type
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import chunking as C
 from docflow.operators import segments as S
+from docflow.operators.markdown import markdown_normalize
 
 MANUAL = "# Bee Keeping\n\nWhat a hive needs.\n\n## Spring\n\n- clean the floor\n- weigh the combs\n"
 
@@ -25,7 +26,7 @@ def segs(spark, *rows):
 
 
 def test_markdown_segments(spark):
-    text = S.markdown_normalize(docs(spark, MANUAL))
+    text = markdown_normalize(docs(spark, MANUAL))
     rows = S.segment_text(text).orderBy("segment_no").collect()
     assert [r.type for r in rows] == ["heading", "paragraph", "heading", "list"]
     assert rows[1].heading_path == "Bee Keeping"
@@ -34,21 +35,21 @@ def test_markdown_segments(spark):
 
 
 def test_markdown_keeps_headings_and_fences(spark):
-    text = "# Title\n\nIntro **bold** [link](http://x).\n\n## Details\n\n```java\nSystem.out.println(\"hi\");\n```\n\n3. a\n4. b\n"
-    got = S.markdown_normalize(docs(spark, text)).first().text
-    for part in ("# Title", "Intro bold link.", "## Details", "```java\nSystem.out.println(\"hi\");\n```", "3. a", "4. b"):
+    text = "# Kiln Log\n\nFire **slowly** and [vent](http://x).\n\n## Glazes\n\n```toml\ncone = 6\nhold = \"20m\"\n```\n\n3. a\n4. b\n"
+    got = markdown_normalize(docs(spark, text)).first().text
+    for part in ("# Kiln Log", "Fire slowly and vent.", "## Glazes", "```toml\ncone = 6\nhold = \"20m\"\n```", "3. a", "4. b"):
         assert part in got
 
 
 def test_html(spark):
-    html = """<!doctype html><html><head><title>x</title></head><body><h1>Guide</h1><p>Overview &amp; more &#233; &lt;b&gt;</p>
+    html = """<!doctype html><html><head><title>x</title></head><body><h1>Orchard</h1><p>Apples &amp; more &#233; &lt;b&gt;</p>
     <ul><li>one</li><li>two<ul><li>in</li></ul></li></ul><ol><li>a<li>b</ol><pre>x  y
- z</pre><table><tr><th>Name</th><th>Value</th></tr><tr><td>Mode|x</td><td>Fast</td></tr><tr><td>only</td></tr></table>
+ z</pre><table><tr><th>Tree</th><th>Row</th></tr><tr><td>Pear|x</td><td>Third</td></tr><tr><td>only</td></tr></table>
     <div>a<div>b</div>c</div><p>first<p>second<script>var a = "<p>no</p>";</script></body></html>"""
     got = S.html_to_markdown(spark.createDataFrame([(1, html)], "page_id long, html string")).first().text
     assert got == (
-        "# Guide\n\nOverview & more é <b>\n\n- one\n- two in\n\n1. a\n2. b\n\n```\nx  y\n z\n```\n\n"
-        "| Name | Value |\n| --- | --- |\n| Mode\\|x | Fast |\n| only |  |\n\na b c\n\nfirst\n\nsecond"
+        "# Orchard\n\nApples & more é <b>\n\n- one\n- two in\n\n1. a\n2. b\n\n```\nx  y\n z\n```\n\n"
+        "| Tree | Row |\n| --- | --- |\n| Pear\\|x | Third |\n| only |  |\n\na b c\n\nfirst\n\nsecond"
     )
 
 
@@ -63,7 +64,7 @@ def test_character_references(spark):
 
 def test_marks_without_emphasis_stay(spark):
     text = "one*** two*** three ** four\n\n**bold *and* more** ***both*** a*b*c snake_case_name _it_ 2 * 3 * 4"
-    got = S.markdown_normalize(docs(spark, text)).first().text
+    got = markdown_normalize(docs(spark, text)).first().text
     assert got == "one*** two*** three ** four\n\nbold and more both abc snake_case_name it 2 * 3 * 4"
 
 
