@@ -210,6 +210,48 @@ g AS (SELECT doc_id, n, 0 AS k, length(t) AS size FROM u WHERE n = 1
 SELECT g.doc_id, CAST(k AS INTEGER) AS chunk_index, string_agg(t, ' ' ORDER BY g.n) AS content FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n GROUP BY g.doc_id, k"""
 
 
+# A piece that is too long is cut at the first separator and packed again, one separator per step.
+_SEPARATORS = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in C.SEPARATORS) + "]"
+RECURSIVE_SQL = f"""WITH RECURSIVE sp AS (SELECT {_SEPARATORS} AS sep),
+pc AS (SELECT doc_id, [0] AS path, text AS t, 1 AS level FROM documents WHERE regexp_matches(text, '\\S') OR length(text) > 1000
+  UNION ALL
+  SELECT doc_id, list_append(path, unnest(range(len(ps)))), unnest(ps), level + 1 FROM (
+    SELECT doc_id, path, level, CASE WHEN contains(t, sep[level]) THEN list_filter(list_append(z.packs, z.cur), lambda x: x <> '') ELSE [t] END AS ps
+    FROM pc, sp, LATERAL (SELECT list_reduce(list_transform(string_split(t, sep[level]), lambda x: {{'packs': CAST([] AS VARCHAR[]), 'cur': x}}), lambda a, x:
+      CASE WHEN a.cur = '' THEN {{'packs': a.packs, 'cur': x.cur}}
+        WHEN length(a.cur) + length(sep[level]) + length(x.cur) > 1000 THEN {{'packs': list_append(a.packs, a.cur), 'cur': x.cur}}
+        ELSE {{'packs': a.packs, 'cur': concat(a.cur, sep[level], x.cur)}} END) AS z) y
+    WHERE length(t) > 1000 AND level <= len(sep)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS chunk_index, t AS content FROM pc, sp WHERE length(t) <= 1000 OR level > len(sep)"""
+
+
+def _similar_sql(units: str) -> str:
+    """Similarity of each unit (doc_id, n, t) with the next one by the hashing embedder."""
+    return rf"""tk AS (SELECT doc_id, n, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{Nd}}]+')) AS tok FROM {units}),
+th AS (SELECT doc_id, n, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS h, count(*) AS c FROM tk GROUP BY ALL),
+sl AS (SELECT doc_id, n, h % 64 AS slot, CAST(sum(CASE WHEN (h // 64) % 2 = 0 THEN c ELSE -c END) AS DOUBLE) AS x FROM th GROUP BY ALL),
+nm AS (SELECT doc_id, n, sqrt(sum(x * x)) AS norm FROM sl GROUP BY ALL),
+dt AS (SELECT a.doc_id, a.n, sum(a.x * b.x) AS dot FROM sl a JOIN sl b ON b.doc_id = a.doc_id AND b.n = a.n + 1 AND b.slot = a.slot GROUP BY ALL),
+si AS MATERIALIZED (SELECT u.doc_id, u.n, coalesce(CASE WHEN a.norm * b.norm > 0 THEN dot / (a.norm * b.norm) END, 0e0) AS sim FROM {units} u LEFT JOIN nm a ON a.doc_id = u.doc_id AND a.n = u.n
+  LEFT JOIN nm b ON b.doc_id = u.doc_id AND b.n = u.n + 1 LEFT JOIN dt ON dt.doc_id = u.doc_id AND dt.n = u.n)"""
+
+
+SEMANTIC_SQL = "WITH RECURSIVE " + SENTENCE_SQL.removeprefix("WITH ") + f""", u AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(hs) + 1)) AS n, unnest(hs) AS t FROM h), {_similar_sql('u')},
+g AS (SELECT doc_id, n, 0 AS k, length(t) AS size FROM u WHERE n = 1
+  UNION ALL SELECT u.doc_id, u.n, CASE WHEN cut THEN k + 1 ELSE k END, CASE WHEN cut THEN length(t) ELSE size + 1 + length(t) END
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n + 1 JOIN si ON si.doc_id = g.doc_id AND si.n = g.n, LATERAL (SELECT size >= 100 AND (size + length(t) > 1500 OR sim < 0.5) AS cut) z)
+SELECT g.doc_id, CAST(k AS INTEGER) AS chunk_index, string_agg(t, ' ' ORDER BY g.n) AS content FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n GROUP BY g.doc_id, k"""
+SEMANTIC_SEGMENT_SQL = SEGMENTS_SQL + f""", u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS n, content AS t, type, s, CASE WHEN regexp_matches(path, '\\S') THEN path ELSE '' END AS path
+  FROM sg WHERE type <> 'heading' AND regexp_matches(content, '\\S')), {_similar_sql('u')},
+g AS (SELECT doc_id, n, 0 AS k, length(t) AS size, path AS own FROM u WHERE n = 1
+  UNION ALL SELECT u.doc_id, u.n, CASE WHEN cut THEN k + 1 ELSE k END, CASE WHEN cut THEN length(t) ELSE size + 2 + length(t) END, CASE WHEN cut OR coalesce(own, '') = '' THEN coalesce(u.path, '') ELSE own END
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n + 1 JOIN si ON si.doc_id = g.doc_id AND si.n = g.n,
+  LATERAL (SELECT (size >= 100 AND (size + length(t) > 1500 OR sim < 0.5)) OR (coalesce(own, '') <> '' AND coalesce(u.path, '') <> '' AND own <> u.path) AS cut) z),
+o AS (SELECT g.doc_id, CAST(k AS INTEGER) AS chunk_index, string_agg(t, concat(chr(10), chr(10)) ORDER BY g.n) AS content, arg_min(NULLIF(path, ''), g.n) AS heading_path, arg_max(type, g.n) AS segment_type,
+  concat('seg-', arg_max(s, g.n)) AS segment_id FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n GROUP BY g.doc_id, k)
+SELECT *, 'semantic' AS chunk_strategy, CAST(length(content) AS INTEGER) AS char_count, {tok('content')} AS token_count FROM o"""
+
+
 ENTRIES: dict[str, B.Entry] = {
     "fixed_chunks": (fixed, FIXED_META_SQL),
     "parent_child_chunks": (
@@ -221,10 +263,10 @@ ENTRIES: dict[str, B.Entry] = {
         lambda s, d: _packed(C.chunk_paragraph(B.markdown(s, d), 400, 2, 100)), _paragraph_sql(B.MARKDOWN_SQL, 400, 2, 100),
     ),
     "structured_chunks": (structured, None),
-    "recursive_chunks": (lambda s, d: _texts(C.chunk_recursive(docs(s, d))), None),
-    "semantic_chunks": (lambda s, d: _texts(C.chunk_semantic(docs(s, d), EMBEDDER)), None),
+    "recursive_chunks": (lambda s, d: _texts(C.chunk_recursive(docs(s, d))), RECURSIVE_SQL),
+    "semantic_chunks": (lambda s, d: _texts(C.chunk_semantic(docs(s, d), EMBEDDER)), SEMANTIC_SQL),
     "semantic_segment_chunks": (
-        lambda s, d: C.chunk_semantic_segments(S.segment_documents(B.markdown(s, d)), EMBEDDER), None,
+        lambda s, d: C.chunk_semantic_segments(S.segment_documents(B.markdown(s, d)), EMBEDDER), SEMANTIC_SEGMENT_SQL,
     ),
     "length_packed_chunks": (lambda s, d: _texts(C.chunk_pack(docs(s, d))), LENGTH_PACKED_SQL),
     "sentences": (

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.catalog import base as B
-from docflow.catalog.retrieval import few, keyword_hits, key_queries
-from docflow.catalog.text import ws
+from docflow.catalog.retrieval import KEYWORD_SQL, few, key_queries, keyword_hits
+from docflow.catalog.text import tok, ws
+from docflow.functions.text import PRICE_PER_1K_TOKENS, REFUSAL_MARKERS
 from docflow.operators import evaluation as E
-from docflow.plans.answer import answer, top_contexts, trace_rows, verify
-from docflow.plans.evaluate import evaluate
+from docflow.plans.answer import EVIDENCE_PROMPT, FAITHFUL_PROMPT, PROMPT, answer, top_contexts, trace_rows, verify
+from docflow.plans.evaluate import PROMPTS, evaluate
 from docflow.plans.retrieve import Retrieval
 from docflow.session import work_path
 from docflow.sources.readers import parse_json_lines
@@ -141,8 +142,6 @@ def quality(s, d):
 
 
 def quality_sql():
-    from docflow.catalog.retrieval import KEYWORD_SQL
-
     return KEYWORD_SQL.replace("{k}", "50") + """, tr AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN labels ON doc_id % 40 = item_id % 40),
 fo AS (SELECT kr.query_id, count(*) AS h, min(rank) AS f FROM kr JOIN tr ON tr.query_id = kr.query_id AND tr.chunk_id = kr.chunk_id GROUP BY ALL), wn AS (SELECT query_id, count(*) AS w FROM tr GROUP BY ALL)
 SELECT count(*) AS queries, round(avg(coalesce(h, 0) / CAST(w AS DOUBLE)), 6) AS recall_at_k, round(avg(coalesce(1e0 / f, 0e0)), 6) AS mrr, round(avg(CASE WHEN h > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM wn LEFT JOIN fo USING (query_id)"""
@@ -170,8 +169,14 @@ def answers(s, d):
     return answer(key_queries(s, d), _found(s, d), echo)
 
 
+TRACE = (
+    "answerState string, estimatedChatInputTokens bigint, estimatedChatOutputTokens bigint, estimatedEmbeddingTokens bigint, estimatedChatInputCost double, "
+    "estimatedChatOutputCost double, estimatedEmbeddingCost double, estimatedTotalTokens bigint, estimatedTotalCost double"
+)
+
+
 def answered(s, d):
-    return trace_rows(answers(s, d)).select("trace_id", "status", "extra_data")
+    return trace_rows(answers(s, d)).select("trace_id", "status", F.from_json("extra_data", TRACE).alias("x")).select("trace_id", "status", "x.*")
 
 
 def verified(s, d):
@@ -188,6 +193,52 @@ def judged(s, d):
     return evaluate(rows, length_judge).results.drop("question", "answer")
 
 
+def _prompt(template: str, *parts: str) -> str:
+    pieces = ["'" + piece.replace("'", "''") + "'" for piece in template.split("%s")]
+    filled = [x for pair in zip(pieces, [f"coalesce({p}, 'null')" for p in parts], strict=False) for x in pair]
+    return f"concat({', '.join([*filled, pieces[-1]])})"
+
+
+def _round6(x: str) -> str:
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def _cost(tokens: str, kind: str) -> str:
+    return _round6(f"{tokens} * {PRICE_PER_1K_TOKENS[kind]}::DOUBLE / 1000.0::DOUBLE")
+
+
+def _judge(prompt: str) -> str:
+    """The stand-in judge in SQL: its score, or null where it gives no JSON or is not asked."""
+    return f"CASE WHEN length({prompt}) % 7 <> 0 THEN CAST(concat('0.', length({prompt}) % 10) AS DOUBLE) END"
+
+
+# The echo repeats the last line of its prompt, which is that of the question.
+ANSWER_CTE = KEYWORD_SQL.replace("{k}", "8") + rf""", bl AS (SELECT query_id, rank, text AS content, concat('[1] doc-', chunk_id, ' <paragraph>', chr(10), text) AS b FROM kr JOIN documents ON doc_id = chunk_id),
+cx AS (SELECT query_id, string_agg(b, concat(chr(10), chr(10)) ORDER BY rank) AS context, count(*) AS blocks, list(content ORDER BY rank) AS contents FROM bl GROUP BY query_id),
+an AS (SELECT item_id AS query_id, text AS query, blocks, contents, {_prompt(PROMPT, "coalesce(context, '')", "text")} AS prompt,
+  regexp_extract(regexp_replace(concat('Question: ', text), '\s+$', ''), '[^
+]*$') AS answer FROM benchmark LEFT JOIN cx ON cx.query_id = item_id)"""
+ANSWERED_SQL = ANSWER_CTE + rf""", tk AS (SELECT query_id, CASE WHEN blocks IS NULL THEN 'empty_retrieval' WHEN NOT regexp_matches(answer, '\S') THEN 'empty_answer'
+  WHEN regexp_matches(regexp_replace(answer, '\s+', '', 'g'), '{"|".join(REFUSAL_MARKERS)}') THEN 'refused' ELSE 'answered' END AS state, {tok('prompt')} AS i, {tok('answer')} AS o, {tok('query')} AS e FROM an),
+co AS (SELECT *, {_cost('i', 'chat_in')} AS ci, {_cost('o', 'chat_out')} AS co, {_cost('e', 'embedding')} AS ce FROM tk)
+SELECT query_id AS trace_id, 'SUCCESS' AS status, state AS "answerState", CAST(i AS BIGINT) AS "estimatedChatInputTokens", CAST(o AS BIGINT) AS "estimatedChatOutputTokens", CAST(e AS BIGINT) AS "estimatedEmbeddingTokens",
+ci AS "estimatedChatInputCost", co AS "estimatedChatOutputCost", ce AS "estimatedEmbeddingCost", CAST(i + o + e AS BIGINT) AS "estimatedTotalTokens", {_round6('ci + co + ce')} AS "estimatedTotalCost" FROM co"""
+VERIFIED_SQL = ANSWER_CTE + rf""", li AS (SELECT *, array_to_string(list_transform(contents, lambda c: concat('- ', c)), chr(10)) AS listed FROM an),
+pr AS (SELECT query_id, contents IS NULL AS none, NOT regexp_matches(answer, '\S') AS blank, {_prompt(EVIDENCE_PROMPT, 'query', "coalesce(listed, '')")} AS pe, {_prompt(FAITHFUL_PROMPT, 'query', "coalesce(listed, '')", 'answer')} AS pf FROM li)
+SELECT query_id, CASE WHEN none THEN false WHEN length(pe) % 7 = 0 THEN true ELSE length(pe) % 2 = 0 END AS sufficient, CASE WHEN none THEN 0e0 ELSE coalesce({_judge('pe')}, 0.8::DOUBLE) END AS evidence_score,
+CASE WHEN none THEN 'No results found' WHEN length(pe) % 7 = 0 THEN 'Parse error' ELSE 'Unknown' END AS evidence_reason, true AS faithful, CASE WHEN blank THEN 1e0 ELSE coalesce({_judge('pf')}, 0.8::DOUBLE) END AS faithful_score,
+CASE WHEN blank THEN 'Empty answer' WHEN length(pf) % 7 = 0 THEN 'Parse error' ELSE 'Unknown' END AS faithful_reason FROM pr"""
+JUDGED_SQL = ANSWER_CTE + rf""", ju AS (SELECT query_id, query, answer, split_part(query, '.', 1) AS truth, contents[1:5] AS c FROM an),
+jc AS (SELECT *, array_to_string(c, concat(chr(10), '---', chr(10))) AS joined, array_to_string(list_transform(c, lambda x, i: concat('[', i, '] ', x, chr(10), chr(10))), '') AS numbered,
+  regexp_matches(answer, '\S') AND c IS NOT NULL AS usable, regexp_matches(truth, '\S') AS known FROM ju),
+jp AS (SELECT query_id, usable, known, {_prompt(PROMPTS['faithfulness'], 'joined', 'query', 'answer')} AS p1, {_prompt(PROMPTS['answer_relevancy'], 'query', 'answer')} AS p2, {_prompt(PROMPTS['context_precision'], 'numbered', 'query', 'truth')} AS p3,
+  {_prompt(PROMPTS['context_recall'], 'joined', 'query', 'truth')} AS p4, {_prompt(PROMPTS['answer_correctness'], 'query', 'answer', 'truth')} AS p5 FROM jc),
+js AS (SELECT query_id, CASE WHEN usable THEN {_judge('p1')} ELSE 0e0 END AS faithfulness, {_judge('p2')} AS answer_relevancy, CASE WHEN known THEN {_judge('p3')} END AS context_precision,
+  CASE WHEN known THEN {_judge('p4')} END AS context_recall, CASE WHEN known THEN {_judge('p5')} END AS answer_correctness FROM jp)
+SELECT query_id AS sample_id, faithfulness, answer_relevancy, context_precision, context_recall, answer_correctness,
+coalesce(list_avg(list_filter([faithfulness, answer_relevancy, context_precision, context_recall, answer_correctness], lambda x: x IS NOT NULL)), 0e0) AS overall FROM js"""
+
+
 ENTRIES: dict[str, B.Entry] = {
     "eval_samples": (samples, SAMPLES_SQL),
     "rule_cases": (
@@ -221,7 +272,7 @@ SELECT round(q.a - p.a, 6) AS pass_rate_delta, round(q.b - p.b, 6) AS answer_acc
     ),
     "rule_evaluation": (rule_cases, RULE_SQL),
     "retrieval_quality": (quality, quality_sql()),
-    "answer_batch": (answered, None),
-    "verified_answers": (verified, None),
-    "judged_answers": (judged, None),
+    "answer_batch": (answered, ANSWERED_SQL),
+    "verified_answers": (verified, VERIFIED_SQL),
+    "judged_answers": (judged, JUDGED_SQL),
 }

@@ -195,6 +195,56 @@ def layout_pages(s, d):
     return L.layout_segments(marked_boxes(s, d), page_table(s, d), "manual").pages.select("doc_id", "page_num", "column_count", "blocks")
 
 
+def figures(s, d):
+    """A wide figure below line 20 of every page that has one."""
+    b = B.boxes(s, d).where("box_no % 40 = 20")
+    place = {"x1": 50.0, "y1": 600.0, "x2": 550.0, "y2": 700.0}
+    return b.select("doc_id", "page_num", (col("box_no") + 1_000_000).alias("box_no"), *(F.lit(v).alias(k) for k, v in place.items()))
+
+
+def figure_segments(s, d):
+    return L.layout_segments(marked_boxes(s, d), page_table(s, d), "table", figures(s, d)).segments.select(
+        "doc_id", "segment_id", "type", "content", "heading_path", "page_num", "column_index", "heading_level", "section_depth", "merged_boxes",
+    )
+
+
+def document_summary(s, d):
+    return L.layout_segments(marked_boxes(s, d), page_table(s, d), "paper", figures(s, d)).documents
+
+
+# From merged boxes to segments: reading order, levels, the heading stack.
+_NO_FIGURES = _TWO_COLUMNS.replace("ic AS", "ib AS") + ", ic AS (SELECT * FROM ib)"
+_FIGURES = _TWO_COLUMNS.replace("ic AS", "ib AS") + """, ic AS (SELECT doc_id, page_num, box_no, x1, y1, x2, y2, font_size, bold, baseline, t, type, merged, column_index FROM ib
+  UNION ALL SELECT doc_id, page_num, box_no + 1000000, 50, 600, 550, 700, 0, false, NULL, '[Figure]', 'Figure', 1, 0 FROM b WHERE box_no % 40 = 20)"""
+
+
+def _cands(source: str) -> str:
+    return f"WITH RECURSIVE {BASE_SQL}, {MARKED_SQL}, {source}, {_fold_sql('ic', 've', _IN_COLUMN, _COLUMN_JOIN, 'y2', 'cf')}, {_fold_sql('ve', 'ca', _IN_COLUMN, _DOWN_JOIN, 'y2', 'cf')}"
+
+
+def _segments_sql(source: str, kept: str = "true") -> str:
+    return f"""{_cands(source)},
+od AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, column_index, y1, x1, box_no) - 1 AS ro, CASE type WHEN 'Title' THEN 'heading' WHEN 'List' THEN 'list' WHEN 'Table' THEN 'table' WHEN 'Caption' THEN 'caption'
+  WHEN 'Figure' THEN 'figure' ELSE 'paragraph' END AS kind FROM ca WHERE length(t) > 0),
+lv AS (SELECT *, CASE WHEN kind <> 'heading' THEN 0 WHEN font_size / baseline >= 1.6::DOUBLE THEN 1 WHEN font_size / baseline >= 1.4::DOUBLE THEN 2 ELSE 3 END AS level FROM od),
+st AS (SELECT doc_id, -1::BIGINT AS ro, CAST([] AS VARCHAR[]) AS stack FROM (SELECT DISTINCT doc_id FROM lv)
+  UNION ALL SELECT st.doc_id, lv.ro, CASE WHEN level > 0 THEN list_append(stack[1:level - 1], t) ELSE stack END FROM st JOIN lv ON lv.doc_id = st.doc_id AND lv.ro = st.ro + 1),
+sg AS (SELECT lv.*, stack FROM lv JOIN st ON st.doc_id = lv.doc_id AND st.ro = lv.ro WHERE {kept})"""
+
+
+def _segment_rows(source: str, kept: str = "true") -> str:
+    return _segments_sql(source, kept) + """ SELECT doc_id, concat('pdf-seg-', ro) AS segment_id, kind AS type, CASE WHEN level > 0 THEN concat(repeat('#', level), ' ', t) ELSE t END AS content,
+  CASE WHEN len(stack) > 0 THEN array_to_string(stack, ' > ') END AS heading_path, page_num, column_index, CASE WHEN level > 0 THEN level END AS heading_level,
+  CAST(CASE WHEN level > 0 THEN level WHEN len(stack) > 0 THEN len(stack) + 1 END AS INTEGER) AS section_depth, merged AS merged_boxes FROM sg"""
+
+
+LAYOUT_PAGES_SQL = _cands(_NO_FIGURES) + """ SELECT p.doc_id, p.page_num, coalesce(CAST(max(column_index) + 1 AS INTEGER), 1) AS column_count, count(ca.doc_id) AS blocks
+  FROM (SELECT DISTINCT doc_id, page_num FROM b) p LEFT JOIN ca ON ca.doc_id = p.doc_id AND ca.page_num = p.page_num GROUP BY ALL"""
+LAYOUT_DOCUMENTS_SQL = _segments_sql(_FIGURES) + """ SELECT p.doc_id, p.page_count, p.detected_columns, s.n AS segment_count, 'paper' AS parse_strategy FROM
+  (SELECT doc_id, count(*) AS page_count, max(c) AS detected_columns FROM (SELECT doc_id, page_num, CAST(max(column_index) + 1 AS INTEGER) AS c FROM ca GROUP BY ALL) GROUP BY doc_id) p
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM sg GROUP BY doc_id) s ON s.doc_id = p.doc_id"""
+
+
 def sheets(s, d):
     """Cells of the lines as sheet rows."""
     return L.rows_to_html(B.lines(s, d).select(col("doc_id").alias("sheet"), col("line_no").alias("row_no"), F.split("line", " ").alias("cells")), 25)
@@ -239,8 +289,10 @@ SELECT doc_id, box_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_num,
     ),
     "section_roles": (roles, ROLES_SQL),
     "title_levels": (levels, LEVELS_SQL),
-    "layout_segments": (segments, None),
-    "layout_pages": (layout_pages, None),
+    "layout_segments": (segments, _segment_rows(_NO_FIGURES)),
+    "layout_figures": (figure_segments, _segment_rows(_FIGURES, "kind <> 'caption'")),
+    "layout_documents": (document_summary, LAYOUT_DOCUMENTS_SQL),
+    "layout_pages": (layout_pages, LAYOUT_PAGES_SQL),
     "plain_block_segments": (
         lambda s, d: L.blocks_to_segments(B.boxes(s, d)),
         f"""WITH b AS ({B.BOXES_SQL}), k AS (SELECT * FROM b WHERE length(trim(text)) > 0), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY box_no) AS st FROM k)

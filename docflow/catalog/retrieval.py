@@ -74,12 +74,14 @@ def few(s, d, k=20):
 
 
 def rrf(s, d):
-    """Two keyword lists per question: its own, and one for a rewrite without its first word."""
+    """Two keyword lists per question: its own, and one for a rewrite without its first word. One pass finds both."""
     q = key_queries(s, d)
-    short = q.withColumn("query", F.regexp_replace("query", r"^\S+\s*", ""))
-    a = R.keyword_topk(q, key_chunks(s, d), 20).withColumn("leg", F.lit(0))
-    b = R.keyword_topk(short, key_chunks(s, d), 20).withColumn("leg", F.lit(1))
-    return R.rrf_fuse(a.unionByName(b), 10).select(
+    both = q.select((col("query_id") * 2).alias("query_id"), "query").unionByName(
+        q.select((col("query_id") * 2 + 1).alias("query_id"), F.regexp_replace("query", r"^\S+\s*", "").alias("query"))
+    )
+    hits = R.keyword_topk(both, key_chunks(s, d), 20)
+    legs = hits.withColumn("leg", (col("query_id") % 2).cast("int")).withColumn("query_id", F.floor(col("query_id") / 2))
+    return R.rrf_fuse(legs, 10).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "first_leg", F.round("first_score", 6).alias("first_score"), "lists",
     )
 
@@ -234,11 +236,12 @@ def hybrid(s, d):
 
 
 def multi_query(s, d):
-    """Questions with rewrites: their own lines."""
+    """Questions with rewrites: each of their own lines."""
     chunks = key_chunks(s, d)
     vectors = embed_once(chunks.select("chunk_id", "content"), "content", EMBEDDER).select("chunk_id", "embedding")
-    q = key_queries(s, d).withColumn("response", col("query")).withColumn("query", F.substring_index("query", "\n", 1))
-    found = retrieve(q, chunks, vectors, EMBEDDER, rewrites=3, keyword_threshold=0.1, threshold=0.1, rerank=False)
+    q = key_queries(s, d).withColumn("response", col("query"))
+    most = q.agg(F.max(F.size(F.split("query", "\n")))).first()[0] or 1
+    found = retrieve(q, chunks, vectors, EMBEDDER, rewrites=most + 1, keyword_threshold=0.1, threshold=0.1, rerank=False)
     return found.hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -270,6 +273,22 @@ SELECT query_id, string_agg(blk, concat(chr(10), chr(10)) ORDER BY rk) AS contex
 )
 
 
+_ASKED = "(SELECT concat(query_id, '#', n) AS item_id, text FROM aq)"
+MULTI_SQL = (
+    r"""WITH RECURSIVE al AS (SELECT item_id AS query_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')),
+  lambda l: regexp_matches(l, '\S') AND l <> text) AS ls FROM benchmark),
+ak AS (SELECT query_id, CASE WHEN regexp_matches(text, '\S') THEN list_concat([text], ls) ELSE [text] END AS qs FROM al),
+aq AS (SELECT query_id, unnest(range(len(qs))) AS n, unnest(qs) AS text FROM ak), """
+    + KEYWORD_SQL.strip().removeprefix("WITH ").replace("{k}", "8").replace("FROM benchmark", f"FROM {_ASKED}")
+    + "," + HYBRID_VECTORS_SQL.replace("FROM benchmark", f"FROM {_ASKED}").replace("SELECT 'd' AS side, doc_id AS id", "SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id")
+    + r""", lg AS (SELECT split_part(query_id, '#', 1)::BIGINT AS query_id, chunk_id::BIGINT AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id::BIGINT) AS r FROM vn WHERE score >= 0.1
+  UNION ALL SELECT split_part(query_id, '#', 1)::BIGINT, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM kr WHERE score >= 0.1),
+fs AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + r)), 12) AS score FROM lg GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fs QUALIFY rank <= 8"""
+).replace("vv AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pr QUALIFY rank <= 8)",
+          "vn AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id::BIGINT) AS rank FROM pr QUALIFY rank <= 8)")
+
+
 def _vec(cond: str, k: int = 8) -> str:
     return ("WITH" + VECTOR_SQL).replace("{cond}", cond).replace("{k}", str(k))
 
@@ -314,5 +333,5 @@ CAST(NULL AS VARCHAR) AS heading_path, 'paragraph' AS segment_type, CAST(NULL AS
     "query_rewrites": (rewrites, REWRITE_SQL),
     "embed_once": (embedded_once, EMBED_SQL),
     "hybrid_retrieval": (hybrid, HYBRID_SQL),
-    "multi_query_retrieval": (multi_query, None),
+    "multi_query_retrieval": (multi_query, MULTI_SQL),
 }
