@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from docflow.llm.blocks import raw_bytes, runs_of_rows, text_or_empty
 
 BUCKETS = 1 << 15
+SCORED = 1 << 20  # numbers of the matrix that are gathered together
 MAX_CLASSES = 256
 SLICE_BYTES = 1 << 20
 LABELS_HELD = 64
@@ -115,11 +116,21 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_classes: int =
 
 
 def scores(texts: list[str], model: LanguageModel) -> np.ndarray:
-    """Posterior probabilities, texts x labels."""
+    """Posterior probabilities, texts x labels.
+
+    The n-grams of a text are counted per bucket first; the sparse rows then meet the
+    matrix so many counts at a time that an array of SCORED numbers holds them.
+    """
     buckets, owner = ngram_buckets(texts)
-    order = np.argsort(owner, kind="stable")
-    starts = np.searchsorted(owner[order], np.arange(len(texts)))
-    log = np.add.reduceat(model.weight[buckets[order]], starts, axis=0) + model.prior
+    cells, n = np.unique(owner.astype(np.int64) * BUCKETS + buckets, return_counts=True)
+    owner, buckets = np.divmod(cells, BUCKETS)
+    log = np.tile(model.prior, (len(texts), 1))
+    step = max(1, SCORED // max(1, len(model.labels)))
+    for at in range(0, len(cells), step):
+        own = owner[at : at + step]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+        part = model.weight[buckets[at : at + step]] * n[at : at + step, None]
+        log[own[starts]] += np.add.reduceat(part, starts, axis=0)
     odds = np.exp(log - log.max(axis=1, keepdims=True))
     return odds / odds.sum(axis=1, keepdims=True)
 

@@ -46,65 +46,84 @@ def target_tokens(sizes: dict, weights: dict, share: Fraction, limit: int = 2) -
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths (queue-based Bellman-Ford)."""
+    """Flow by blocking flows along levels of a breadth-first search."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for start, end, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def arc(self, a: int, b: int, room: int) -> int:
+        for start, end, r in ((a, b, room), (b, a, 0)):
             self.out[start].append(len(self.to))
             self.to.append(end)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
+    def _levels(self, source: int, sink: int) -> list[int] | None:
+        level, queue = [-1] * len(self.out), deque([source])
+        level[source] = 0
+        while queue:
+            a = queue.popleft()
+            for e in self.out[a]:
+                if self.room[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level if level[sink] >= 0 else None
+
     def run(self, source: int, sink: int) -> None:
-        while True:
-            dist, via, queued = {source: 0}, {}, {source}
-            queue = deque([source])
-            while queue:
-                a = queue.popleft()
-                queued.discard(a)
-                for e in self.out[a]:
-                    b, d = self.to[e], dist[a] + self.cost[e]
-                    if self.room[e] and d < dist.get(b, d + 1):
-                        dist[b], via[b] = d, e
-                        if b not in queued:
-                            queued.add(b)
-                            queue.append(b)
-            if sink not in dist:
-                return
-            path, at = [], sink
-            while at != source:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            amount = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
+        """Send as much more as there is room for."""
+        while (level := self._levels(source, sink)) is not None:
+            tried, path, at = [0] * len(self.out), [], source
+            while True:
+                if at == sink:
+                    amount = min(self.room[e] for e in path)
+                    full = None
+                    for i, e in enumerate(path):
+                        self.room[e] -= amount
+                        self.room[e ^ 1] += amount
+                        if not self.room[e] and full is None:
+                            full = i
+                    at = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                arcs = self.out[at]
+                while tried[at] < len(arcs) and not (self.room[e := arcs[tried[at]]] and level[self.to[e]] == level[at] + 1):
+                    tried[at] += 1
+                if tried[at] < len(arcs):
+                    path.append(arcs[tried[at]])
+                    at = self.to[path[-1]]
+                elif path:
+                    at = self.to[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
 
     def used(self, arc: int) -> int:
         return self.room[arc ^ 1]
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = 2) -> dict[tuple, int]:
-    """Tokens taken from each pattern, given pattern sizes and source quotas in tokens."""
+    """Tokens taken from each pattern, given pattern sizes and source quotas in tokens.
+
+    Only the arc that leads to a pattern has a cost, and the r-th use of all patterns
+    costs the same, less than any later use. Cheapest paths first is therefore layer by
+    layer: all that first uses can send, then what second uses add to it, and so on.
+    """
     order, sources = list(patterns), list(quotas)
     sink = 1 + len(order) + len(sources)
     flow = Flow(sink + 1)
     at = {s: 1 + len(order) + i for i, s in enumerate(sources)}
-    supply = []
     for i, p in enumerate(order, 1):
-        supply.append([flow.arc(0, i, patterns[p], 2 * r - 1) for r in range(1, repeats + 1)])
         for s in p:
-            flow.arc(i, at[s], repeats * patterns[p], 0)
+            flow.arc(i, at[s], repeats * patterns[p])
     for s in sources:
-        flow.arc(at[s], sink, quotas[s], 0)
-    flow.run(0, sink)
+        flow.arc(at[s], sink, quotas[s])
+    supply: list[list[int]] = [[] for _ in order]
+    for _ in range(repeats):
+        for i, p in enumerate(order, 1):
+            supply[i - 1].append(flow.arc(0, i, patterns[p]))
+        flow.run(0, sink)
     return {p: sum(map(flow.used, arcs)) for p, arcs in zip(order, supply, strict=True)}
 
 
