@@ -13,6 +13,7 @@ from docflow.catalog.retrieval import EMBEDDER
 from docflow.operators.tables import latest_state
 from docflow.session import work_path
 from docflow.sources.writers import read_buckets
+from docflow.streaming import alerts as A
 from docflow.streaming import batch as S
 from docflow.streaming import jobs as J
 
@@ -140,6 +141,35 @@ def rolling(s, d):
     return J.rolling_rates(S.metric_slices(B.runs(s, d)), datetime(2024, 1, 31), 360, 360)
 
 
+# The runs are sparse: windows of five days, a few runs are enough.
+ROLLING = dict(hours=120, baseline_hours=120, cfg={"min_samples": 3, "error_rate": 0.1, "error_rise": 0.05, "success_drop": 0.05})
+
+
+def alert_changes(s, d):
+    x = A.changed_alerts(S.metric_slices(B.runs(s, d)), **ROLLING)
+    return x.withColumn("sent_at", col("sent_at").cast("timestamp_ntz"))
+
+
+def alert_changes_stream(s, d):
+    J.use_rocksdb(s)
+    out = finished(A.alert_changes_stream(as_stream(B.runs(s, d), "runs"), **ROLLING), "alert-changes")
+    return out.withColumn("sent_at", col("sent_at").cast("timestamp_ntz"))
+
+
+def _alerts_sql(until: str = "true") -> str:
+    """Both windows before the end of each slice; rates per ten thousand."""
+    sums = ", ".join(f"sum({c}) OVER now AS n_{c}, coalesce(sum({c}) OVER before, 0) AS b_{c}" for c in A.COUNTS)
+    rate = lambda part, whole: f"CASE WHEN {whole} > 0 THEN CAST(floor(10000e0 * {part} / {whole} + 0.5e0) AS BIGINT) ELSE 0 END"
+    return f"""WITH {SLICE_CTE}, tm AS (SELECT *, epoch_ms(slice_start) AS ms FROM sl),
+su AS (SELECT user_id, slice_start, ms, {sums} FROM tm WINDOW now AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 431700000 PRECEDING AND CURRENT ROW),
+  before AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 863700000 PRECEDING AND 432000000 PRECEDING)),
+ra AS (SELECT *, {rate('n_failed', 'n_total')} AS ne, {rate('b_failed', 'b_total')} AS be, 10000 - ({rate('n_empty', 'n_successful')}) AS ng, 10000 - ({rate('b_empty', 'b_successful')}) AS bg FROM su),
+si AS (SELECT user_id, slice_start + INTERVAL '5 minutes' AS sent_at, concat_ws('|', CASE WHEN least(n_total, b_total) >= 3 AND ne >= 1000 AND ne - be >= 500 THEN concat('{A.ERRORS}:ACTIVE:', ne) END,
+  CASE WHEN least(n_successful, b_successful) >= 3 AND bg - ng >= 500 THEN concat('{A.QUALITY}:ACTIVE:', ng) END) AS signature FROM ra),
+ch AS (SELECT *, coalesce(lag(signature) OVER (PARTITION BY user_id ORDER BY sent_at), '') AS last FROM si)
+SELECT user_id, sent_at, signature FROM ch WHERE signature <> last AND {until}"""
+
+
 def _sum(p, cond):
     return ", ".join(f"CAST(coalesce(sum({c}) FILTER ({cond}), 0) AS BIGINT) AS {p}_{c}" for c in ("total", "successful", "failed", "empty"))
 
@@ -175,5 +205,7 @@ ENTRIES: dict[str, B.Entry] = {
         f"""WITH {SLICE_CTE} SELECT user_id, {_sum('current', "slice_start >= TIMESTAMP '2024-01-16 00:00:00'")}, {_sum('baseline', "slice_start < TIMESTAMP '2024-01-16 00:00:00'")} FROM sl
 WHERE slice_start >= TIMESTAMP '2024-01-01 00:00:00' AND slice_start < TIMESTAMP '2024-01-31 00:00:00' GROUP BY user_id""",
     ),
+    "alert_changes": (alert_changes, _alerts_sql()),
+    "alert_changes_stream": (alert_changes_stream, _alerts_sql("sent_at <= (SELECT max(create_time) - INTERVAL '10 minutes' FROM r)")),
     "ingest_stream": (ingest_job, None),
 }

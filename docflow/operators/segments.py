@@ -98,8 +98,10 @@ def heading_paths(blocks: DataFrame, order: str = "block_no", bounded: bool = Fa
     A heading of level l replaces everything from depth l on. With n the number
     of headings so far, its depth is ``n + min(0, running min of (l - n))``, so a
     skipped level needs no recursion; the name at each depth is the last one
-    known there.
+    known there. A level beyond MAX_LEVEL raises an error.
     """
+    refused = F.raise_error(F.concat(F.lit("heading level beyond the largest: "), F.col("level").cast("string")))
+    blocks = blocks.withColumn("level", F.when(F.col("level") > MAX_LEVEL, refused.cast(blocks.schema["level"].dataType)).otherwise(F.col("level")))
     plan = slicing(blocks, ["doc_id"], [order], bounded=bounded)
     is_head = F.col("level") > 0
     counted = ordered(blocks, plan, _n=running_sum(F.when(is_head, 1).otherwise(0)))

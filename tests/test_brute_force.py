@@ -291,20 +291,3 @@ def test_segment_packing(spark, sf, how):
                 break
             i = max(i + 1, j - 1)
         assert got[doc.doc_id] == want
-
-
-def test_alert_job(spark, sf, tmp_path):
-    """The alert job hands on what the batch computes from the same slices."""
-    from docflow.session import work_path
-    from docflow.streaming import jobs as J
-
-    sent = []
-    root = work_path(spark, "alerts")
-    q = J.alert_stream(
-        CS.as_stream(B.runs(spark, sf), "runs"), f"{root}/slices", f"{root}/checkpoint",
-        lambda rates, now: sent.append((now, {tuple(r) for r in rates.collect()})), 360, 360,
-    )
-    q.awaitTermination()
-    now, rates = sent[-1]
-    slices = SB.metric_slices(B.runs(spark, sf)).where(F.col("slice_start") < F.lit(str(now)).cast("timestamp"))
-    assert rates == {tuple(r) for r in J.rolling_rates(slices, now, 360, 360).collect()}
