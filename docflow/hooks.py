@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docflow.session import cut_lineage
+from docflow.sources.buckets import read_buckets, table_exists, upsert_path, write_buckets
+
 Embedder = Callable[[list[str]], np.ndarray]
 TextModel = Callable[[list[str]], Sequence[str]]
 
@@ -55,18 +58,52 @@ def embed_column(embedder: Embedder, batch_size: int = EMBED_BATCH) -> Callable[
     return run
 
 
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _vectors(texts: DataFrame, embedder: Embedder, batch_size: int) -> DataFrame:
+    """(_key, embedding) of the distinct texts of (_key, _text)."""
+    unique = texts.groupBy("_key").agg(F.any_value(F.col("_text")).alias("_text"))
+    return unique.select("_key", embed_column(embedder, batch_size)(F.col("_text")).alias("embedding"))
+
+
 def embed_once(df: DataFrame, text: str, embedder: Embedder, batch_size: int = EMBED_BATCH) -> DataFrame:
     """Add ``embedding``; each distinct text is embedded once, copies share the vector.
 
     The distinct side has one row per text hash; a text with very many copies is
     a skewed join key, which adaptive execution splits.
     """
-    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    unique = keyed.groupBy("_key").agg(F.any_value(F.col(text)).alias("_text"))
-    vectors = unique.select("_key", embed_column(embedder, batch_size)(F.col("_text")).alias("embedding"))
+    keyed = _keyed(df, text)
+    vectors = _vectors(keyed.select("_key", F.col(text).alias("_text")), embedder, batch_size)
     return keyed.join(vectors, "_key").drop("_key")
 
 
+def embed_stored(
+    df: DataFrame, text: str, embedder: Embedder, path: str, batch_size: int = EMBED_BATCH, buckets: int = 64
+) -> DataFrame:
+    """As ``embed_once``, with the vectors kept by text hash in a table at ``path``.
+
+    Hashes are compared with the table before any text moves; only texts it does not
+    hold go to the model, and none if it holds all. A run that fails in between leaves
+    the table as it was.
+    """
+    spark, keyed = df.sparkSession, _keyed(df, text)
+    keys = keyed.select("_key").distinct()
+    there = table_exists(spark, path)
+    if there:
+        keys = keys.join(read_buckets(spark, path).select("_key"), "_key", "left_anti")
+    missing = cut_lineage(keys)
+    if not there or not missing.isEmpty():
+        texts = keyed.select("_key", F.col(text).alias("_text")).join(missing, "_key", "left_semi")
+        fresh = _vectors(texts, embedder, batch_size)
+        if there:
+            upsert_path(spark, path, fresh, "_key", buckets)
+        else:
+            write_buckets(fresh, path, "_key", buckets)
+    return keyed.join(read_buckets(spark, path), "_key").drop("_key")
+
+
 def generate(model: TextModel, batch_size: int = EMBED_BATCH) -> Callable[[Column], Column]:
     """Column function prompt -> response; null where the model fails or the prompt is null.
 

@@ -504,6 +504,15 @@ def chunk_pack(
     ).select("doc_id", "chunk_index", "content", "heading_path", "chunk_strategy", "char_count", "token_count")
 
 
+STRATEGIES = ["fixed", "parent-child", "paper", "manual", "table", "paragraph", "smart", "recursive", "semantic"]
+
+
+def strategy_label(strategy: Column) -> Column:
+    """One of the strategies, "" for none or ``unknown``: a bounded number of values to lay rows out by."""
+    name = F.lower(strip_edges(strategy))
+    return F.when(~F.coalesce(has_text(strategy), F.lit(False)), "").when(name.isin(STRATEGIES), name).otherwise("unknown")
+
+
 CHUNK_COLUMNS = ["doc_id", "chunk_index", "content", "heading_path", "chunk_strategy"]
 
 
@@ -519,7 +528,7 @@ def chunk(
     they already are.
     """
     if not staged:
-        df = stage_by(df, strategy_col)
+        df = stage_by(df.withColumn(strategy_col, strategy_label(F.col(strategy_col))), strategy_col)
     name = F.lower(strip_edges(F.col(strategy_col)))
     d = df.withColumn("_name", F.when(has_text(F.col(strategy_col)), name).otherwise("paragraph"))
     cfg = F.try_parse_json(F.col(config_col))
@@ -527,7 +536,7 @@ def chunk(
     def number(key: str, default: int) -> Column:
         return F.coalesce(F.try_variant_get(cfg, f"$.{key}", "int"), F.lit(default))
 
-    known = ["fixed", "parent-child", "paper", "manual", "table", "paragraph", "smart", "recursive"]
+    known = [n for n in STRATEGIES if n != "semantic"]
     of = lambda *names: d.where(F.col("_name").isin(*names))
     packing = dict(
         max_chars=number("maxChars", 900), overlap=number("overlapParagraphs", 1),

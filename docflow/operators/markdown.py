@@ -318,8 +318,8 @@ _DEFINED = "(?m)^" + _definition(r"((?:[^\[\]\\]|\\.)+)")
 _LEADING = rf"\A(?:{_definition(r'(?:[^\[\]\\]|\\.)+')})+"
 
 
-def markdown_normalize(df: DataFrame) -> DataFrame:
-    """Markdown to plain structured text: (doc_id, text).
+def markdown_normalize(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Markdown to plain structured text: (doc_id, text) and the columns in ``keep``.
 
     Headings (also underlined ones) become ``#`` lines, list items keep ``-`` or their
     number, code of both kinds stands between fences; quotes, nested lists and lazy
@@ -327,7 +327,7 @@ def markdown_normalize(df: DataFrame) -> DataFrame:
     definitions go, emphasis, links and images leave their text. Null text gives null.
     """
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    base = settle(df.select("doc_id", lines.alias("_l")))
+    base = settle(df.select("doc_id", *keep, lines.alias("_l")))
     shape = lambda s: F.regexp_extract(s, rf"(?s)^[ \t>*+\-0-9.)#`~=_]*.{{0,{SHAPE}}}", 0)
     cut = settle(base.withColumn("_k", _pieces_udf(F.transform("_l", shape))))
 
@@ -365,4 +365,4 @@ def markdown_normalize(df: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform("_k", render), "")
     # a heading or code block stands after a blank line, whatever came before
     spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, "(?<=\n\n)\x01|^\x01", ""), "(?<=\n)\x01", "\n"), "\x01", "\n\n")
-    return cut.select("doc_id", F.regexp_replace(spaced, r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("text"))
+    return cut.select("doc_id", *keep, F.regexp_replace(spaced, r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("text"))

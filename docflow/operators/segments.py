@@ -276,8 +276,8 @@ def _page_pieces_udf(codes: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else page_pieces(list(c)) for c in codes])
 
 
-def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """HTML to Markdown-like text: (key, text).
+def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """HTML to Markdown-like text: (key, text) and the columns in ``keep``.
 
     Pages are cut into tags and texts, cleaned and rendered by expressions; the
     Python helper only sees one small code per token.
@@ -292,7 +292,7 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
         known = F.when(at == 0, F.lit(len(TAGS) + 1)).otherwise(at)
         return F.when(tag == "", F.lit(0)).when(F.startswith(t, F.lit("</")), -known).otherwise(known)
 
-    tokenised = pages.select(key, token_list.alias("_tok"))
+    tokenised = pages.select(key, *keep, token_list.alias("_tok"))
     pieces = settle(tokenised).withColumn("_pieces", _page_pieces_udf(F.transform("_tok", code)))
 
     def text(part: Column, keep: bool = False) -> Column:
@@ -332,4 +332,4 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
 
     whole = F.array_join(F.transform("_pieces", render), "")
     tidy = F.regexp_replace(whole, r"\n{3,}", "\n\n")
-    return pieces.select(key, F.regexp_replace(tidy, r"^\s+|\s+$", "").alias("text"))
+    return pieces.select(key, *keep, F.regexp_replace(tidy, r"^\s+|\s+$", "").alias("text"))

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import has_text, strip_edges
-from docflow.hooks import Embedder, embed_once
+from docflow.hooks import Embedder, embed_once, embed_stored
 from docflow.operators.chunking import (
     CHUNK_COLUMNS,
     build_chunk_rows,
     chunk,
     chunk_segments,
     chunk_semantic_segments,
+    strategy_label,
 )
 from docflow.operators.markdown import markdown_normalize
 from docflow.operators.segments import html_to_markdown, segment_documents
@@ -31,12 +32,15 @@ class Ingest(NamedTuple):
     errors: DataFrame
 
 
-def parse(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, file_name, text) to plain structured text and an error table."""
+def parse(documents: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, file_name, text) to plain structured text and an error table.
+
+    Columns in ``keep`` come along, so nothing is joined to a text afterwards.
+    """
     registry = {
-        "markdown": markdown_normalize,
-        "html": lambda d: html_to_markdown(d, "doc_id", "text"),
-        "text": lambda d: d.select("doc_id", "text"),
+        "markdown": lambda d: markdown_normalize(d, keep),
+        "html": lambda d: html_to_markdown(d, "doc_id", "text", keep),
+        "text": lambda d: d.select("doc_id", "text", *keep),
     }
     return route_by_type(documents, registry)
 
@@ -76,21 +80,24 @@ def chunk_structured(docs: DataFrame, embedder: Embedder | None = None) -> DataF
     return out
 
 
-def ingest(documents: DataFrame, embedder: Embedder, model: str = "hashing", dimension: int = 64) -> Ingest:
+def ingest(
+    documents: DataFrame, embedder: Embedder, model: str = "hashing", dimension: int = 64, store: str | None = None
+) -> Ingest:
     """Documents (doc_id, kb_id, file_name, text, strategy, config, created_by) to tables.
 
     Chunk ids follow from document and position, so running it again gives the
-    same rows.
+    same rows. ``store`` names a table of vectors by content: what it holds is not
+    embedded again.
     """
-    parsed, errors = parse(documents)
-    meta = documents.select("doc_id", "kb_id", "file_name", "strategy", "config", "created_by")
-    texts = parsed.select("doc_id", "text").join(meta.select("doc_id", "strategy", "config"), "doc_id")
-    pieces = chunk_structured(stage_by(texts, "strategy"), embedder)
-    info = meta.select(
+    labelled = documents.withColumn("strategy", strategy_label(F.col("strategy")))
+    parsed, errors = parse(labelled, keep=("strategy", "config"))
+    pieces = chunk_structured(stage_by(parsed.select("doc_id", "text", "strategy", "config"), "strategy"), embedder)
+    info = documents.select(
         "doc_id", "kb_id", F.col("file_name").alias("doc_name"),
         F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).alias("file_type"), "created_by",
     )
     # Stored once: the vectors and the caller read the same rows.
     chunks = cut_lineage(build_chunk_rows(info, pieces, model, dimension))
-    vectors = embed_once(chunks.select("chunk_id", "kb_id", "doc_id", "content"), "content", embedder)
+    own = chunks.select("chunk_id", "kb_id", "doc_id", "content")
+    vectors = embed_stored(own, "content", embedder, store) if store else embed_once(own, "content", embedder)
     return Ingest(chunks, vectors.select("chunk_id", "kb_id", "doc_id", "embedding"), errors)

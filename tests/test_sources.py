@@ -123,3 +123,32 @@ def test_the_second_of_two_writers_is_refused(spark, monkeypatch):
         buckets.upsert_path(spark, path, _table(spark, 3, 8, "second"), "chunk_id", 4)
     got = {r.chunk_id: r.v for r in buckets.read_buckets(spark, path).collect()}
     assert got == {str(i): "first" if i < 5 else "old" for i in range(10)}
+
+
+def test_second_run_embeds_nothing(spark, sf):
+    from docflow.hooks import HashingEmbedder, embed_once, embed_stored
+
+    path, model = work_path(spark, "vectors"), HashingEmbedder()
+    turns = B.load(spark, sf, "conversations").select("conv_id", "turn", "text")
+    want = sorted(map(str, embed_once(turns, "text", model).collect()))
+    assert sorted(map(str, embed_stored(turns, "text", model, path).collect())) == want
+
+    def refuse(texts):
+        assert set(texts) <= {"a new text"}, texts
+        return model(texts)
+
+    assert sorted(map(str, embed_stored(turns, "text", refuse, path).collect())) == want
+    more = turns.unionAll(spark.createDataFrame([(-1, 0, "a new text"), (-2, 0, "a new text"), (-3, 0, None)], turns.schema))
+    assert embed_stored(more.where("text is not null"), "text", refuse, path).count() == turns.count() + 2
+
+
+def test_texts_are_not_joined_on_their_way_in(spark):
+    """From upload to staged text there is no exchange at all."""
+    from docflow.operators.chunking import strategy_label
+    from docflow.plans.ingest import parse
+
+    files = spark.range(30).selectExpr(
+        "id doc_id", "concat(id, element_at(array('.md', '.txt', '.html'), int(id % 3 + 1))) file_name", "'# a' text", "'Fixed ' strategy", "'{}' config"
+    ).withColumn("strategy", strategy_label(F.col("strategy")))
+    plan = parse(files, keep=("strategy", "config"))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
