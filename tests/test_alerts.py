@@ -11,7 +11,7 @@ from docflow.streaming import batch as SB
 
 
 def test_batch_follows_the_rule(spark, sf):
-    slices = SB.metric_slices(B.runs(spark, sf)).withColumn("at", F.unix_millis("slice_start"))
+    slices = SB.metric_slices(B.runs(spark, sf)).withColumn("at", F.unix_millis(F.col("slice_start").cast("timestamp")))
     by_user: dict = {}
     for r in slices.collect():
         by_user.setdefault(r.user_id, []).append((r["at"], {c: r[c] for c in A.COUNTS}))
