@@ -182,33 +182,64 @@ def dedup_alerts(signatures: DataFrame) -> DataFrame:
     )
 
 
+LANES = 4096  # tasks whose rows of a micro-batch come to Python together
+
+
 class TaskMachine(StatefulProcessor):
-    """State machine of one ingestion task."""
+    """State machines of the ingestion tasks of one lane.
+
+    The state stays one entry per task. What costs per key of a stateful operator, a
+    frame in, a frame out and several calls to the store, is paid per lane; a task costs
+    one write, and one read once the lane holds anything.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("task", STATE)
+        self.tasks = handle.getMapState("tasks", "task string", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = STATE.fieldNames()
-        state = dict(zip(names, self.state.get())) if self.state.exists() else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["seq", "event", "at"]).itertuples():
-            state = next_task_state(state, row.event, row.at.to_pydatetime())
-            out.append((key[0], row.seq, *[state[n] for n in names]))
-        self.state.update(tuple(state[n] for n in names))
-        yield pd.DataFrame(out, columns=["task_id", "seq", *names])
+        names, known = STATE.fieldNames(), self.tasks.exists()
+        batch = pd.concat(list(rows)).sort_values(["task", "last", "seq", "event", "at"])
+        out, state, current = [], None, None
+        for row in zip(*(batch[c] for c in ("task", "last", "seq", "event", "at"))):
+            if row[0] != current:
+                self._put(current, state)
+                current, state = row[0], None
+                if known and self.tasks.containsKey((current,)):
+                    state = dict(zip(names, self.tasks.getValue((current,))))
+            state = next_task_state(state, row[3], row[4].to_pydatetime())
+            out.append((*row[:3], *[state[n] for n in names]))
+        self._put(current, state)
+        yield pd.DataFrame(out, columns=["task", "last", "seq", *names])
+
+    def _put(self, task: str | None, state: dict | None) -> None:
+        if state is not None:
+            self.tasks.updateValue((task,), tuple(state[n] for n in STATE.fieldNames()))
 
     def close(self) -> None:
         pass
 
 
 def task_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``task_states`` over (task_id, seq, event, at)."""
+    """Streaming twin of ``task_states`` over (task_id, seq, event, at).
+
+    Ids travel as text and a missing ``seq`` as a flag, so that a null beside them does
+    not turn numbers into floats.
+    """
     use_rocksdb(events.sparkSession)
-    schema = T.StructType([events.schema["task_id"], events.schema["seq"], *STATE.fields])
-    return events.groupBy("task_id").transformWithStateInPandas(
+    task, seq = events.schema["task_id"], events.schema["seq"]
+    named = F.coalesce(F.concat(F.lit("="), F.col("task_id").cast("string")), F.lit(""))
+    laid = events.select(
+        F.pmod(F.xxhash64("task_id"), F.lit(LANES)).alias("lane"), named.alias("task"), F.col("seq").isNull().alias("last"),
+        F.coalesce("seq", F.lit("0").cast(seq.dataType)).alias("seq"), "event", "at",
+    )
+    schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("last", T.BooleanType()), seq, *STATE.fields])
+    states = laid.groupBy("lane").transformWithStateInPandas(
         statefulProcessor=TaskMachine(), outputStructType=schema, outputMode="update", timeMode="None",
     )
+    return states.select(
+        F.when(F.col("task") != "", F.substring("task", 2, 2**31 - 1)).cast(task.dataType).alias("task_id"),
+        F.when(~F.col("last"), F.col("seq")).alias("seq"), *STATE.fieldNames(),
+    )
 
 
 def decode_stream(messages: DataFrame, delay: str = "10 minutes", column: str = "value") -> DataFrame:
