@@ -70,7 +70,7 @@ def active_alerts(df: DataFrame) -> DataFrame:
     return df.where(F.col("status") == "ACTIVE")
 
 
-def _one_per_key(updates: DataFrame, key: str, newest: str | None) -> DataFrame:
+def one_per_key(updates: DataFrame, key: str, newest: str | None) -> DataFrame:
     """Each key once: refused if repeated, or the row with the largest ``newest`` (ties by content)."""
     same = Window.partitionBy(key)
     if newest is None:
@@ -88,7 +88,7 @@ def upsert_vectors(target: DataFrame, updates: DataFrame, key: str = "chunk_id",
     value in that column is taken.
     """
     kept = target.join(updates.select(key), key, "left_anti")
-    return kept.unionByName(_one_per_key(updates, key, newest), allowMissingColumns=True)
+    return kept.unionByName(one_per_key(updates, key, newest), allowMissingColumns=True)
 
 
 def delete_by(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -152,3 +152,30 @@ def test_texts_are_not_joined_on_their_way_in(spark):
     ).withColumn("strategy", strategy_label(F.col("strategy")))
     plan = parse(files, keep=("strategy", "config"))[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_changes_are_moved_once(spark, tmp_path):
+    """Changed rows are written once, where they stay, and without a shuffle; nulls and replaced ids included."""
+    path = str(tmp_path / "t")
+    rows = lambda lo, hi, v: spark.range(lo, hi, 1, 3).select(F.expr("if(id = 0, null, id)").alias("doc_id"), F.lit(v).alias("v"))
+    buckets.write_buckets(rows(0, 100, "old").unionAll(rows(0, 100, "old")), path, "doc_id", 4)
+    for _ in range(2):
+        buckets.replace_path(spark, path, rows(10, 120, "new"), 4, rows(5, 7, "").select(F.col("doc_id").cast("int")))
+    got = sorted((str(r.doc_id), r.v) for r in buckets.read_buckets(spark, path).collect())
+    assert got == sorted([(str(i or None), "old") for i in range(10) if i not in (5, 6)] * 2 + [(str(i), "new") for i in range(10, 120)])
+    buckets.vacuum(spark, path)
+    kept = [p.relative_to(path).parts[0] for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(set(kept)) == 2  # the remaining rows and the changes as they were written
+    assert max(map(kept.count, set(kept))) >= 3 * 4  # three tasks, four buckets: rows were not dealt out
+
+
+@pytest.mark.parametrize("bound", [200_000, 20, 5])
+def test_replacing_joins_agree(spark, monkeypatch, bound):
+    """Few changed documents, few that remain, many of both: the same rows, null ids too."""
+    monkeypatch.setattr(buckets, "MAX_BROADCAST_ROWS", bound)
+    path = work_path(spark, "t")
+    rows = lambda lo, hi, v: spark.range(lo, hi).select(F.expr("if(id = 0, null, id)").alias("doc_id"), F.lit(v).alias("v"))
+    buckets.write_buckets(rows(0, 60, "old"), path, "doc_id", 4)
+    buckets.replace_path(spark, path, rows(10, 70, "new"), 4)
+    got = {r.doc_id: r.v for r in buckets.read_buckets(spark, path).collect()}
+    assert got == {(i or None): "new" if i >= 10 else "old" for i in range(70)}
