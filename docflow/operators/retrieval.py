@@ -140,19 +140,27 @@ def expand_window(
 
 
 def expand_parent(hits: DataFrame, chunks: DataFrame, small: bool | None = None) -> DataFrame:
-    """Swap a child for its parent chunk where the parent exists; keep the score."""
-    wanted = hits.where(F.col("parent_id").isNotNull()).select("parent_id").distinct()
+    """Swap a child for its parent chunk where the parent exists; keep the score.
+
+    Null is one key, so hits without a parent would all meet in one task; a second key
+    deals them out by what they hold. It is 0 for all others.
+    """
+    zero = F.pmod(F.xxhash64("parent_id"), F.lit(1))
+    alone = F.col("parent_id").isNull()
+    dealt = hits.withColumn("_deal", F.when(alone, F.xxhash64("chunk_id", "content")).otherwise(zero))
+    wanted = hits.where(~alone).select("parent_id").distinct().withColumn("_deal", zero)
     parents = (
         chunks.select(
             F.col("chunk_id").alias("parent_id"),
             F.col("content").alias("_content"),
             F.col("chunk_index").alias("parent_index"),
         )
-        .join(_small_side(wanted, small), "parent_id", "left_semi")
+        .withColumn("_deal", zero)
+        .join(_small_side(wanted, small), ["parent_id", "_deal"], "left_semi")
     )
     found = F.col("_content").isNotNull()
     rest = [c for c in hits.columns if c not in ("chunk_id", "content", "parent_id")]
-    return hits.join(parents, "parent_id", "left").select(
+    return dealt.join(parents, ["parent_id", "_deal"], "left").select(
         F.when(found, F.col("parent_id")).otherwise(F.col("chunk_id")).alias("chunk_id"),
         F.coalesce("_content", "content").alias("content"),
         *rest,

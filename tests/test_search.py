@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from docflow.operators import keyword_index as K
 from docflow.operators import retrieval as R
 from docflow.operators import vector_scan as V
@@ -91,3 +93,50 @@ def test_vector_rounds(spark):
         want = {tuple(r) for r in R.vector_topk(q, v, 4, by).collect()}
         assert {tuple(r) for r in R.vector_topk(q, v, 4, by, query_block=30).collect()} == want
         assert len(want) == 4 * (q.where("g is not null").count() if by else q.count())
+
+
+def test_hits_without_a_parent_are_dealt_out(spark):
+    """They are not one key of the join, and each stays as it is; a missing parent keeps the child."""
+    from docflow.operators.retrieval import expand_parent
+
+    chunks = spark.range(400).selectExpr("string(id) chunk_id", "concat('text ', id) content", "int(id) chunk_index")
+    hits = chunks.selectExpr("1 query_id", "chunk_id", "content", "0.5D score", "CASE chunk_id WHEN '1' THEN '7' WHEN '2' THEN 'none' END parent_id")
+    got = expand_parent(hits, chunks, small=False)
+    rows = sorted((r.chunk_id, r.content, r.is_parent, r.parent_index) for r in got.collect())
+    assert rows == sorted([(str(i), f"text {i}", False, None) for i in range(400) if i != 1] + [("7", "text 7", True, 7)])
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in expand_parent(hits, chunks, small=False).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) < 200
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """A session that ships the package sends no batch far beyond the bound; one with its own bound keeps it."""
+    from docflow import session
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        session.ship(spark)
+        assert int(spark.conf.get(key).rstrip("bB")) <= session.BATCH_BYTES
+        long = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("t"))
+        sizes = [r.n for r in long.mapInArrow(_nbytes, "n long").collect()]
+        assert sum(sizes) >= 50_000_000 and max(sizes) < session.BATCH_BYTES + 1_000_000
+        spark.conf.set(key, "1000000")
+        session.ship(spark)
+        assert spark.conf.get(key).rstrip("bB") == "1000000"
+    finally:
+        spark.conf.set(key, before)
+
+
+def _nbytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
