@@ -79,12 +79,16 @@ def chunk_traits(content: Column, heading: Column) -> Column:
 
 def box_type(text: Column, bold: Column, font_size: Column, baseline: Column) -> Column:
     """``Caption``, ``Table``, ``List``, ``Title`` or ``Text``; text decides before size."""
-    t = normalize_ws(F.coalesce(text, F.lit("")))
+    return clean_box_type(normalize_ws(F.coalesce(text, F.lit(""))), bold, font_size, baseline)
+
+
+def clean_box_type(t: Column, bold: Column, font_size: Column, baseline: Column) -> Column:
+    """``box_type`` of a text whose blanks are normalized: no two in a row, so a table has bars."""
     rel = F.when(baseline != 0, font_size / baseline).otherwise(F.lit(1.0))
     return (
         F.when(F.length(t) == 0, "Text")
         .when(t.rlike(CAPTION_BOX), "Caption")
-        .when(t.rlike(TABLE_BOX), "Table")
+        .when(F.contains(t, F.lit("|")) & t.rlike(TABLE_BOX), "Table")
         .when(t.rlike(LIST_BOX), "List")
         .when((rel >= 1.25) | (bold & (rel >= 1.1)), "Title")
         .otherwise("Text")

@@ -192,15 +192,21 @@ def _nest(rule: Rule, keys: list[str], names: list[str]):
 
 
 def nested_chains(
-    df: DataFrame, keys: list[str], order: list[str], rule: Rule, bounded: bool = False, group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], rule: Rule, bounded: bool = False, group_rows: int = GROUP_ROWS,
+    dealt: bool = False,
 ) -> DataFrame:
-    """One row per chain: the keys and ``_p``, its rows in order as an array of structs of the other columns."""
+    """One row per chain: the keys and ``_p``, its rows in order as an array of structs of the other columns.
+
+    ``dealt`` says that ``df`` is the narrow outcome of chains under the same keys, so the
+    rows of a key lie in one task already; it needs ``bounded``.
+    """
     names = [*order, *(c for c in df.columns if c not in keys and c not in order)]
     plan = slicing(df, keys, order, group_rows, bounded=bounded)
     small = df if plan.large is None else plan.small_rows(df)
     own, items = T.StructType([df.schema[k] for k in keys]), T.StructType([df.schema[n] for n in names])
-    dealt = small.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    out = dealt.mapInArrow(_nest(rule, keys, names), T.StructType([*own.fields, T.StructField("_p", T.ArrayType(items))]))
+    chosen = small.select(*keys, *names)
+    laid = (chosen if dealt and bounded else chosen.repartition(*keys)).sortWithinPartitions(*keys, *order)
+    out = laid.mapInArrow(_nest(rule, keys, names), T.StructType([*own.fields, T.StructField("_p", T.ArrayType(items))]))
     if plan.large is None:
         return out
     gathered = F.array_sort(F.collect_list(F.struct(*names))).alias("_p")

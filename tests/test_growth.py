@@ -49,3 +49,32 @@ def test_scores_are_screened_in_single_precision():
         best = np.lexsort((ids, -scores[q]))[:6]
         assert np.abs(s.top.scores[q] - scores[q][best]).max() < 1e-11
         assert len(set(s.top.found[q])) == 6
+
+
+def test_columns_of_many_pages_at_once():
+    rng = np.random.default_rng(1)
+    x, w, width = [], [], []
+    for i in range(400):
+        at = rng.choice([60, 180, 300, 420, 540, 90.5], rng.integers(1, 5))
+        v = np.round(rng.choice(at, rng.integers(1, 60)), 1) + rng.integers(-9, 9) * (i % 2)
+        v = v if i % 5 else v + rng.integers(-20, 20, len(v)) / 2
+        places, counts = np.unique(v, return_counts=True)
+        x.append(places)
+        w.append(counts.astype(float))
+        width.append(float(rng.choice([0, 100, 600, 2000])))
+    assert L.many_boundaries(x, w, np.array(width)) == [L.page_boundaries(*p) for p in zip(x, w, width, strict=True)]
+
+
+@pytest.mark.parametrize("strategy", ["paper", "table"])
+def test_document_rows_read_the_boxes_once(spark, strategy):
+    """Columns and segments of a document come from one pass of the merges."""
+    rows = [(1, i // 6, i, 50.0, 14.0 * (i % 6), 280.0, 14.0 * (i % 6) + 8, 18.0 if i % 6 == 0 else 12.0, False, t)
+            for i, t in enumerate(["Head", "Table 1: cap", "a | b | c", "text.", "   ", " more"] * 3)]
+    rows += [(2, 0, 0, 50.0, 0.0, 280.0, 10.0, 12.0, False, " ")]
+    boxes = spark.createDataFrame(rows, BOX)
+    pages = boxes.select("doc_id", "page_num").distinct().unionByName(spark.createDataFrame([(3, 0), (1, 9)], "doc_id int, page_num int"))
+    found = L.layout_segments(boxes, pages.withColumn("page_width", F.lit(600.0)), strategy)
+    want = {r.doc_id: r["count"] for r in found.segments.groupBy("doc_id").count().collect()}
+    got = {r.doc_id: (r.page_count, r.detected_columns, r.segment_count) for r in found.documents.collect()}
+    assert got == {1: (4, 1, want[1]), 2: (1, 1, None), 3: (1, 1, None)}
+    assert found.documents._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
