@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,34 @@ Embedder = Callable[[list[str]], np.ndarray]
 TextModel = Callable[[list[str]], Sequence[str]]
 
 EMBED_BATCH = 10
+MAX_HASHES = 500_000
 
 
-@lru_cache(maxsize=200_000)
-def _slot(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+class _Hashes(dict):
+    """Token -> number, worked out when first asked for; emptied when it grows too large. Bytes are Latin-1."""
+
+    def __missing__(self, token: str | bytes) -> int:
+        if len(self) >= MAX_HASHES:
+            self.clear()
+        raw = token.decode("latin-1") if isinstance(token, bytes) else token
+        self[token] = h = int(hashlib.md5(raw.encode()).hexdigest()[:8], 16)
+        return h
+
+
+_HASHES = _Hashes()
+# Lower-case Latin-1: letters and digits stay, all else becomes a blank.
+_LATIN = bytes(c if re.match("[a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]", chr(c)) else 32 for c in range(256))
+
+
+def _tokens(text: str) -> list:
+    """Lower-cased runs of letters and digits, as bytes where the text is Latin-1."""
+    import regex
+
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_LATIN).split()
+    except UnicodeEncodeError:
+        return regex.findall(r"[\p{L}\p{Nd}]+", low)
 
 
 class HashingEmbedder:
@@ -33,13 +56,11 @@ class HashingEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import regex
-
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, text in enumerate(texts):
-            for token in regex.findall(r"[\p{L}\p{Nd}]+", (text or "").lower()):
-                h = _slot(token)
-                out[i, h % self.dim] += 1.0 if (h // self.dim) % 2 == 0 else -1.0
+            h = np.array([_HASHES[t] for t in _tokens(text or "")], dtype=np.int64)
+            sign = 1.0 - 2.0 * (h // self.dim % 2)
+            out[i] = np.bincount(h % self.dim, sign, self.dim)
         return out
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,10 @@ def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[Block]:
     """Blocks of chunks given as lists of tokens, long chunks first."""
     sizes = np.diff(texts.offsets.to_numpy())
     coded = texts.flatten().dictionary_encode()
-    words = np.array(coded.dictionary.to_pylist(), object)
-    order = np.argsort(words, kind="stable")
+    order = pc.sort_indices(coded.dictionary)  # by bytes of UTF-8, which is by code points
+    words = np.array(coded.dictionary.take(order).to_pylist(), object)
     rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    words = words[order]
+    rank[order.to_numpy()] = np.arange(len(words))
     codes = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
     owners = np.repeat(np.arange(len(ids)), sizes)
     if len(words) and words[0] == "":  # splitting leaves empty ends
@@ -63,7 +63,7 @@ def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[Block]:
     by_size = np.argsort(-np.diff(begins), kind="stable")
     for at in range(0, len(ids), BLOCK):
         own = by_size[at : at + BLOCK]
-        rows = np.concatenate([np.arange(begins[o], begins[o + 1]) for o in own])
+        rows = _ranges(begins[own], begins[own + 1] - begins[own])
         yield Block.of(ids[own], words, codes[rows], np.repeat(np.arange(len(own)), begins[own + 1] - begins[own]))
 
 

@@ -78,3 +78,21 @@ def test_document_rows_read_the_boxes_once(spark, strategy):
     got = {r.doc_id: (r.page_count, r.detected_columns, r.segment_count) for r in found.documents.collect()}
     assert got == {1: (4, 1, want[1]), 2: (1, 1, None), 3: (1, 1, None)}
     assert found.documents._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_latin_texts_are_embedded_without_the_unicode_pattern(monkeypatch):
+    texts = ["Straße ÉTÉ µm x² 10½ a_b", "", "".join(f"x{chr(c)}" for c in range(256))]
+    more = ["Ünïcode 数据 поиск ٣٤", "İstanbul ΣΑΣ"]
+
+    def plain(text):
+        out = np.zeros(8, np.float32)
+        for t in regex.findall(r"[\p{L}\p{Nd}]+", text.lower()):
+            h = int(hooks.hashlib.md5(t.encode()).hexdigest()[:8], 16)
+            out[h % 8] += 1.0 if (h // 8) % 2 == 0 else -1.0
+        return out
+
+    want = np.array([plain(t) for t in texts + more])
+    embed = hooks.HashingEmbedder(8)
+    assert (embed(texts + more) == want).all()
+    monkeypatch.setattr(regex, "findall", lambda *_: pytest.fail("not needed"))
+    assert (embed(texts) == want[:3]).all()
